@@ -26,6 +26,9 @@ BROWSER_SPACE = "\t\n\x0b\x0c\r\u2028\u2029\ufeff" + "".join(
     chr(i) for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs"
 )
 
+# Runs of white space other than a single plain blank; the same characters as in WHITE_SPACE.
+RUN_OF_SPACE = r"(?U) [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*"
+
 # Texts up to this length are cut into trigrams by position; a longer one is first split into characters.
 SHORT_TEXT = 512
 
@@ -72,7 +75,7 @@ def spell_ascii(c: Column) -> Column:
 def normalize_index(c: Column | str) -> Column:
     """Search form of register text: ASCII, lower case, single blanks."""
     lowered = F.lower(spell_ascii(text_of(c)))
-    return F.trim(F.regexp_replace(lowered, f"[{WHITE_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(lowered, RUN_OF_SPACE, " "))
 
 
 def normalize_query(c: Column | str) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placebook.functions.geo import TILE, cell_of, is_selected, pixel_x, pixel_y, size_class
+from placebook.operators.joins import lookup
+from placebook.session import fits_broadcast, materialize
 
 # Cluster radius in pixels, the zoom from which points stand alone, the closest zoom that bounds are fitted to.
 RADIUS = 30
@@ -25,7 +27,8 @@ def flag_selected(points: DataFrame, selected: int | DataFrame | None) -> DataFr
     """Points with `selected`: is it the selected row, or one of a table of selected ids?"""
     if isinstance(selected, DataFrame):
         ids = selected.select("id").distinct().withColumn("selected", F.lit(True))
-        return points.join(ids, "id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+        flagged = lookup(points, ids, ["id"], fits=fits_broadcast(selected.select("id")))
+        return flagged.withColumn("selected", F.coalesce("selected", F.lit(False)))
     return points.withColumn("selected", is_selected("id", selected))
 
 
@@ -38,19 +41,21 @@ def cluster_points(
     """Clusters of points (id, lng, lat) that share a cell of `radius` pixels, for each zoom level.
 
     `lat`, `lng` are the members' mean, `min_*` and `max_*` the area they cover, `id` is set for a single point.
-    Points are read and shuffled once, for the finest level; the cells of each level are made of four of the next.
+    Points are shuffled once, for the finest level, whose sums each task adds up beforehand. A cell is made of four of
+    the next level, so the other levels come from cells, a few at a time, the coarsest of a step being stored for the next.
     """
     flagged = flag_selected(points, selected)
     grouped = sorted({zoom for zoom in zooms if zoom < SINGLE_FROM}, reverse=True)
-    layers = [_alone(flagged, sorted(set(zooms) - set(grouped)))] if set(zooms) - set(grouped) else []
-    cells = _finest(flagged, grouped[0], radius) if grouped else None
-    if grouped:
-        layers.append(cells)
-    for start in range(1, len(grouped), ZOOMS_PER_STEP):
-        step = grouped[start : start + ZOOMS_PER_STEP]
-        coarser = _coarser(cells, grouped[start - 1], step)
-        layers.append(coarser)
-        cells = coarser.where(F.col("zoom") == step[-1])
+    alone = sorted(set(zooms) - set(grouped))
+    layers = [_alone(flagged, alone)] if alone else []
+    steps = [grouped[:1]] + [grouped[i : i + ZOOMS_PER_STEP] for i in range(1, len(grouped), ZOOMS_PER_STEP)] if grouped else []
+    cells = None
+    for step in steps:
+        layer = _finest(flagged, step[0], radius) if cells is None else _coarser(cells, finer, step)
+        if step is not steps[-1]:
+            layer = materialize(layer, "cells")
+        layers.append(layer)
+        cells, finer = layer.where(F.col("zoom") == step[-1]), step[-1]
     return reduce(DataFrame.unionByName, [_finish(layer) for layer in layers])
 
 

@@ -45,8 +45,10 @@ def default_mapping(df: DataFrame, required: Sequence[str] = MAP_REQUIRED, optio
 
 
 def rename_columns(df: DataFrame, mapping: Mapping[str, str | None]) -> DataFrame:
-    """Mapped columns under their logical names, the others as they are."""
-    return df.withColumnsRenamed({actual: logical for logical, actual in mapping.items() if actual and actual in df.columns})
+    """Mapped columns under their logical names, the others as they are; a mapped column hides one already so named."""
+    renamed = {actual: logical for logical, actual in mapping.items() if actual in df.columns and actual != logical}
+    hidden = [logical for logical in renamed.values() if logical in df.columns and logical not in renamed]
+    return df.drop(*hidden).withColumnsRenamed(renamed)
 
 
 def mapped_value(df: DataFrame, mapping: Mapping[str, str | None], logical: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from placebook.functions.cells import has_number, is_filled
 from placebook.operators.joins import skew_join
 from placebook.operators.update import update_by_id
-from placebook.session import BROADCAST_ROWS
+from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
 
 def geocode_candidates(df: DataFrame) -> DataFrame:
@@ -26,12 +26,25 @@ def geocode_candidates(df: DataFrame) -> DataFrame:
     return df.where(wanted & F.when(tried == "", missing).otherwise(tried != F.col("Address")))
 
 
+def first_points(gazetteer: DataFrame) -> DataFrame:
+    """One point per address of a gazetteer (address, lat, lng): the first by latitude and longitude."""
+    return gazetteer.groupBy("address").agg(F.min(F.struct("lat", "lng")).alias("point"))
+
+
 def geocode(candidates: DataFrame, gazetteer: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Candidates with `lng` and `lat` of their address, null where the gazetteer (address, lat, lng) lacks it."""
-    places = gazetteer.groupBy("address").agg(F.min(F.struct("lat", "lng")).alias("_point"))
-    known = places.select(F.col("address").alias("Address"), "_point")
-    found = skew_join(candidates, known, ["Address"], "left", limit)
-    return found.select(*candidates.columns, F.col("_point.lng").alias("lng"), F.col("_point.lat").alias("lat"))
+    """Candidates with `lng` and `lat` of their address, null where the gazetteer (address, lat, lng) lacks it.
+
+    A gazetteer within the size limits is broadcast. Otherwise, if the distinct addresses are, it is reduced to those in
+    place. Otherwise both are shuffled, the rows of a frequent address over several tasks.
+    """
+    fits = fits_broadcast(gazetteer, limit)
+    if not fits:
+        wanted = candidates.select(F.col("Address").alias("address")).distinct()
+        fits = fits_broadcast(wanted, limit)
+        gazetteer = gazetteer.join(F.broadcast(wanted) if fits else wanted, "address", "left_semi")
+    points = first_points(gazetteer).withColumnRenamed("address", "Address")
+    found = skew_join(candidates, points, ["Address"], "left", fits=fits)
+    return found.select(*candidates.columns, F.col("point.lng").alias("lng"), F.col("point.lat").alias("lat"))
 
 
 def geocode_updates(geocoded: DataFrame) -> DataFrame:
@@ -42,7 +55,7 @@ def geocode_updates(geocoded: DataFrame) -> DataFrame:
     return geocoded.select("id", *updates)
 
 
-def geocode_table(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def geocode_table(df: DataFrame, gazetteer: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The whole table with coordinates filled in where they were needed."""
-    updates = geocode_updates(geocode(geocode_candidates(df), gazetteer))
-    return update_by_id(df, updates, [name for name in updates.columns if name != "id"])
+    updates = materialize(geocode_updates(geocode(geocode_candidates(df), gazetteer, limit)), "geocoded")
+    return update_by_id(df, updates, [name for name in updates.columns if name != "id"], limit=limit)

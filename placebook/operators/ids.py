@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from placebook.session import shared_folder
+from placebook.operators.joins import shuffle_partitions
+from placebook.session import materialize
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in this many low bits
 
@@ -14,27 +15,21 @@ ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its partit
 def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id", partitions: int | None = None) -> DataFrame:
     """Ids 0, 1, 2, ... in ascending order of the columns, nulls first.
 
-    Rows are range-partitioned, sorted within partitions and checkpointed; each partition then starts where the one
-    before it ended. Only one count per partition is brought together. Rows alike in all order columns may be spread
-    over neighbouring partitions, so a hot value does not fill one task.
+    Rows are stored, as finding ranges looks at them twice; then range-partitioned, sorted within partitions and stored
+    with their place. Each partition starts where the one before it ended; only one count per partition is brought
+    together. Rows alike in all order columns may go to several partitions, so a hot value does not fill one task.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ascending = [F.asc_nulls_first(column) for column in order]
-    placed = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(partitions, *ascending, F.asc("_tie"))
-        .sortWithinPartitions(*ascending, F.asc("_tie"))
-        .drop("_tie")
-        .checkpoint()
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumns({"_part": F.shiftright("_place", ROW_BITS), "_row": F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)})
+    tied = materialize(df, "unplaced").withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(partitions or shuffle_partitions(df), *ascending, F.asc("_tie"))
+    placed = ranged.sortWithinPartitions(*ascending, F.asc("_tie")).drop("_tie").withColumn("_place", F.monotonically_increasing_id())
+    stored = materialize(placed, "placed").withColumns(
+        {"_part": F.shiftright("_place", ROW_BITS), "_row": F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)}
     )
-    counts = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
+    counts = stored.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").select(
+    # One row per partition: always small.
+    return stored.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + F.col("_row")).alias(name), *[F.col(column) for column in df.columns]
     )

@@ -15,13 +15,15 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more rows than an average shuffle partition, and over how many `pieces` to spread each.
+def count_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.groupBy(*on).agg(F.count("*").alias("rows"))
 
-    At most as many rows as there are shuffle partitions, whatever the data.
+
+def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """From the number of `rows` per key: the keys that hold more than an average shuffle partition, and over how many
+    `pieces` to spread each. At most as many rows as there are shuffle partitions, whatever the data.
     """
-    counts = df.groupBy(*on).agg(F.count("*").alias("rows"))
-    share = F.col("rows") * shuffle_partitions(df) / counts.agg(F.sum("rows")).scalar()
+    share = F.col("rows") * shuffle_partitions(counts) / counts.agg(F.sum("rows")).scalar()
     return counts.where(share > 1).select(*on, F.ceil(share).cast("int").alias("pieces"))
 
 
@@ -32,17 +34,19 @@ def skew_join(
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
     fits: bool | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """`large.join(small, on, how)`, inner or left.
 
     A small side within the size limits is broadcast; `fits` says so where the caller has measured it, else it is
     measured here. Beyond the limits both sides are shuffled; the rows of a hot key of the large side are spread over
-    several pieces, and the small side's rows of that key are repeated for each.
+    several pieces, and the small side's rows of that key are repeated for each. `counts` are the large side's `rows`
+    per key, if known.
     """
     on = list(on)
     if fits_broadcast(small, rows=limit) if fits is None else fits:
         return large.join(F.broadcast(small), on, how)
-    hot = F.broadcast(hot_keys(large, on))
+    hot = F.broadcast(hot_keys(count_keys(large, on) if counts is None else counts, on))
     unmatched = reduce(or_, [F.col(name).isNull() for name in on])
     pieces = F.coalesce("pieces", F.lit(1))
     spread = F.when(unmatched, F.lit(shuffle_partitions(large))).otherwise(pieces)
@@ -50,3 +54,10 @@ def skew_join(
     left = large.join(hot, on, "left").withColumn("_piece", piece).drop("pieces")
     right = small.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
     return left.join(right, [*on, "_piece"], how).drop("_piece")
+
+
+def lookup(large: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS, fits: bool | None = None) -> DataFrame:
+    """A join on ids, of which no side has many alike: broadcast within the limits, else an ordinary shuffled join."""
+    if fits_broadcast(small, rows=limit) if fits is None else fits:
+        small = F.broadcast(small)
+    return large.join(small, list(on), how)

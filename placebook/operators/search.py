@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from placebook.functions.text import long_enough, normalize_query, trigrams
-from placebook.operators.joins import skew_join
+from placebook.operators.joins import shuffle_partitions, skew_join
 from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
 # How many results, the largest miss that still matches, field weights; the smallest miss in the score.
@@ -65,7 +65,8 @@ def build_index(records: DataFrame, depth: int = BEST) -> SearchIndex:
     fields = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("text")) for name in WEIGHTS]))
     long = pairs.select(fields.alias("_f"), "ids").select("_f.field", "_f.text", F.explode("ids").alias("id"))
     searchable = long.where(F.char_length("text") >= 3)
-    texts = materialize(first_ids(searchable, ["field", "text"], depth), "texts")
+    # Searching a text takes long for its size, so the texts are kept in many parts however small they are.
+    texts = materialize(first_ids(searchable, ["field", "text"], depth).repartition(shuffle_partitions(records), "text"), "texts")
     grams = texts.select(F.explode(trigrams("text")).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
     return SearchIndex(texts, pairs, materialize(grams, "grams"), depth)
 
@@ -83,10 +84,19 @@ def rare_grams(queries: DataFrame, grams: DataFrame, threshold: float, limit: in
     return sized.select("q", "grams", "need", prefix)
 
 
-def match_texts(rare: DataFrame, texts: DataFrame, fits: bool) -> DataFrame:
-    """Every (query text, field text) pair that matches: q, field, text, ids, miss."""
-    postings = texts.withColumn("gram", F.explode(trigrams("text")))
-    met = skew_join(postings, rare, ["gram"], fits=fits)
+def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Every (query text, field text) pair that matches: q, field, text, ids, miss.
+
+    If the rare trigrams fit a broadcast the texts are not shuffled at all.
+    """
+    postings = index.texts.withColumn("gram", F.explode(trigrams("text")))
+    counts = index.grams.withColumnRenamed("texts", "rows")
+    if not fits:
+        needed = rare.select("gram").distinct()
+        counts = counts.join(needed, "gram", "left_semi")
+        if fits_broadcast(needed, limit):
+            postings = postings.join(F.broadcast(needed), "gram", "left_semi")
+    met = skew_join(postings, rare, ["gram"], fits=fits, counts=counts)
     rarer = F.slice("grams", F.lit(1), F.col("place"))
     met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
     shared = F.size(F.filter("grams", lambda gram: F.contains(F.col("text"), gram)))
@@ -123,13 +133,14 @@ def _matched_twice(nom_hits: DataFrame, adresse_hits: DataFrame, pairs: DataFram
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The best `k` records of each query text from (q, ids, score).
 
-    A record can come up three times: by its name, by its address and by both. The lowest score is the true one.
+    A record can come up three times: by its name, by its address and by both. The lowest score is the true one. So the
+    best k records are within the 3 * (k + 1) best rows by score and first id, and only these leave a task.
     """
-    scored = found.select("q", F.explode("ids").alias("id"), F.round(F.exp("score"), 6).alias("score"))
+    scored = found.select("q", "ids", F.col("ids")[0].alias("id"), F.round(F.exp("score"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
-    short = scored.withColumn("_place", place).where(F.col("_place") <= 3 * k)
-    true = short.groupBy("q", "id").agg(F.min("score").alias("score"))
-    return true.withColumn("rank", place).where(F.col("rank") <= k)
+    short = scored.withColumn("_place", place).where(F.col("_place") <= 3 * (k + 1))
+    each = short.select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.min("score").alias("score"))
+    return each.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def fuzzy_search(
@@ -147,7 +158,7 @@ def fuzzy_search(
     typed = queries.where(long_enough("text")).select("qid", normalize_query("text").alias("q"))
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = fits_broadcast(rare, limit)
-    hits = materialize(match_texts(rare, index.texts, few_queries), "hits")
+    hits = materialize(match_texts(rare, index, few_queries, limit), "hits")
     few_hits = fits_broadcast(hits.drop("ids"), limit)
     found = {
         name: hits.where(F.col("field") == name).select(

@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from placebook.operators.columns import mapped_value, prepare_searchable
+from placebook.operators.joins import lookup, skew_join
 from placebook.operators.search import BEST, THRESHOLD, WEIGHTS, fuzzy_search
 from placebook.operators.update import update_by_id
+from placebook.session import fits_broadcast, materialize
 
 # The columns a chosen result is written to.
 WRITTEN = {"SIRET": "siret", "RaisonSociale": "nom", "AdresseNormalisee": "adresse"}
@@ -26,9 +28,11 @@ def search_table(
     records = table.select(
         "id", mapped_value(table, mapping or {}, "Nom").alias("nom"), mapped_value(table, mapping or {}, "Adresse").alias("adresse")
     )
-    found = fuzzy_search(queries, records, k, threshold, weights)
+    found = materialize(fuzzy_search(queries, records, k, threshold, weights), "found")
     results = prepare_searchable(table, mapping).select("id", "result")
-    return found.join(results, "id").select("qid", "rank", "score", "id", "result")
+    few = fits_broadcast(found)
+    joined = lookup(results, found, ["id"], "inner", fits=True) if few else skew_join(found, results, ["id"])
+    return joined.select("qid", "rank", "score", "id", "result")
 
 
 def apply_choices(target: DataFrame, choices: DataFrame, mapping: Mapping[str, str | None] | None = None) -> DataFrame:

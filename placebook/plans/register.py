@@ -10,7 +10,6 @@ from placebook.functions.text import first_filled, join_filled, search_text
 from placebook.operators.columns import project_register
 from placebook.operators.filters import PREFIXES, filter_active, filter_prefix
 from placebook.operators.ids import assign_ids
-from placebook.session import materialize
 from placebook.sinks.register import count_rows, write_register
 
 # The columns of the search-ready register.
@@ -37,9 +36,8 @@ def select_register(register: DataFrame, prefixes: Sequence[str] = PREFIXES) ->
 
 
 def number(described: DataFrame) -> DataFrame:
-    """Ids by ascending siret. The rows are stored first: finding ranges looks at them twice, and the register is long."""
-    stored = materialize(described, "register")
-    return assign_ids(stored, ["siret", *[name for name in stored.columns if name not in ("siret", "search")]])
+    """Ids by ascending siret; the other columns decide between rows without one."""
+    return assign_ids(described, ["siret", *[name for name in described.columns if name not in ("siret", "search")]])
 
 
 def build_register(register: DataFrame, prefixes: Sequence[str] = PREFIXES) -> DataFrame:

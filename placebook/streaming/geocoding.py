@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from placebook.operators.geocode import geocode, geocode_candidates, geocode_updates
 from placebook.operators.latest import last_per_id
 from placebook.operators.update import update_by_id
+from placebook.session import materialize
 
 
 def geocode_batch(changes: DataFrame, gazetteer: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -25,6 +26,8 @@ def geocode_stream(changes: DataFrame, gazetteer: DataFrame, answers: str, check
     rewritten for each batch: `with_answers` lays the answers over it, and its result can be stored now and then.
     """
 
+    gazetteer = materialize(gazetteer, "gazetteer")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         geocode_batch(batch, gazetteer, order).write.mode("overwrite").parquet(f"{answers}/batch={batch_id}")
 
