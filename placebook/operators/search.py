@@ -1,15 +1,19 @@
 """Accent-insensitive fuzzy search of many typed texts in a table of names and addresses.
 
-A text matches a field if it shares enough of the typed text's trigrams with it:
+A text matches a field if the field shares enough of the text's trigrams:
 
-    miss  = 1 - |trigrams(typed) & trigrams(field)| / |trigrams(typed)|      matches if miss <= threshold
-    score = product over matching fields of max(miss, 0.001) ** weight       lower is better
+    miss  = 1 - |trigrams(text) & trigrams(field)| / |trigrams(text)|      matches if miss <= threshold
+    score = product over matching fields of max(miss, 0.001) ** weight     lower is better
 
-A text that shares at least `need` of a typed text's n trigrams shares one of any n - need + 1 of them. So only the
-rarest n - need + 1 trigrams of each typed text are joined; the hits are then checked in full. This loses nothing.
+How this is done without comparing everything with everything, and without losing anything:
 
-Copies are worked on once: typed texts, field texts and (name, address) pairs are made distinct first. Each keeps its
-`depth` smallest record ids, since ids decide between equal scores and no more than `depth` can be among the best.
+* A field that shares at least `need` of a text's n trigrams shares one of any n - need + 1 of them. Only the rarest
+  n - need + 1 trigrams of each text are joined, and the hits then checked in full.
+* Copies are worked on once: typed texts, field texts and (name, address) pairs are made distinct. Each keeps its
+  `depth` smallest record ids; ids decide between equal scores, so no more than `depth` of them can be among the best.
+* A record that matches in both fields is found through the field in which the typed text is the less common one, and
+  its other field is checked directly. So in the more common field only the best few are needed. If that field promises
+  many hits they are looked for with small misses first; texts that have found enough take no part in the next round.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from placebook.functions.text import long_enough, normalize_query, trigrams
-from placebook.operators.joins import shuffle_partitions, skew_join
+from placebook.operators.joins import lookup, shuffle_partitions, skew_join
 from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
 # How many results, the largest miss that still matches, field weights; the smallest miss in the score.
@@ -30,14 +34,18 @@ THRESHOLD = 0.35
 WEIGHTS = {"nom": 0.7, "adresse": 0.3}
 LEAST_MISS = 0.001
 
+# Rounds of growing misses before the threshold, and the number of texts to check from which they are worth their while.
+ROUNDS = (0.1, 0.2)
+ROUNDS_FROM = 20_000_000
+
 
 @dataclass(frozen=True)
 class SearchIndex:
     """What a search needs of the searched table."""
 
-    texts: DataFrame  # field, text, ids: each distinct text of a field
+    texts: DataFrame  # field, text, ids, pairs: each distinct text of a field and in how many pairs it occurs
     pairs: DataFrame  # nom, adresse, ids: each distinct pair of texts
-    grams: DataFrame  # gram, texts: in how many texts each trigram occurs
+    grams: DataFrame  # field, gram, texts, pairs: in how many texts and pairs each trigram occurs
     depth: int  # ids kept per text and pair, ascending
 
     def save(self, path: str) -> SearchIndex:
@@ -63,71 +71,107 @@ def build_index(records: DataFrame, depth: int = BEST) -> SearchIndex:
     plain = records.select("id", normalize_query("nom").alias("nom"), normalize_query("adresse").alias("adresse"))
     pairs = materialize(first_ids(plain, ["nom", "adresse"], depth), "pairs")
     fields = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("text")) for name in WEIGHTS]))
-    long = pairs.select(fields.alias("_f"), "ids").select("_f.field", "_f.text", F.explode("ids").alias("id"))
-    searchable = long.where(F.char_length("text") >= 3)
+    long = pairs.select(fields.alias("_f"), "ids").select("_f.field", "_f.text", "ids").where(F.char_length("text") >= 3)
+    counts = long.groupBy("field", "text").agg(F.count("*").alias("pairs"))
+    texts = first_ids(long.withColumn("id", F.explode("ids")).drop("ids"), ["field", "text"], depth).join(counts, ["field", "text"])
     # Searching a text takes long for its size, so the texts are kept in many parts however small they are.
-    texts = materialize(first_ids(searchable, ["field", "text"], depth).repartition(shuffle_partitions(records), "text"), "texts")
-    grams = texts.select(F.explode(trigrams("text")).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
-    return SearchIndex(texts, pairs, materialize(grams, "grams"), depth)
+    texts = materialize(texts.repartition(shuffle_partitions(records), "text"), "texts")
+    grams = texts.select("field", F.explode(trigrams("text")).alias("gram"), "pairs").groupBy("field", "gram")
+    return SearchIndex(texts, pairs, materialize(grams.agg(F.count("*").alias("texts"), F.sum("pairs").alias("pairs")), "grams"), depth)
 
 
-def rare_grams(queries: DataFrame, grams: DataFrame, threshold: float, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """For each distinct query text `q` its rarest trigrams, one per row: (gram, q, grams from rare to common, place, need)."""
-    exploded = queries.select("q").distinct().select("q", F.explode(trigrams("q")).alias("gram"))
-    counted = skew_join(exploded, grams, ["gram"], "left", limit).groupBy("q")
-    ranked = counted.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram"))).alias("ranked"))
-    n = F.size("grams")
-    floor = F.floor((1 - threshold) * n)
-    need = F.when(1 - floor / n <= threshold, floor).otherwise(floor + 1).cast("int")
-    sized = ranked.select("q", F.col("ranked.gram").alias("grams")).withColumn("need", F.greatest(need, F.lit(1)))
-    prefix = F.posexplode(F.slice("grams", F.lit(1), n - F.col("need") + 1)).alias("place", "gram")
-    return sized.select("q", "grams", "need", prefix)
+def least_overlap(n: Column, miss: float) -> Column:
+    """The fewest of n trigrams that must be shared for a miss of at most `miss`; one at least."""
+    floor = F.floor((1 - miss) * n)
+    return F.greatest(F.when(1 - floor / n <= miss, floor).otherwise(floor + 1), F.lit(1)).cast("int")
 
 
-def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Every (query text, field text) pair that matches: q, field, text, ids, miss.
+def rare_grams(queries: DataFrame, grams: DataFrame, threshold: float, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """For each distinct query text `q` and field the rarest trigrams, one per row, as far as they occur in the field.
 
-    If the rare trigrams fit a broadcast the texts are not shuffled at all.
+    Columns: q, field, gram, `grams` from rare to common, `place` among them, `need`, and the `texts` and `pairs` with it.
     """
-    postings = index.texts.withColumn("gram", F.explode(trigrams("text")))
-    counts = index.grams.withColumnRenamed("texts", "rows")
-    if not fits:
-        needed = rare.select("gram").distinct()
-        counts = counts.join(needed, "gram", "left_semi")
-        if fits_broadcast(needed, limit):
-            postings = postings.join(F.broadcast(needed), "gram", "left_semi")
-    met = skew_join(postings, rare, ["gram"], fits=fits, counts=counts)
-    rarer = F.slice("grams", F.lit(1), F.col("place"))
-    met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
-    shared = F.size(F.filter("grams", lambda gram: F.contains(F.col("text"), gram)))
-    checked = met.where(~met_before).withColumn("_shared", shared).where(F.col("_shared") >= F.col("need"))
-    return checked.select("q", "field", "text", "ids", (1 - F.col("_shared") / F.size("grams")).alias("miss"))
+    split = queries.select("q").distinct().withColumn("gram", F.explode(trigrams("q")))
+    split = split.withColumn("field", F.explode(F.array(*map(F.lit, WEIGHTS))))
+    counted = skew_join(split, grams, ["field", "gram"], "left", limit).fillna(0, ["texts", "pairs"])
+    ranked = counted.groupBy("q", "field").agg(F.sort_array(F.collect_list(F.struct("texts", "gram", "pairs"))).alias("ranked"))
+    n = F.size("ranked")
+    needed = ranked.withColumn("need", least_overlap(n, threshold))
+    rarest = F.posexplode(F.slice("ranked", F.lit(1), n - F.col("need") + 1)).alias("place", "_g")
+    return (
+        needed.select("q", "field", F.col("ranked.gram").alias("grams"), "need", rarest)
+        .select("q", "field", "_g.gram", "grams", "place", "need", "_g.texts", "_g.pairs")
+        .where(F.col("texts") > 0)
+    )
 
 
-def _weighed(miss: Column, weight: float) -> Column:
-    return weight * F.ln(F.greatest(miss, F.lit(LEAST_MISS)))
+def shared(grams: Column | str, text: Column | str) -> Column:
+    """How many of the trigrams a text contains."""
+    return F.size(F.filter(grams, lambda gram: F.contains(F.col(text), gram)))
 
 
-def _matched_twice(nom_hits: DataFrame, adresse_hits: DataFrame, pairs: DataFrame, fits: bool) -> DataFrame:
-    """Pairs whose both texts match the same query: q, ids, score.
+def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Every field text that shares with a query text at least `need`, and less than `below` (if given), of its trigrams.
 
-    Each pair goes through that of its texts which fewer queries match, so a name on which many queries agree is not
-    multiplied by all its addresses.
+    Columns: q, field, text, ids, miss, and the columns `rare` has besides. If the rare trigrams fit a broadcast the
+    texts are not shuffled at all.
     """
-    nom_hits, adresse_hits = (
-        nom_hits.join(adresse_hits.select("q"), "q", "left_semi"),
-        adresse_hits.join(nom_hits.select("q"), "q", "left_semi"),
-    )
-    by_nom = nom_hits.groupBy("nom").agg(F.count("*").alias("nom_queries"))
-    by_adresse = adresse_hits.groupBy("adresse").agg(F.count("*").alias("adresse_queries"))
-    touched = skew_join(skew_join(pairs, by_nom, ["nom"], fits=fits), by_adresse, ["adresse"], fits=fits)
-    through_nom = F.col("nom_queries") <= F.col("adresse_queries")
-    via_nom = skew_join(touched.where(through_nom), nom_hits, ["nom"], fits=fits)
-    via_adresse = skew_join(touched.where(~through_nom), adresse_hits, ["adresse"], fits=fits)
-    both = skew_join(via_nom, adresse_hits, ["q", "adresse"], fits=fits).unionByName(
-        skew_join(via_adresse, nom_hits, ["q", "nom"], fits=fits)
-    )
-    return both.select("q", "ids", (F.col("nom_score") + F.col("adresse_score")).alias("score"))
+    on = ["field", "gram"]
+    postings = index.texts.select("field", "text", "ids", F.explode(trigrams("text")).alias("gram"))
+    counts = index.grams.select(*on, F.col("texts").alias("rows"))
+    rare = rare.drop("texts", "pairs")
+    if not fits:
+        needed = rare.select(*on).distinct()
+        counts = counts.join(needed, on, "left_semi")
+        if fits_broadcast(needed, limit):
+            postings = postings.join(F.broadcast(needed), on, "left_semi")
+    met = skew_join(postings, rare, on, fits=fits, counts=counts)
+    rarer = F.slice("grams", F.lit(1), F.col("place"))
+    met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
+    checked = met.where(~met_before).withColumn("_shared", shared("grams", "text")).where(F.col("_shared") >= F.col("need"))
+    if "below" in rare.columns:
+        checked = checked.where(F.col("_shared") < F.col("below"))
+    miss = 1 - F.col("_shared") / F.size("grams")
+    return checked.withColumn("miss", miss).drop("_shared", "gram", "grams", "place", "need", "below")
+
+
+def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fits: bool, limit: int, rounds: tuple | None) -> DataFrame:
+    """Hits (q, field, text, ids, miss, narrow): all in the field where the text is less common (`narrow`), of those in
+    the other field at least the best `k` records."""
+    cost = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
+    narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"))
+    routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("narrow", F.col("field") == F.col("_field")).drop("_field")
+    if rounds is None:
+        many = rare.agg(F.sum("texts")).first()[0] or 0
+        rounds = ROUNDS if many >= ROUNDS_FROM else ()
+    n, hits = F.size("grams"), None
+    misses = [miss for miss in rounds if miss < threshold] + [threshold]
+    for earlier, miss in zip([None, *misses], misses):
+        need = F.when(F.col("narrow"), F.col("need")).otherwise(least_overlap(n, miss))
+        below = n + 1 if earlier is None else least_overlap(n, earlier)
+        wanted = routed.withColumns({"need": need, "below": below}).where(F.col("place") <= n - F.col("need"))
+        found = materialize(match_texts(wanted, index, fits, limit), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+        enough = hits.where(~F.col("narrow")).groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= k)
+        routed = routed.where(~F.col("narrow")).join(enough, "q", "left_anti")
+    return hits
+
+
+def _weighed(field: Column | str, miss: Column | str, weights: Mapping[str, float]) -> Column:
+    weight = reduce(lambda other, name: other.when(F.col(field) == name, F.lit(float(weights[name]))), WEIGHTS, F)
+    return weight * F.ln(F.greatest(F.col(miss), F.lit(LEAST_MISS)))
+
+
+def _matched_twice(hits: DataFrame, pairs: DataFrame, threshold: float, weights: Mapping[str, float], fits: bool) -> DataFrame:
+    """Pairs whose other text matches too: q, ids, score."""
+    both = []
+    for name, other in (WEIGHTS, reversed(WEIGHTS)):
+        own = hits.where(F.col("field") == name).select("q", F.col("text").alias(name), "score")
+        met = skew_join(pairs, own, [name], fits=fits).withColumn("_grams", trigrams("q"))
+        miss = 1 - shared("_grams", other) / F.size("_grams")
+        checked = met.select("q", "ids", "score", F.lit(other).alias("_other"), miss.alias("_miss")).where((F.col("_miss") <= threshold) & (F.col("_miss") < 1))
+        both.append(checked.select("q", "ids", (F.col("score") + _weighed("_other", "_miss", weights)).alias("score")))
+    return both[0].unionByName(both[1])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -150,25 +194,24 @@ def fuzzy_search(
     threshold: float = THRESHOLD,
     weights: Mapping[str, float] = WEIGHTS,
     limit: int = BROADCAST_ROWS,
+    rounds: tuple[float, ...] | None = None,
 ) -> DataFrame:
-    """The best `k` records for each query (qid, text): qid, rank, id, score. Queries under 3 characters find nothing."""
+    """The best `k` records for each query (qid, text): qid, rank, id, score. Queries under 3 characters find nothing.
+
+    `limit` (rows to broadcast) and `rounds` (misses to try first, by default chosen by size) do not change the result.
+    """
     index = records if isinstance(records, SearchIndex) else build_index(records, k)
     if k > index.depth:
         raise ValueError(f"the index keeps {index.depth} ids per text, too few for the best {k}")
     typed = queries.where(long_enough("text")).select("qid", normalize_query("text").alias("q"))
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = fits_broadcast(rare, limit)
-    hits = materialize(match_texts(rare, index, few_queries, limit), "hits")
-    few_hits = fits_broadcast(hits.drop("ids"), limit)
-    found = {
-        name: hits.where(F.col("field") == name).select(
-            "q", F.col("text").alias(name), "ids", _weighed(F.col("miss"), weights[name]).alias(f"{name}_score")
-        )
-        for name in WEIGHTS
-    }
-    alone = [hit.select("q", "ids", F.col(f"{name}_score").alias("score")) for name, hit in found.items()]
-    both = _matched_twice(found["nom"].drop("ids"), found["adresse"].drop("ids"), index.pairs, few_hits)
-    best = _best(reduce(DataFrame.unionByName, [*alone, both]), k)
+    hits = find_hits(rare, index, k, threshold, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
+    # Only where both fields have some of the rarest trigrams can both match.
+    in_both = rare.groupBy("q").agg(F.count_distinct("field").alias("_n")).where(F.col("_n") == len(WEIGHTS)).select("q")
+    narrow = lookup(hits.where("narrow"), in_both, ["q"], "left_semi", fits=few_queries).select("q", "field", "text", "score")
+    both = _matched_twice(narrow, index.pairs, threshold, weights, fits_broadcast(narrow, limit))
+    best = _best(hits.select("q", "ids", "score").unionByName(both), k)
     # No more rows than distinct query texts, of which there are no more than rare trigrams.
     ranked = best.groupBy("q").agg(F.collect_list(F.struct("rank", "id", "score")).alias("found"))
     return skew_join(typed, ranked, ["q"], fits=few_queries).select("qid", F.inline("found"))

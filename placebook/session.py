@@ -36,15 +36,17 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is within both limits; looks at no more than `rows + 1` rows."""
-    widths = [F.lit(0)]
+    """Whether the table is within both limits. Of a larger table only as many parts are read as hold `rows + 1` rows."""
+    if df.select(F.lit(1)).offset(rows).first() is not None:
+        return False
+    widths = []
     for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
-            widths.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
+            widths.append(F.coalesce(F.octet_length(column), F.lit(0)))
         elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(field.name)))) * 4, F.lit(0)))
+            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))) * 4, F.lit(0)))
         else:
             widths.append(F.lit(8))
-    width = sum(widths[1:], widths[0]).cast("long")
-    seen = df.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
-    return seen["rows"] <= rows and seen["size"] <= size
+    total = df.agg(F.sum(sum(widths, F.lit(0)).cast("long"))).first()[0]
+    return (total or 0) <= size

@@ -3,10 +3,21 @@ import random
 import unicodedata
 
 import pytest
-
-from placebook.operators.search import THRESHOLD, WEIGHTS, build_index, fuzzy_search, load_index, match_texts, rare_grams
+from pyspark.sql import functions as F
+
+from placebook.operators.search import (
+    THRESHOLD,
+    WEIGHTS,
+    build_index,
+    find_hits,
+    fuzzy_search,
+    least_overlap,
+    load_index,
+    match_texts,
+    rare_grams,
+)
 from placebook.plans.picker import search_table, write_best
-from placebook.session import new_folder
+from placebook.session import materialize, new_folder
 
 
 def plain(text):
@@ -57,13 +68,26 @@ def tables(spark, seed, n_records=300, n_queries=60, words=8):
     )
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 500_000), (2, 500_000), (3, 0)])
-def test_equals_brute_force(spark, seed, limit):
+@pytest.mark.parametrize("seed,limit,rounds", [(1, 500_000, None), (2, 500_000, (0.1, 0.2)), (3, 0, None), (4, 0, (0.0, 0.15, 0.3, 0.5))])
+def test_equals_brute_force(spark, seed, limit, rounds):
     queries, records, queries_df, records_df = tables(spark, seed)
-    got = sorted(tuple(row) for row in fuzzy_search(queries_df, records_df, limit=limit).collect())
+    got = sorted(tuple(row) for row in fuzzy_search(queries_df, records_df, limit=limit, rounds=rounds).collect())
     assert got == brute_force(queries, records)
 
 
+@pytest.mark.parametrize("rounds", [(), (0.1, 0.2)])
+def test_names_that_nearly_agree(spark, rounds):
+    """A third of names and queries differ in their last letters only."""
+    pick = random.Random(10)
+    names = [f"societe civile immobiliere {pick.choice(['du', 'pont', 'val', 'bel'])}{i % 40}" for i in range(120)]
+    records = [(i, name, f"{i % 7} place du {pick.choice(['pont', 'bel air'])}") for i, name in enumerate(names)]
+    queries = [(i, name.replace("v", pick.choice("vw"))) for i, name in enumerate(names[:40])] + [(90, "place du pont")]
+    got = fuzzy_search(
+        spark.createDataFrame(queries, "qid long, text string"), spark.createDataFrame(records, "id long, nom string, adresse string"), rounds=rounds
+    )
+    assert sorted(tuple(row) for row in got.collect()) == brute_force(queries, records)
+
+
 def test_other_limits(spark):
     queries, records, queries_df, records_df = tables(spark, 5, 150, 30)
     weights = {"nom": 0.4, "adresse": 0.6}
@@ -87,11 +111,10 @@ def test_no_records_and_no_queries(spark):
     assert fuzzy_search(queries_df, records_df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", range(1, 120))
-def test_need_is_the_least_overlap_that_matches(n):
-    floor = math.floor((1 - THRESHOLD) * n)
-    need = max(floor if 1 - floor / n <= THRESHOLD else floor + 1, 1)
-    assert need == min(c for c in range(1, n + 1) if 1 - c / n <= THRESHOLD)
+@pytest.mark.parametrize("miss", [0.0, 0.1, 0.2, THRESHOLD, 0.6, 1.0])
+def test_need_is_the_least_overlap_that_matches(spark, miss):
+    got = spark.range(1, 400).select("id", least_overlap(F.col("id"), miss)).collect()
+    assert [(n, need) for n, need in got if need != min(c for c in range(1, n + 1) if 1 - c / n <= miss)] == []
 
 
 def test_few_trigrams_are_joined_and_each_hit_comes_once(spark):
@@ -105,6 +128,18 @@ def test_few_trigrams_are_joined_and_each_hit_comes_once(spark):
     assert len(hits) == len(set(hits)) > 0
 
 
+def test_rounds_check_fewer_texts(spark):
+    """A text with enough good hits takes no part in later rounds, and no hit is found twice."""
+    records = spark.range(400).selectExpr("id", "concat('societe civile immobiliere ', substr(md5(string(id % 50)), 1, 6)) as nom", "'3 rue haute' as adresse")
+    typed = records.select("id", F.col("nom").alias("q")).limit(30)
+    index = build_index(records)
+    rare = materialize(rare_grams(typed, index.grams, THRESHOLD), "test-rare")
+    once = find_hits(rare, index, 5, THRESHOLD, True, 1000, ()).select("q", "field", "text").collect()
+    rounds = find_hits(rare, index, 5, THRESHOLD, True, 1000, (0.0, 0.1)).select("q", "field", "text").collect()
+    assert len(set(rounds)) == len(rounds) <= len(once)
+    assert set(rounds) <= set(once)
+
+
 def test_small_batches_leave_the_texts_in_place(spark, plan_of):
     _, _, queries_df, records_df = tables(spark, 9)
     index = build_index(records_df)
