@@ -12,8 +12,8 @@ How this is done without comparing everything with everything, and without losin
 * Copies are worked on once: typed texts, field texts and (name, address) pairs are made distinct. Each keeps its
   `depth` smallest record ids; ids decide between equal scores, so no more than `depth` of them can be among the best.
 * A record that matches in both fields is found through the field in which the typed text is the less common one, and
-  its other field is checked directly. So in the more common field only the best few are needed. If that field promises
-  many hits they are looked for with small misses first; texts that have found enough take no part in the next round.
+  its other field is checked directly. So in the more common field only the best few are needed. If many hits are to be
+  expected they are looked for with small misses first; texts that have found enough take no part in the next round.
 """
 
 from __future__ import annotations
@@ -113,11 +113,11 @@ def shared(grams: Column | str, text: Column | str) -> Column:
 def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every field text that shares with a query text at least `need`, and less than `below` (if given), of its trigrams.
 
-    Columns: q, field, text, ids, miss, and the columns `rare` has besides. If the rare trigrams fit a broadcast the
+    Columns: q, field, text, ids, pairs, miss, and the columns `rare` has besides. If the rare trigrams fit a broadcast the
     texts are not shuffled at all.
     """
     on = ["field", "gram"]
-    postings = index.texts.select("field", "text", "ids", F.explode(trigrams("text")).alias("gram"))
+    postings = index.texts.select("field", "text", "ids", "pairs", F.explode(trigrams("text")).alias("gram"))
     counts = index.grams.select(*on, F.col("texts").alias("rows"))
     rare = rare.drop("texts", "pairs")
     if not fits:
@@ -135,28 +135,42 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
     return checked.withColumn("miss", miss).drop("_shared", "gram", "grams", "place", "need", "below")
 
 
-def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fits: bool, limit: int, rounds: tuple | None) -> DataFrame:
-    """Hits (q, field, text, ids, miss, narrow): all in the field where the text is less common (`narrow`), of those in
-    the other field at least the best `k` records."""
-    cost = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
-    narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"))
-    routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("narrow", F.col("field") == F.col("_field")).drop("_field")
-    if rounds is None:
-        many = rare.agg(F.sum("texts")).first()[0] or 0
-        rounds = ROUNDS if many >= ROUNDS_FROM else ()
-    n, hits = F.size("grams"), None
-    misses = [miss for miss in rounds if miss < threshold] + [threshold]
+def choose_rounds(rare: DataFrame) -> tuple[float, ...]:
+    """Rounds before the threshold, if there are many texts to check."""
+    many = rare.agg(F.sum("texts")).first()[0] or 0
+    return ROUNDS if many >= ROUNDS_FROM else ()
+
+
+def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fits: bool, limit: int, rounds: tuple[float, ...]) -> DataFrame:
+    """Hits (q, field, text, ids, pairs, miss, whole): where `whole` all hits of the query text in the field, else at
+    least those that make the best `k` records. Without rounds all are whole, with rounds the field where the text's
+    rarest trigrams are the less common."""
+    routed = rare.withColumn("whole", F.lit(True))
+    if rounds:
+        cost = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
+        narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"))
+        routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("whole", F.col("field") == F.col("_field")).drop("_field")
+    n, hits, misses = F.size("grams"), None, [*rounds, threshold]
     for earlier, miss in zip([None, *misses], misses):
-        need = F.when(F.col("narrow"), F.col("need")).otherwise(least_overlap(n, miss))
+        need = F.when(F.col("whole"), F.col("need")).otherwise(least_overlap(n, miss))
         below = n + 1 if earlier is None else least_overlap(n, earlier)
         wanted = routed.withColumns({"need": need, "below": below}).where(F.col("place") <= n - F.col("need"))
         found = materialize(match_texts(wanted, index, fits, limit), "hits")
         hits = found if hits is None else hits.unionByName(found)
-        enough = hits.where(~F.col("narrow")).groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= k)
-        routed = routed.where(~F.col("narrow")).join(enough, "q", "left_anti")
+        enough = hits.where(~F.col("whole")).groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= k)
+        routed = routed.where(~F.col("whole")).join(enough, "q", "left_anti")
     return hits
 
 
+def _worth_checking(hits: DataFrame, every_field: bool, fits: bool) -> DataFrame:
+    """Of each query text the whole hits in that field where they are the fewer, if the other field may match as well."""
+    cost = hits.where("whole").groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
+    chosen = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("field"), F.count("*").alias("_n"))
+    if every_field:
+        chosen = chosen.where(F.col("_n") == len(WEIGHTS))
+    return lookup(hits.where("whole"), chosen.select("q", "field"), ["q", "field"], "left_semi", fits=fits)
+
+
 def _weighed(field: Column | str, miss: Column | str, weights: Mapping[str, float]) -> Column:
     weight = reduce(lambda other, name: other.when(F.col(field) == name, F.lit(float(weights[name]))), WEIGHTS, F)
     return weight * F.ln(F.greatest(F.col(miss), F.lit(LEAST_MISS)))
@@ -166,8 +180,8 @@ def _matched_twice(hits: DataFrame, pairs: DataFrame, threshold: float, weights:
     """Pairs whose other text matches too: q, ids, score."""
     both = []
     for name, other in (WEIGHTS, reversed(WEIGHTS)):
-        own = hits.where(F.col("field") == name).select("q", F.col("text").alias(name), "score")
-        met = skew_join(pairs, own, [name], fits=fits).withColumn("_grams", trigrams("q"))
+        own = hits.where(F.col("field") == name).select("q", F.col("text").alias(name), "score", trigrams("q").alias("_grams"))
+        met = skew_join(pairs, own, [name], fits=fits)
         miss = 1 - shared("_grams", other) / F.size("_grams")
         checked = met.select("q", "ids", "score", F.lit(other).alias("_other"), miss.alias("_miss")).where((F.col("_miss") <= threshold) & (F.col("_miss") < 1))
         both.append(checked.select("q", "ids", (F.col("score") + _weighed("_other", "_miss", weights)).alias("score")))
@@ -206,10 +220,11 @@ def fuzzy_search(
     typed = queries.where(long_enough("text")).select("qid", normalize_query("text").alias("q"))
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = fits_broadcast(rare, limit)
+    if rounds is None:
+        rounds = choose_rounds(rare)
+    rounds = tuple(miss for miss in rounds if miss < threshold)
     hits = find_hits(rare, index, k, threshold, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
-    # Only where both fields have some of the rarest trigrams can both match.
-    in_both = rare.groupBy("q").agg(F.count_distinct("field").alias("_n")).where(F.col("_n") == len(WEIGHTS)).select("q")
-    narrow = lookup(hits.where("narrow"), in_both, ["q"], "left_semi", fits=few_queries).select("q", "field", "text", "score")
+    narrow = _worth_checking(hits, not rounds, few_queries).select("q", "field", "text", "score")
     both = _matched_twice(narrow, index.pairs, threshold, weights, fits_broadcast(narrow, limit))
     best = _best(hits.select("q", "ids", "score").unionByName(both), k)
     # No more rows than distinct query texts, of which there are no more than rare trigrams.
