@@ -36,7 +36,7 @@ LEAST_MISS = 0.001
 
 # Rounds of growing misses before the threshold, and the number of texts to check from which they are worth their while.
 ROUNDS = (0.1, 0.2)
-ROUNDS_FROM = 20_000_000
+ROUNDS_FROM = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,9 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
     met = skew_join(postings, rare, on, fits=fits, counts=counts)
     rarer = F.slice("grams", F.lit(1), F.col("place"))
     met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
-    checked = met.where(~met_before).withColumn("_shared", shared("grams", "text")).where(F.col("_shared") >= F.col("need"))
+    # The explode keeps the count from being taken again in each of the conditions on it.
+    counted = met.where(~met_before).withColumn("_shared", F.explode(F.array(shared("grams", "text"))))
+    checked = counted.where(F.col("_shared") >= F.col("need"))
     if "below" in rare.columns:
         checked = checked.where(F.col("_shared") < F.col("below"))
     miss = 1 - F.col("_shared") / F.size("grams")
@@ -148,8 +150,10 @@ def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fit
     routed = rare.withColumn("whole", F.lit(True))
     if rounds:
         cost = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
-        narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"))
-        routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("whole", F.col("field") == F.col("_field")).drop("_field")
+        narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"), F.count("*").alias("_n"))
+        # Where only one field has any of the trigrams, nothing matches twice and the best are enough.
+        whole = (F.col("field") == F.col("_field")) & (F.col("_n") == len(WEIGHTS))
+        routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("whole", whole).drop("_field", "_n")
     n, hits, misses = F.size("grams"), None, [*rounds, threshold]
     for earlier, miss in zip([None, *misses], misses):
         need = F.when(F.col("whole"), F.col("need")).otherwise(least_overlap(n, miss))
@@ -182,8 +186,9 @@ def _matched_twice(hits: DataFrame, pairs: DataFrame, threshold: float, weights:
     for name, other in (WEIGHTS, reversed(WEIGHTS)):
         own = hits.where(F.col("field") == name).select("q", F.col("text").alias(name), "score", trigrams("q").alias("_grams"))
         met = skew_join(pairs, own, [name], fits=fits)
-        miss = 1 - shared("_grams", other) / F.size("_grams")
-        checked = met.select("q", "ids", "score", F.lit(other).alias("_other"), miss.alias("_miss")).where((F.col("_miss") <= threshold) & (F.col("_miss") < 1))
+        counted = met.withColumn("_shared", F.explode(F.array(shared("_grams", other)))).where(F.col("_shared") > 0)
+        missed = counted.withColumns({"_other": F.lit(other), "_miss": 1 - F.col("_shared") / F.size("_grams")})
+        checked = missed.where(F.col("_miss") <= threshold)
         both.append(checked.select("q", "ids", (F.col("score") + _weighed("_other", "_miss", weights)).alias("score")))
     return both[0].unionByName(both[1])
 
@@ -224,7 +229,7 @@ def fuzzy_search(
         rounds = choose_rounds(rare)
     rounds = tuple(miss for miss in rounds if miss < threshold)
     hits = find_hits(rare, index, k, threshold, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
-    narrow = _worth_checking(hits, not rounds, few_queries).select("q", "field", "text", "score")
+    narrow = materialize(_worth_checking(hits, not rounds, few_queries).select("q", "field", "text", "score"), "narrow")
     both = _matched_twice(narrow, index.pairs, threshold, weights, fits_broadcast(narrow, limit))
     best = _best(hits.select("q", "ids", "score").unionByName(both), k)
     # No more rows than distinct query texts, of which there are no more than rare trigrams.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,16 +13,19 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
+@cache
+def _folder_of_run(application: str) -> str:
+    return tempfile.mkdtemp(prefix="placebook-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`, which all executors reach."""
+    """The folder named in `spark.checkpoint.dir`, which all executors reach. Only a local run may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="placebook-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _folder_of_run(spark.sparkContext.applicationId)
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
