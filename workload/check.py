@@ -7,7 +7,7 @@ import sys
 import time
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -46,14 +46,10 @@ def differences(got: list[tuple], expected: list[tuple]) -> list[tuple]:
     return pairs
 
 
-def compare(spark: SparkSession, connection: duckdb.DuckDBPyConnection, name: str, sf_dir: str) -> tuple[bool, str]:
+def compare(connection: duckdb.DuckDBPyConnection, name: str, df: DataFrame) -> tuple[bool, str]:
     from workload.oracle import ORACLE
-    from workload.queries import QUERIES
 
-    start = time.time()
-    df = QUERIES[name](spark, sf_dir)
     got = rows_by_name(df.columns, [tuple(row) for row in df.collect()])
-    took = time.time() - start
     result = connection.execute(ORACLE[name])
     names = [column[0] for column in result.description]
     expected = rows_by_name(names, result.fetchall())
@@ -62,7 +58,7 @@ def compare(spark: SparkSession, connection: duckdb.DuckDBPyConnection, name: st
     wrong = differences(got, expected)
     if len(got) != len(expected) or wrong:
         return False, f"{len(got)} against {len(expected)} rows, {len(wrong)} differ, such as {wrong[:2]}"
-    return True, f"{len(got)} rows, {took:.1f} s"
+    return True, f"{len(got)} rows"
 
 
 def main() -> int:
@@ -72,7 +68,9 @@ def main() -> int:
     spark, connection, failed = session(), connect(sf_dir), 0
     for name in sys.argv[2:] or QUERIES:
         try:
-            fine, message = compare(spark, connection, name, sf_dir)
+            start = time.time()
+            fine, message = compare(connection, name, QUERIES[name](spark, sf_dir))
+            message += f", {time.time() - start:.1f} s"
         except Exception as problem:  # noqa: BLE001 - reported, and the others still run
             fine, message = False, f"{type(problem).__name__}: {str(problem)[:1500]}"
         failed += not fine
