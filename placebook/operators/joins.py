@@ -8,7 +8,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
-from placebook.session import BROADCAST_ROWS, fits_broadcast
+from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -46,7 +46,7 @@ def skew_join(
     on = list(on)
     if fits_broadcast(small, rows=limit) if fits is None else fits:
         return large.join(F.broadcast(small), on, how)
-    hot = F.broadcast(hot_keys(count_keys(large, on) if counts is None else counts, on))
+    hot = F.broadcast(materialize(hot_keys(count_keys(large, on) if counts is None else counts, on), "hot"))
     unmatched = reduce(or_, [F.col(name).isNull() for name in on])
     pieces = F.coalesce("pieces", F.lit(1))
     spread = F.when(unmatched, F.lit(shuffle_partitions(large))).otherwise(pieces)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placebook.operators.filters import filter_short_queries
 
@@ -21,17 +22,19 @@ def debounce(
     Time is cut into slices at least `gap` long, so that a busy key is spread over tasks. Within a slice the next input
     is the next row; the last row of a slice looks at the first input of the following slice.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = F.greatest(_micros(gap), _micros(slice_length))
-    order_columns = list(order)
-    sliced = df.select(key, ts, text, *[name for name in order_columns if name not in (key, ts, text)], micros.alias("_at"))
-    sliced = sliced.withColumn("_slice", F.floor(F.col("_at") / width))
-    following = sliced.groupBy(key, (F.col("_slice") - 1).alias("_slice")).agg(F.min("_at").alias("_following"))
-    in_slice = Window.partitionBy(key, "_slice").orderBy("_at", *order_columns)
-    ahead = sliced.withColumn("_next", F.lead("_at").over(in_slice))
-    ends = ahead.where(F.col("_next").isNull() | (F.col("_next") - F.col("_at") >= _micros(gap)))
-    joined = ends.join(following, [key, "_slice"], "left")
-    last = joined.where(F.col("_next").isNotNull() | F.col("_following").isNull() | (F.col("_following") - F.col("_at") >= _micros(gap)))
+    silence = F.expr(f"interval '{gap}'")
+    length = max(pd.Timedelta(gap), pd.Timedelta(slice_length)) // pd.Timedelta(microseconds=1)
+    kept = [key, ts, text, *[name for name in order if name not in (key, ts, text)]]
+    cut = df.select(*kept, F.window(ts, f"{length} microseconds").alias("_w"))
+    sliced = cut.select(*kept, F.col("_w.start").alias("_slice"), F.col("_w.end").alias("_next_slice"))
+    following = sliced.groupBy(key, F.col("_slice").alias("_next_slice")).agg(F.min(ts).alias("_following"))
+
+    def quiet_until(then: str) -> Column:
+        return F.col(then).isNull() | (F.col(then) - F.col(ts) >= silence)
+
+    in_slice = Window.partitionBy(key, "_slice").orderBy(ts, *order)
+    ends = sliced.withColumn("_next", F.lead(ts).over(in_slice)).where(quiet_until("_next"))
+    last = ends.join(following, [key, "_next_slice"], "left").where(F.col("_next").isNotNull() | quiet_until("_following"))
     return filter_short_queries(last.select(key, ts, text), text, least)
 
 
@@ -47,6 +50,3 @@ def debounce_stream(
     bursts = timed.groupBy(key, F.session_window("_ts", gap)).agg(last)
     return filter_short_queries(bursts.select(key, f"_last.{ts}", f"_last.{text}"), text, least)
 
-
-def _micros(length: str):
-    return F.unix_micros(F.expr(f"timestamp'1970-01-01 00:00:00Z' + interval '{length}'"))

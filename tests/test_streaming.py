@@ -56,6 +56,18 @@ def test_slices_change_nothing(spark, slice_length):
     assert as_rows(got) == last_inputs(rows)
 
 
+def test_clock_changes_do_not_stretch_silence(spark):
+    """Wall-clock inputs around a night without the hour from two to three."""
+    df = spark.createDataFrame([(1, "2024-03-10 01:59:59.9", "abc"), (1, "2024-03-10 03:00:00.0", "abcd")], "user long, t string, text string")
+    df = df.select("user", F.col("t").cast("timestamp_ntz").alias("ts"), "text")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert debounce(df, "user", "ts", "text").count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_stream_gives_what_the_batch_gives_but_for_open_bursts(spark):
     pick = random.Random(5)
     rows = [(pick.randrange(3), pick.randrange(60_000), pick.choice(["ab", "abc", "abcd"])) for _ in range(600)]
