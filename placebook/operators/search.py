@@ -110,6 +110,16 @@ def shared(grams: Column | str, text: Column | str) -> Column:
     return F.size(F.filter(grams, lambda gram: F.contains(F.col(text), gram)))
 
 
+def grams_of(rare: DataFrame) -> DataFrame:
+    """The trigrams of each query text, from rare to common in each field: q, field, grams."""
+    return rare.groupBy("q", "field").agg(F.any_value("grams").alias("grams"))
+
+
+def few_enough(rare: DataFrame, limit: int) -> bool:
+    """Whether both tables that a search broadcasts, the rare trigrams and all trigrams of each text, are within the limits."""
+    return fits_broadcast(rare.drop("grams"), limit) and fits_broadcast(grams_of(rare), limit)
+
+
 def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every field text that shares with a query text at least `need`, and less than `below` (if given), of its trigrams.
 
@@ -120,12 +130,13 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
     postings = index.texts.select("field", "text", "ids", "pairs", F.explode(trigrams("text")).alias("gram"))
     counts = index.grams.select(*on, F.col("texts").alias("rows"))
     rare = rare.drop("texts", "pairs")
-    if not fits:
+    if fits:
+        met = postings.join(F.broadcast(rare.drop("grams")), on).join(F.broadcast(grams_of(rare)), ["q", "field"])
+    else:
         needed = rare.select(*on).distinct()
-        counts = counts.join(needed, on, "left_semi")
         if fits_broadcast(needed, limit):
             postings = postings.join(F.broadcast(needed), on, "left_semi")
-    met = skew_join(postings, rare, on, fits=fits, counts=counts)
+        met = skew_join(postings, rare, on, fits=False, counts=counts.join(needed, on, "left_semi"))
     rarer = F.slice("grams", F.lit(1), F.col("place"))
     met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
     # The explode keeps the count from being taken again in each of the conditions on it.
@@ -224,7 +235,7 @@ def fuzzy_search(
         raise ValueError(f"the index keeps {index.depth} ids per text, too few for the best {k}")
     typed = queries.where(long_enough("text")).select("qid", normalize_query("text").alias("q"))
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
-    few_queries = fits_broadcast(rare, limit)
+    few_queries = few_enough(rare, limit)
     if rounds is None:
         rounds = choose_rounds(rare)
     rounds = tuple(miss for miss in rounds if miss < threshold)
