@@ -25,3 +25,5 @@ def op3_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_byte_pair_encoding": op3_byte_pair_encoding,
 }
+
+ORACLE: dict[str, str] = {}
