@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe
+from placebook.llm import bpe, linededup, quality
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(documents, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -22,8 +27,18 @@ def op3_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op2_distribution_divergence": op2_distribution_divergence,
     "op3_byte_pair_encoding": op3_byte_pair_encoding,
+    "op4_line_dedup": op4_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_distribution_divergence": quality.ORACLE,
+    "op4_line_dedup": linededup.ORACLE,
+}
