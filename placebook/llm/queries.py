@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, linededup, quality
+from placebook.llm import bpe, decontam, linededup, quality
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,13 +32,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 QUERIES = {
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_byte_pair_encoding": op3_byte_pair_encoding,
     "op4_line_dedup": op4_line_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 
 ORACLE = {
     "op2_distribution_divergence": quality.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
+    "op6_benchmark_decontamination": decontam.ORACLE,
 }
