@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, linededup, quality
+from placebook.llm import bpe, decontam, jaccard, linededup, quality
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -38,11 +38,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_byte_pair_encoding": op3_byte_pair_encoding,
     "op4_line_dedup": op4_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
 ORACLE = {
