@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, jaccard, linededup, quality, toxicity
+from placebook.llm import bpe, decontam, jaccard, linededup, quality, toxicity, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
@@ -54,10 +59,12 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_warc": op8_warc,
 }
 
 ORACLE = {
     "op2_distribution_divergence": quality.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
     "op6_benchmark_decontamination": decontam.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
