@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, jaccard, linededup, quality, toxicity, warc
+from placebook.llm import bpe, decontam, html, jaccard, linededup, quality, toxicity, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -52,6 +52,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE = {
