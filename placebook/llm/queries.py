@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, html, jaccard, linededup, quality, toxicity, warc
+from placebook.llm import bpe, decontam, html, jaccard, licenses, linededup, pii, quality, toxicity, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+# Not a secret: real jobs pass their own.
+PSEUDONYM_KEY = "key of the checks"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pseudonyms", lambda p: p["kind"]))), ",").alias("kinds")
+    return done.select("doc_id", F.size("pseudonyms").cast("long").alias("n_replaced"), kinds, "text")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -56,15 +66,24 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"]))), ",")
+    share = F.coalesce(F.array_max(F.transform("licenses", lambda m: m["share"])), F.lit(0.0))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), share.alias("largest_share"), names.alias("licenses"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_byte_pair_encoding": op3_byte_pair_encoding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
     "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE = {
