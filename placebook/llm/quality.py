@@ -197,6 +197,12 @@ def judge(docs: DataFrame, found: dict[str, tuple[list[float], list[float]]] | N
     return judged.withColumn("kept", kept).drop("_words")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """`docs` without the rows that are not kept, columns as they were."""
+    whole = docs.select("text", "lang", F.struct("*").alias("_all"))
+    return judge(whole).where("kept").select("_all.*")
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + str(value).replace("'", "''") + "'" for value in values) + "]"
 
