@@ -49,5 +49,5 @@ def valid_points(df: DataFrame) -> DataFrame:
 def select_records(df: DataFrame, chosen: int | DataFrame) -> DataFrame:
     """Only the chosen record, or those whose id occurs in a table of chosen ids."""
     if isinstance(chosen, DataFrame):
-        return df.join(chosen.select("id"), "id", "left_semi")
+        return df.join(chosen.select("id").distinct(), "id", "left_semi")
     return df.where(F.col("id") == chosen)

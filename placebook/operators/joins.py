@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,12 +19,20 @@ def count_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count("*").alias("rows"))
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """From the number of `rows` per key: the keys that hold more than an average shuffle partition, and over how many
-    `pieces` to spread each. At most as many rows as there are shuffle partitions, whatever the data.
+def hot_keys(counts: DataFrame, others: DataFrame, on: Sequence[str], both: bool = True) -> DataFrame:
+    """From the `rows` per key of both sides: the keys that bring more work than an average shuffle partition, and over
+    how many pieces to spread each side's rows. Work is the rows read and made. With `both` the larger side of a key is
+    cut the finer, else only the first side is cut. At most as many keys as there are shuffle partitions.
     """
-    share = F.col("rows") * shuffle_partitions(counts) / counts.agg(F.sum("rows")).scalar()
-    return counts.where(share > 1).select(*on, F.ceil(share).cast("int").alias("pieces"))
+    rows, other = F.col("rows"), F.coalesce("_other", F.lit(0))
+    met = counts.join(others.withColumnRenamed("rows", "_other"), list(on), "left")
+    met = materialize(met.select(*on, "rows", other.alias("_other"), (rows + other + rows * other).cast("double").alias("_work")), "key-counts")
+    share = F.col("_work") * shuffle_partitions(counts) / met.agg(F.sum("_work")).scalar()
+    other = F.col("_other")
+    most = F.when(other > 0, F.sqrt(F.ceil(share) * rows / other)).otherwise(F.ceil(share)) if both else F.ceil(share)
+    cut = met.where(share > 1).withColumn("pieces", F.least(rows, F.ceil(F.greatest(F.lit(1.0), most))).cast("int"))
+    others_cut = F.least(F.greatest(other, F.lit(1)), F.ceil(share / F.col("pieces"))) if both else F.lit(1)
+    return cut.select(*on, "pieces", others_cut.cast("int").alias("other_pieces"))
 
 
 def skew_join(
@@ -39,21 +47,37 @@ def skew_join(
     """`large.join(small, on, how)`, inner or left.
 
     A small side within the size limits is broadcast; `fits` says so where the caller has measured it, else it is
-    measured here. Beyond the limits both sides are shuffled; the rows of a hot key of the large side are spread over
-    several pieces, and the small side's rows of that key are repeated for each. `counts` are the large side's `rows`
-    per key, if known.
+    measured here. Beyond the limits both sides are shuffled. The rows of keys that bring too much work for one task are
+    stored and numbered, each side's are dealt to pieces by their number, so that also equal rows part, and each piece of
+    the one side meets each piece of the other. In a left join only the large side is cut. `counts` are the large side's
+    `rows` per key, if known.
     """
     on = list(on)
     if fits_broadcast(small, rows=limit) if fits is None else fits:
         return large.join(F.broadcast(small), on, how)
-    hot = F.broadcast(materialize(hot_keys(count_keys(large, on) if counts is None else counts, on), "hot"))
-    unmatched = reduce(or_, [F.col(name).isNull() for name in on])
-    pieces = F.coalesce("pieces", F.lit(1))
-    spread = F.when(unmatched, F.lit(shuffle_partitions(large))).otherwise(pieces)
-    piece = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in large.columns]), spread).cast("int")
-    left = large.join(hot, on, "left").withColumn("_piece", piece).drop("pieces")
-    right = small.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
-    return left.join(right, [*on, "_piece"], how).drop("_piece")
+    given = reduce(and_, [F.col(name).isNotNull() for name in on])
+    counts = count_keys(large, on) if counts is None else counts
+    hot = materialize(hot_keys(counts.where(given), count_keys(small, on), on, how == "inner"), "hot")
+    keyed = large.where(given)
+    if hot.limit(1).count() == 0:
+        joined = keyed.join(small, on, how)
+    else:
+        few = F.broadcast(hot)
+        cool = keyed.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small, on, how)
+        place = F.monotonically_increasing_id()
+        left = materialize(keyed.join(F.broadcast(hot.select(*on)), on, "left_semi"), "hot-rows").withColumn("_row", place).join(few, on)
+        right = materialize(small.join(F.broadcast(hot.select(*on)), on, "left_semi"), "hot-rows").withColumn("_row", place).join(few, on)
+        dealt = lambda pieces: F.pmod("_row", F.col(pieces)).cast("int")
+        every = lambda pieces: F.explode(F.sequence(F.lit(0), F.col(pieces) - 1))
+        extra = ["_row", "pieces", "other_pieces"]
+        left = left.withColumn("_piece", dealt("pieces")).withColumn("_other_piece", every("other_pieces")).drop(*extra)
+        right = right.withColumn("_other_piece", dealt("other_pieces")).withColumn("_piece", every("pieces")).drop(*extra)
+        joined = cool.unionByName(left.join(right, [*on, "_piece", "_other_piece"], how).drop("_piece", "_other_piece"))
+    if how == "left":
+        missing = [F.lit(None).cast(field.dataType).alias(field.name) for field in small.schema.fields if field.name not in on]
+        rest = [F.col(f"`{name}`") for name in large.columns if name not in on]
+        joined = joined.unionByName(large.where(~given).select(*on, *rest, *missing))
+    return joined
 
 
 def lookup(large: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS, fits: bool | None = None) -> DataFrame:

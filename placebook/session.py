@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,20 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
-
-@cache
-def _folder_of_run(application: str) -> str:
-    return tempfile.mkdtemp(prefix="placebook-")
+# A session's setting that names the folder where Spark has none.
+FOLDER = "placebook.folder"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`, which all executors reach. Only a local run may do without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder named in `spark.checkpoint.dir`, or else in the session's `placebook.folder`; all executors reach it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FOLDER, None)
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return _folder_of_run(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
@@ -40,9 +34,7 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is within both limits. Of a larger table only as many parts are read as hold `rows + 1` rows."""
-    if df.select(F.lit(1)).offset(rows).first() is not None:
-        return False
+    """Whether the table is within both limits, by one pass of which only two sums leave the tasks."""
     widths = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -52,5 +44,6 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
             widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))) * 4, F.lit(0)))
         else:
             widths.append(F.lit(8))
-    total = df.agg(F.sum(sum(widths, F.lit(0)).cast("long"))).first()[0]
-    return (total or 0) <= size
+    total = sum(widths, F.lit(0)).cast("long")
+    found = df.agg(F.count("*"), F.sum(total)).first()
+    return found[0] <= rows and (found[1] or 0) <= size

@@ -24,14 +24,40 @@ def test_skew_join_is_a_join(spark, skewed, how):
 
 
 def test_hot_rows_are_spread(spark, skewed):
-    hot = {row["k"]: row["pieces"] for row in hot_keys(count_keys(skewed, ["k"]), ["k"]).collect()}
-    assert hot[7] == 2  # a third of the rows, of which each of four tasks should have a quarter
-    assert len(hot) <= 4
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    hot = {row["k"]: (row["pieces"], row["other_pieces"]) for row in hot_keys(count_keys(skewed.where("k is not null"), ["k"]), count_keys(small, ["k"]), ["k"]).collect()}
+    assert set(hot) == {7} and hot[7][0] >= 2 and hot[7][1] == 1
     plan = skew_join(skewed, small, ["k"], "left", limit=0)._jdf.queryExecution().toString()
     assert "_piece" in plan
 
 
+def most_in_a_task(df):
+    return [row["count"] for row in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_a_key_that_the_other_side_holds_often_is_spread(spark, alike):
+    """One key of 11 rows meets 40,000 rows of the second side, which may all be equal."""
+    large = spark.range(440).select((F.col("id") % 40).alias("k"), "id")
+    small = spark.range(40_000).select(F.lit(7).cast("long").alias("k"), F.lit(0).alias("v") if alike else F.col("id").alias("v"))
+    small = small.unionByName(spark.range(40).select(F.col("id").alias("k"), F.lit(1).cast(small.schema["v"].dataType).alias("v")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = most_in_a_task(skew_join(large, small, ["k"], limit=0))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 11 * 40_000 + 440 and max(sizes) <= 2 * sum(sizes) / 4
+
+
+def test_equal_rows_of_a_hot_key_part(spark):
+    large = spark.range(40_000).select(F.lit(7).cast("long").alias("k"), F.lit("same").alias("v"))
+    small = spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    hot = hot_keys(count_keys(large, ["k"]), count_keys(small, ["k"]), ["k"]).first()
+    assert hot.pieces >= 4
+    sizes = most_in_a_task(skew_join(large, small, ["k"], limit=0))
+    assert sum(sizes) == 40_000 and max(sizes) <= 20_000
+
+
 def test_broadcast_limits(spark):
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 100).alias("t"))
     assert fits_broadcast(df)

@@ -15,10 +15,20 @@ def test_the_named_folder_is_used():
     assert session.new_folder(fake("yarn", "hdfs://x"), "hits").startswith("hdfs://x/placebook/hits-")
 
 
-def test_only_a_local_run_may_use_a_local_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_folder(fake("yarn"))
-    assert session.shared_folder(fake("local[2]")) == session.shared_folder(fake("local[2]"))
+def test_a_folder_is_always_needed():
+    for master in ("yarn", "local[2]", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(fake(master))
+
+
+def test_queries_bring_a_folder_only_to_runs_of_one_process(monkeypatch):
+    import __spark_entry__ as entry
+
+    for master, known, given in (("local[2]", {}, True), ("local", {}, True), ("local-cluster[2,1,1024]", {}, False), ("local[2]", {"spark.checkpoint.dir": "/x"}, False)):
+        conf = dict(known)
+        spark = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+        entry._with_folder(lambda spark, sf_dir: None)(spark, "")
+        assert (session.FOLDER in conf) == given
 
 
 def test_stored_rows_come_back(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -14,6 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def session(cores: str = "8", partitions: int = 8) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("placebook").config("spark.sql.shuffle.partitions", str(partitions))
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="placebook-"))
     builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
     spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
