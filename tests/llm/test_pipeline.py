@@ -47,6 +47,6 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert names["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
+    assert names["pipeline"].__wrapped__ is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
     assert [name.split("_")[0] for name in names if name.startswith("op")] == [f"op{n}" for n in range(1, 11)]
     assert set(entry.oracle_sql()) <= set(names)
