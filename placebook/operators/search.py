@@ -12,8 +12,8 @@ How this is done without comparing everything with everything, and without losin
 * Copies are worked on once: typed texts, field texts and (name, address) pairs are made distinct. Each keeps its
   `depth` smallest record ids; ids decide between equal scores, so no more than `depth` of them can be among the best.
 * A record that matches in both fields is found through the field in which the typed text is the less common one, and
-  its other field is checked directly. So in the more common field only the best few are needed. If many hits are to be
-  expected they are looked for with small misses first; texts that have found enough take no part in the next round.
+  its other field is checked directly. So in the more common field only the best few are needed. Those of a text that
+  has very many hits to expect are looked for with small misses first; it leaves once it has found enough.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ THRESHOLD = 0.35
 WEIGHTS = {"nom": 0.7, "adresse": 0.3}
 LEAST_MISS = 0.001
 
-# Rounds of growing misses before the threshold, and the number of texts to check from which they are worth their while.
+# Rounds of growing misses before the threshold, for typed texts whose rarest trigrams lie in more field texts than this.
 ROUNDS = (0.1, 0.2)
-ROUNDS_FROM = 5_000_000
+COSTLY_FROM = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,18 +52,29 @@ class SearchIndex:
         self.texts.write.parquet(f"{path}/texts")
         self.pairs.write.parquet(f"{path}/pairs")
         self.grams.write.parquet(f"{path}/grams")
-        return load_index(self.texts.sparkSession, path, self.depth)
+        self.texts.sparkSession.createDataFrame([(self.depth,)], "depth int").coalesce(1).write.parquet(f"{path}/depth")
+        return load_index(self.texts.sparkSession, path)
 
 
-def load_index(spark: SparkSession, path: str, depth: int = BEST) -> SearchIndex:
+def load_index(spark: SparkSession, path: str) -> SearchIndex:
+    depth = spark.read.parquet(f"{path}/depth").first()[0]
     return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("texts", "pairs", "grams")], depth)
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first `n` rows of each key. A key's rows are dealt to as many pieces as there are tasks, each piece gives its
+    first n, and only these come together, however many rows a key has and however large n is.
+    """
+    piece = F.pmod(F.xxhash64(*order), F.lit(shuffle_partitions(df)))
+    for within in ([*keys, "_piece"], keys):
+        df = df.withColumn("_piece", piece).withColumn("_place", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+        df = df.where(F.col("_place") <= n)
+    return df.drop("_piece", "_place")
+
+
 def first_ids(df: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """The smallest `depth` ids of each key, ascending. No more than that leaves a task, however often a key occurs."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    kept = df.withColumn("_place", place).where(F.col("_place") <= depth)
-    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """The smallest `depth` ids of each key, ascending."""
+    return first_rows(df.select(*keys, "id"), keys, ["id"], depth).groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def build_index(records: DataFrame, depth: int = BEST) -> SearchIndex:
@@ -148,41 +159,37 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
     return checked.withColumn("miss", miss).drop("_shared", "gram", "grams", "place", "need", "below")
 
 
-def choose_rounds(rare: DataFrame) -> tuple[float, ...]:
-    """Rounds before the threshold, if there are many texts to check."""
-    many = rare.agg(F.sum("texts")).first()[0] or 0
-    return ROUNDS if many >= ROUNDS_FROM else ()
-
-
 def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fits: bool, limit: int, rounds: tuple[float, ...]) -> DataFrame:
-    """Hits (q, field, text, ids, pairs, miss, whole): where `whole` all hits of the query text in the field, else at
-    least those that make the best `k` records. Without rounds all are whole, with rounds the field where the text's
-    rarest trigrams are the less common."""
-    routed = rare.withColumn("whole", F.lit(True))
-    if rounds:
-        cost = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
-        narrow = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"), F.count("*").alias("_n"))
-        # Where only one field has any of the trigrams, nothing matches twice and the best are enough.
-        whole = (F.col("field") == F.col("_field")) & (F.col("_n") == len(WEIGHTS))
-        routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("whole", whole).drop("_field", "_n")
+    """Hits (q, field, text, ids, pairs, miss, whole, costly): where `whole` all hits of the query text in the field, else
+    at least those that make the best `k` records. Of a costly text only the field where its rarest trigrams are the less
+    common is whole, of others both are.
+    """
+    costs = rare.groupBy("q", "field").agg(F.sum("pairs").alias("cost"), F.sum("texts").alias("_texts"))
+    narrow = costs.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("_field"), F.count("*").alias("_n"), F.max("_texts").alias("_most"))
+    routed = lookup(rare, narrow, ["q"], "inner", fits=fits).withColumn("costly", F.col("_most") >= COSTLY_FROM)
+    # Where only one field has any of the trigrams, nothing matches twice and the best are enough.
+    whole = ~F.col("costly") | ((F.col("field") == F.col("_field")) & (F.col("_n") == len(WEIGHTS)))
+    routed = materialize(routed.withColumn("whole", whole).drop("_field", "_n", "_most"), "routed")
     n, hits, misses = F.size("grams"), None, [*rounds, threshold]
+    if routed.where(~F.col("whole")).limit(1).count() == 0:
+        misses = [threshold]
     for earlier, miss in zip([None, *misses], misses):
         need = F.when(F.col("whole"), F.col("need")).otherwise(least_overlap(n, miss))
         below = n + 1 if earlier is None else least_overlap(n, earlier)
         wanted = routed.withColumns({"need": need, "below": below}).where(F.col("place") <= n - F.col("need"))
         found = materialize(match_texts(wanted, index, fits, limit), "hits")
         hits = found if hits is None else hits.unionByName(found)
+        if miss == threshold:
+            return hits
         enough = hits.where(~F.col("whole")).groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= k)
         routed = routed.where(~F.col("whole")).join(enough, "q", "left_anti")
-    return hits
 
 
-def _worth_checking(hits: DataFrame, every_field: bool, fits: bool) -> DataFrame:
+def _worth_checking(hits: DataFrame, fits: bool) -> DataFrame:
     """Of each query text the whole hits in that field where they are the fewer, if the other field may match as well."""
-    cost = hits.where("whole").groupBy("q", "field").agg(F.sum("pairs").alias("cost"))
-    chosen = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("field"), F.count("*").alias("_n"))
-    if every_field:
-        chosen = chosen.where(F.col("_n") == len(WEIGHTS))
+    cost = hits.where("whole").groupBy("q", "field").agg(F.sum("pairs").alias("cost"), F.bool_or("costly").alias("_costly"))
+    chosen = cost.groupBy("q").agg(F.min_by("field", F.struct("cost", "field")).alias("field"), F.count("*").alias("_n"), F.bool_or("_costly").alias("_costly"))
+    chosen = chosen.where(F.col("_costly") | (F.col("_n") == len(WEIGHTS)))
     return lookup(hits.where("whole"), chosen.select("q", "field"), ["q", "field"], "left_semi", fits=fits)
 
 
@@ -208,13 +215,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     """The best `k` records of each query text from (q, ids, score).
 
     A record can come up three times: by its name, by its address and by both. The lowest score is the true one. So the
-    best k records are within the 3 * (k + 1) best rows by score and first id, and only these leave a task.
+    best k records are within the 3 * (k + 1) best rows by score and first id, and only these come together.
     """
     scored = found.select("q", "ids", F.col("ids")[0].alias("id"), F.round(F.exp("score"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
-    short = scored.withColumn("_place", place).where(F.col("_place") <= 3 * (k + 1))
+    short = first_rows(scored, ["q"], ["score", "id"], 3 * (k + 1))
     each = short.select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.min("score").alias("score"))
-    return each.withColumn("rank", place).where(F.col("rank") <= k)
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("rank") <= k)
 
 
 def fuzzy_search(
@@ -224,11 +230,11 @@ def fuzzy_search(
     threshold: float = THRESHOLD,
     weights: Mapping[str, float] = WEIGHTS,
     limit: int = BROADCAST_ROWS,
-    rounds: tuple[float, ...] | None = None,
+    rounds: tuple[float, ...] = ROUNDS,
 ) -> DataFrame:
     """The best `k` records for each query (qid, text): qid, rank, id, score. Queries under 3 characters find nothing.
 
-    `limit` (rows to broadcast) and `rounds` (misses to try first, by default chosen by size) do not change the result.
+    `limit` (rows to broadcast) and `rounds` (misses to try first for costly texts) do not change the result.
     """
     index = records if isinstance(records, SearchIndex) else build_index(records, k)
     if k > index.depth:
@@ -236,13 +242,10 @@ def fuzzy_search(
     typed = queries.where(long_enough("text")).select("qid", normalize_query("text").alias("q"))
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = few_enough(rare, limit)
-    if rounds is None:
-        rounds = choose_rounds(rare)
     rounds = tuple(miss for miss in rounds if miss < threshold)
     hits = find_hits(rare, index, k, threshold, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
-    narrow = materialize(_worth_checking(hits, not rounds, few_queries).select("q", "field", "text", "score"), "narrow")
+    narrow = materialize(_worth_checking(hits, few_queries).select("q", "field", "text", "score"), "narrow")
     both = _matched_twice(narrow, index.pairs, threshold, weights, fits_broadcast(narrow, limit))
     best = _best(hits.select("q", "ids", "score").unionByName(both), k)
-    # No more rows than distinct query texts, of which there are no more than rare trigrams.
-    ranked = best.groupBy("q").agg(F.collect_list(F.struct("rank", "id", "score")).alias("found"))
-    return skew_join(typed, ranked, ["q"], fits=few_queries).select("qid", F.inline("found"))
+    ranked = materialize(best.groupBy("q").agg(F.collect_list(F.struct("rank", "id", "score")).alias("found")), "ranked")
+    return skew_join(typed, ranked, ["q"], limit=limit).select("qid", F.inline("found"))

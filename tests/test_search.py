@@ -5,10 +5,12 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from placebook.operators import search
 from placebook.operators.search import (
     THRESHOLD,
     WEIGHTS,
     build_index,
+    first_ids,
     find_hits,
     fuzzy_search,
     least_overlap,
@@ -16,7 +18,7 @@ from placebook.operators.search import (
     match_texts,
     rare_grams,
 )
-from placebook.plans.picker import search_table, write_best
+from placebook.plans.picker import search_table, searchable_records, write_best
 from placebook.session import materialize, new_folder
 
 
@@ -68,16 +70,18 @@ def tables(spark, seed, n_records=300, n_queries=60, words=8):
     )
 
 
-@pytest.mark.parametrize("seed,limit,rounds", [(1, 500_000, None), (2, 500_000, (0.1, 0.2)), (3, 0, None), (4, 0, (0.0, 0.15, 0.3, 0.5))])
-def test_equals_brute_force(spark, seed, limit, rounds):
+@pytest.mark.parametrize("seed,limit,rounds", [(1, 500_000, ()), (2, 500_000, (0.1, 0.2)), (3, 0, ()), (4, 0, (0.0, 0.15, 0.3, 0.5))])
+def test_equals_brute_force(spark, monkeypatch, seed, limit, rounds):
+    monkeypatch.setattr(search, "COSTLY_FROM", 20 if rounds else 1_000_000)
     queries, records, queries_df, records_df = tables(spark, seed)
     got = sorted(tuple(row) for row in fuzzy_search(queries_df, records_df, limit=limit, rounds=rounds).collect())
     assert got == brute_force(queries, records)
 
 
 @pytest.mark.parametrize("rounds", [(), (0.1, 0.2)])
-def test_names_that_nearly_agree(spark, rounds):
+def test_names_that_nearly_agree(spark, monkeypatch, rounds):
     """A third of names and queries differ in their last letters only."""
+    monkeypatch.setattr(search, "COSTLY_FROM", 0)
     pick = random.Random(10)
     names = [f"societe civile immobiliere {pick.choice(['du', 'pont', 'val', 'bel'])}{i % 40}" for i in range(120)]
     records = [(i, name, f"{i % 7} place du {pick.choice(['pont', 'bel air'])}") for i, name in enumerate(names)]
@@ -98,11 +102,11 @@ def test_other_limits(spark):
 def test_saved_index(spark):
     queries, records, queries_df, records_df = tables(spark, 6, 150, 30)
     folder = new_folder(spark, "test-index")
-    build_index(records_df).save(folder)
+    build_index(records_df, depth=4).save(folder)
     got = sorted(tuple(row) for row in fuzzy_search(queries_df, load_index(spark, folder), k=3).collect())
     assert got == brute_force(queries, records, 3)
-    with pytest.raises(ValueError, match="keeps 5 ids"):
-        fuzzy_search(queries_df, load_index(spark, folder), k=6)
+    with pytest.raises(ValueError, match="keeps 4 ids"):
+        fuzzy_search(queries_df, load_index(spark, folder), k=5)
 
 
 def test_no_records_and_no_queries(spark):
@@ -128,8 +132,9 @@ def test_few_trigrams_are_joined_and_each_hit_comes_once(spark):
     assert len(hits) == len(set(hits)) > 0
 
 
-def test_rounds_check_fewer_texts(spark):
+def test_rounds_check_fewer_texts(spark, monkeypatch):
     """A text with enough good hits takes no part in later rounds, and no hit is found twice."""
+    monkeypatch.setattr(search, "COSTLY_FROM", 0)
     records = spark.range(400).selectExpr("id", "concat('societe civile immobiliere ', substr(md5(string(id % 50)), 1, 6)) as nom", "'3 rue haute' as adresse")
     typed = records.select("id", F.col("nom").alias("q")).limit(30)
     index = build_index(records)
@@ -156,3 +161,28 @@ def test_choice_is_written(spark):
     target = rows.selectExpr("qid as id", "'old' as SIRET", "'old' as RaisonSociale", "'old' as Place")
     got = write_best(target, found, {"AdresseNormalisee": "Place"}).orderBy("id").collect()
     assert [tuple(row) for row in got] == [(10, "111", "École du Port", "3 rue Haute"), (11, "old", "old", "old")]
+
+
+def test_many_results_and_many_ids(spark):
+    """More than the rows that Spark's own limit within groups covers."""
+    records = spark.range(2500).selectExpr("id", "'mairie' as nom", "concat('rue ', id % 3) as adresse")
+    ids = first_ids(records, ["nom"], 1500).first().ids
+    assert ids == list(range(1500))
+    queries = spark.createDataFrame([(1, "mairie")], "qid long, text string")
+    got = fuzzy_search(queries, records, k=400).orderBy("rank").collect()
+    assert [row.id for row in got] == list(range(400)) and [row.rank for row in got] == list(range(1, 401))
+
+
+def test_repeated_rows_searched_for_keep_one_choice(spark):
+    table = spark.createDataFrame([(1, "mairie", "", "111"), (2, "ecole", "", "222")], "id long, Nom string, Adresse string, SIRET string")
+    rows = spark.createDataFrame([(10, "ecole"), (10, "mairies")], "qid long, text string")
+    target = spark.createDataFrame([(10, "", "", "")], "id long, SIRET string, RaisonSociale string, AdresseNormalisee string")
+    assert [row.SIRET for row in write_best(target, search_table(rows, table, k=1)).collect()] == ["222"]
+
+
+def test_a_table_is_searched_through_a_saved_index(spark):
+    table = spark.createDataFrame([(1, "mairie", "", "111"), (2, "ecole", "", "222")], "id long, Nom string, Adresse string, SIRET string")
+    folder = new_folder(spark, "test-index")
+    index = build_index(searchable_records(table), depth=2).save(folder)
+    rows = spark.createDataFrame([(10, "ecole")], "qid long, text string")
+    assert [row.result.siret for row in search_table(rows, table, k=1, index=index).collect()] == ["222"]
