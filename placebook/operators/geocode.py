@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from placebook.functions.cells import has_number, is_filled
@@ -39,6 +41,7 @@ def geocode(candidates: DataFrame, gazetteer: DataFrame, limit: int = BROADCAST_
     """
     fits = fits_broadcast(gazetteer, limit)
     if not fits:
+        candidates = materialize(candidates, "candidates")
         wanted = candidates.select(F.col("Address").alias("address")).distinct()
         fits = fits_broadcast(wanted, limit)
         gazetteer = gazetteer.join(F.broadcast(wanted) if fits else wanted, "address", "left_semi")
@@ -47,15 +50,16 @@ def geocode(candidates: DataFrame, gazetteer: DataFrame, limit: int = BROADCAST_
     return found.select(*candidates.columns, F.col("point.lng").alias("lng"), F.col("point.lat").alias("lat"))
 
 
-def geocode_updates(geocoded: DataFrame) -> DataFrame:
+def geocode_updates(geocoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """What to write back for geocoded candidates: coordinates and, where that column exists, the address used."""
     updates = [F.col("lng").alias("Longitude"), F.col("lat").alias("Latitude")]
     if "GeocodedAddress" in geocoded.columns:
         updates.append(F.col("Address").alias("GeocodedAddress"))
-    return geocoded.select("id", *updates)
+    return geocoded.select("id", *updates, *keep)
 
 
 def geocode_table(df: DataFrame, gazetteer: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The whole table with coordinates filled in where they were needed."""
     updates = materialize(geocode_updates(geocode(geocode_candidates(df), gazetteer, limit)), "geocoded")
-    return update_by_id(df, updates, [name for name in updates.columns if name != "id"], limit=limit)
+    columns = [name for name in updates.columns if name != "id"]
+    return update_by_id(df, updates, columns, columns, limit=limit)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placebook.operators.filters import filter_short_queries
@@ -23,7 +23,8 @@ def debounce(
     is the next row; the last row of a slice looks at the first input of the following slice.
     """
     silence = F.expr(f"interval '{gap}'")
-    length = max(pd.Timedelta(gap), pd.Timedelta(slice_length)) // pd.Timedelta(microseconds=1)
+    longer = df.sparkSession.sql(f"select greatest(interval '{gap}', interval '{slice_length}')").first()[0]
+    length = longer // timedelta(microseconds=1)
     kept = [key, ts, text, *[name for name in order if name not in (key, ts, text)]]
     cut = df.select(*kept, F.window(ts, f"{length} microseconds").alias("_w"))
     sliced = cut.select(*kept, F.col("_w.start").alias("_slice"), F.col("_w.end").alias("_next_slice"))
@@ -39,14 +40,23 @@ def debounce(
 
 
 def debounce_stream(
-    df: DataFrame, key: str, ts: str, text: str, gap: str = SILENCE, delay: str = "0 seconds", order: Sequence[str] = (), least: int = LEAST
+    df: DataFrame, key: str, ts: str, text: str, delay: str, gap: str = SILENCE, order: Sequence[str] = (), least: int = LEAST
 ) -> DataFrame:
-    """The same on a stream, as session windows: a burst comes out once the watermark (`delay`) has passed its end."""
-    spark = df.sparkSession
-    # Bursts are merged within each task before the shuffle, so a busy key sends few rows.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """The same on a stream, as session windows: a burst comes out once the watermark has passed its end.
+
+    `delay` is how late an input may come after later ones; what comes later still is dropped, and the progress of the
+    query counts it (numRowsDroppedByWatermark). Bursts that are open when the input stops are given by `open_bursts`. With
+    the session's spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition a busy key sends fewer rows.
+    """
     timed = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     last = F.max_by(F.struct(ts, text), F.struct("_ts", *order)).alias("_last")
     bursts = timed.groupBy(key, F.session_window("_ts", gap)).agg(last)
     return filter_short_queries(bursts.select(key, f"_last.{ts}", f"_last.{text}"), text, least)
 
+
+def open_bursts(
+    inputs: DataFrame, written: DataFrame, key: str, ts: str, text: str, gap: str = SILENCE, order: Sequence[str] = (), least: int = LEAST
+) -> DataFrame:
+    """The bursts that a stream over `inputs`, now at its end, has left open: all that are not among the rows it wrote."""
+    every = debounce(inputs, key, ts, text, gap, order, least=least)
+    return every.join(written.select(key, ts), [key, ts], "left_anti").select(key, ts, text)
