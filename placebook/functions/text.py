@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-# Letters without a canonical decomposition and typographic signs, with their ASCII spelling.
+# Letters and signs that no rule below spells, with their ASCII spelling.
 ASCII_SPELLING = {
-    "Æ": "AE", "Ð": "D", "Ø": "O", "Þ": "Th", "ß": "ss",
-    "æ": "ae", "ð": "d", "ø": "o", "þ": "th",
-    "Đ": "D", "đ": "d", "Ł": "L", "ł": "l", "Œ": "OE", "œ": "oe",
-    "«": "<<", "»": ">>",
-    "‐": "-", "‑": "-", "–": "-", "—": "--",
-    "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "…": "...",
-}
+    "Æ": "AE", "Ð": "D", "Þ": "Th", "ß": "ss", "ẞ": "SS", "æ": "ae", "ð": "d", "þ": "th", "ı": "i", "ĸ": "q", "ŉ": "'n",
+    "Ŋ": "NG", "ŋ": "ng", "Œ": "OE", "œ": "oe", "ſ": "s", "Ə": "@", "ə": "@", "Ǝ": "3", "ǝ": "@", "Ɩ": "I", "Ƣ": "OI",
+    "ƣ": "oi", "Ʀ": "YR", "Ʃ": "SH", "ƪ": "sh", "Ʊ": "Y", "Ʒ": "ZH", "Ƹ": "ZH", "ƹ": "zh", "ƺ": "zh", "Ƽ": "5", "ƽ": "5",
+    "Ƅ": "6", "ƅ": "6", "Ƨ": "2", "ƨ": "2", "ƻ": "2", "Ɯ": "W", "ƍ": "d", "ƕ": "hv", "Ƕ": "HV", "ƾ": "ts", "ƿ": "w", "Ƿ": "W",
+    "ǀ": "|", "ǁ": "||", "ǂ": "|=", "ǃ": "!", "Ȝ": "Y", "ȝ": "y", "Ȣ": "OU", "ȣ": "ou", "ȸ": "db", "ȹ": "qp", "Ɂ": "?",
+    "ɂ": "?", "Ʌ": "V", "Ɣ": "G", "ẟ": "d", "ʒ": "zh", "ƛ": "l", "Ʉ": "U", "Ỻ": "LL", "ỻ": "ll",
+    "¡": "!", "¢": "C/", "£": "PS", "¤": "$?", "¥": "Y=", "¦": "|", "§": "SS", "¨": '"', "©": "(c)", "«": "<<", "¬": "!",
+    "\xad": "", "®": "(r)", "¯": "-", "°": "deg", "±": "+-", "´": "'", "µ": "u", "¶": "P", "·": "*", "¸": ",", "»": ">>",
+    "¼": " 1/4 ", "½": " 1/2 ", "¾": " 3/4 ", "¿": "?", "×": "x", "÷": "/", "€": "EUR", "№": "No", "™": "tm",
+    "‐": "-", "‑": "-", "–": "-", "—": "--", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "…": "...",
+}
 
 # Spacing diacritics that the query normaliser drops besides the combining marks.
 SPACING_DIACRITICS = "^`¨¯´·¸"
@@ -29,9 +34,6 @@ BROWSER_SPACE = "\t\n\x0b\x0c\r\u2028\u2029\ufeff" + "".join(
 # Runs of white space other than a single plain blank; the same characters as in WHITE_SPACE.
 RUN_OF_SPACE = r"(?U) [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*"
 
-# Texts up to this length are cut into trigrams by position; a longer one is first split into characters.
-SHORT_TEXT = 512
-
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
@@ -60,15 +62,36 @@ def drop_accents(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, accented, base))
 
 
+@lru_cache(maxsize=1)
+def spelling() -> dict[str, str]:
+    """The ASCII spelling of Latin letters and common signs: from the table, else of the compatible characters, else the
+    letter that the character's name says is hooked, barred, turned or the like.
+    """
+    found = dict(ASCII_SPELLING)
+    ranges = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0xFB00, 0xFB07)]
+    for char in (chr(i) for codes in ranges for i in codes):
+        parts = "".join(part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part))
+        parts = "".join(found.get(part, part) for part in parts)
+        if not parts.isascii():
+            named = re.match(r"LATIN (SMALL|CAPITAL) LETTER (?:[A-Z]+ )*?([A-Z])(?: WITH .*)?$", unicodedata.name(char, ""))
+            parts = "" if not named else named[2].lower() if named[1] == "SMALL" else named[2]
+        found.setdefault(char, parts)
+    return found
+
+
 def spell_ascii(c: Column) -> Column:
-    """Latin text in ASCII letters; other scripts stay as they are."""
+    """Latin text and its signs in ASCII; other scripts stay as they are."""
     accented, base = accent_table()
-    singles = {char: ascii_ for char, ascii_ in ASCII_SPELLING.items() if len(ascii_) == 1}
-    spelled = F.translate(c, accented + "".join(singles), base + "".join(singles.values()))
-    for char, ascii_ in ASCII_SPELLING.items():
-        if len(ascii_) > 1:
-            spelled = F.replace(spelled, F.lit(char), F.lit(ascii_))
-    spelled = F.regexp_replace(spelled, r"\p{M}", "")
+    singles = {char: base_char for char, base_char in zip(accented, base) if char not in spelling()}
+    singles |= {char: ascii_ for char, ascii_ in spelling().items() if len(ascii_) == 1}
+    longer = {char: ascii_ for char, ascii_ in spelling().items() if len(ascii_) != 1}
+    marked = F.regexp_replace(F.translate(c, "".join(singles), "".join(singles.values())), r"\p{M}", "")
+    # Characters of several letters, and those of none, are rare: they are replaced only in texts that have any.
+    spelled = marked
+    for char, ascii_ in longer.items():
+        spelled = F.replace(spelled, F.lit(char), F.lit(ascii_))
+    some = "[" + "".join(f"\\u{ord(char):04x}" for char in longer) + "]"
+    spelled = F.when(marked.rlike(some), spelled).otherwise(marked)
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(spelled)
 
 
@@ -122,7 +145,6 @@ def trigrams(c: Column | str) -> Column:
     """The set of 3-character substrings; empty for shorter texts."""
     text = col(c)
     length = F.char_length(text)
-    by_position = F.transform(F.sequence(F.lit(1), length - 2), lambda i: F.substring(text, i, F.lit(3)))
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     by_char = F.transform(
         F.arrays_zip(
@@ -132,5 +154,5 @@ def trigrams(c: Column | str) -> Column:
         ),
         lambda z: F.concat(z["a"], z["b"], z["c"]),
     )
-    grams = F.when(length <= SHORT_TEXT, by_position).otherwise(F.slice(by_char, F.lit(1), length - 2))
+    grams = F.slice(by_char, F.lit(1), length - 2)
     return F.when(length >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placebook.functions.geo import TILE, cell_of, is_selected, pixel_x, pixel_y, size_class
-from placebook.operators.joins import lookup
-from placebook.session import fits_broadcast, materialize
+from placebook.operators.joins import lookup, shuffle_partitions
+from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
 # Cluster radius in pixels, the zoom from which points stand alone, the closest zoom that bounds are fitted to.
 RADIUS = 30
@@ -23,11 +23,11 @@ BOX = ["min_lat", "min_lng", "max_lat", "max_lng"]
 RESULT = [*KEYS, "n", "lat", "lng", *BOX, "id", "size_class", "has_selected"]
 
 
-def flag_selected(points: DataFrame, selected: int | DataFrame | None) -> DataFrame:
+def flag_selected(points: DataFrame, selected: int | DataFrame | None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Points with `selected`: is it the selected row, or one of a table of selected ids?"""
     if isinstance(selected, DataFrame):
         ids = selected.select("id").distinct().withColumn("selected", F.lit(True))
-        flagged = lookup(points, ids, ["id"], fits=fits_broadcast(selected.select("id")))
+        flagged = lookup(points, ids, ["id"], fits=fits_broadcast(ids, limit))
         return flagged.withColumn("selected", F.coalesce("selected", F.lit(False)))
     return points.withColumn("selected", is_selected("id", selected))
 
@@ -37,6 +37,7 @@ def cluster_points(
     zooms: Sequence[int] = tuple(range(SINGLE_FROM)),
     radius: int = RADIUS,
     selected: int | DataFrame | None = None,
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Clusters of points (id, lng, lat) that share a cell of `radius` pixels, for each zoom level.
 
@@ -44,7 +45,7 @@ def cluster_points(
     Points are shuffled once, for the finest level, whose sums each task adds up beforehand. A cell is made of four of
     the next level, so the other levels come from cells, a few at a time, the coarsest of a step being stored for the next.
     """
-    flagged = flag_selected(points, selected)
+    flagged = flag_selected(points, selected, limit)
     grouped = sorted({zoom for zoom in zooms if zoom < SINGLE_FROM}, reverse=True)
     alone = sorted(set(zooms) - set(grouped))
     layers = [_alone(flagged, alone)] if alone else []
@@ -84,12 +85,18 @@ def _finest(points: DataFrame, zoom: int, radius: int) -> DataFrame:
 
 
 def _coarser(cells: DataFrame, finer: int, zooms: list[int]) -> DataFrame:
-    """The given zoom levels from the cells of a finer one."""
-    repeated = cells.drop("zoom").withColumn("zoom", F.explode(F.array(*[F.lit(zoom) for zoom in zooms])))
+    """The given zoom levels from the cells of a finer one.
+
+    The cells are dealt once by their cell at the coarsest of these levels, which holds few of the finer ones; all levels
+    are then made where the cells are.
+    """
+    places = {f"_{name}": F.shiftright(name, finer - zooms[-1]) for name in ("cx", "cy")}
+    dealt = cells.drop("zoom").withColumns(places).repartition(shuffle_partitions(cells), *places)
+    repeated = dealt.withColumn("zoom", F.explode(F.array(*[F.lit(zoom) for zoom in zooms])))
     parents = repeated.withColumns({name: F.expr(f"shiftright({name}, {finer} - zoom)") for name in ("cx", "cy")})
     n, low, high = F.sum("n"), [F.col(name) for name in BOX[:2]], [F.col(name) for name in BOX[2:]]
     sums = _sums(n, F.sum("sum_lat"), F.sum("sum_lng"), low, high, F.col("id"), F.col("has_selected"))
-    return parents.groupBy(*KEYS).agg(*sums)
+    return parents.groupBy(*KEYS, *places).agg(*sums).drop(*places)
 
 
 def _alone(points: DataFrame, zooms: list[int]) -> DataFrame:

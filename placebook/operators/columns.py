@@ -45,10 +45,14 @@ def default_mapping(df: DataFrame, required: Sequence[str] = MAP_REQUIRED, optio
 
 
 def rename_columns(df: DataFrame, mapping: Mapping[str, str | None]) -> DataFrame:
-    """Mapped columns under their logical names, the others as they are; a mapped column hides one already so named."""
-    renamed = {actual: logical for logical, actual in mapping.items() if actual in df.columns and actual != logical}
-    hidden = [logical for logical in renamed.values() if logical in df.columns and logical not in renamed]
-    return df.drop(*hidden).withColumnsRenamed(renamed)
+    """Mapped columns in place under their logical names, the others as they are, but for those that such a name hides.
+
+    All names are read from the table as given: they may be chained or swapped, and one column may have several names.
+    """
+    given = {logical: actual for logical, actual in mapping.items() if actual in df.columns}
+    kept = {name: [logical for logical, actual in given.items() if actual == name] for name in df.columns}
+    unmapped = {name for name, names in kept.items() if not names and name not in given}
+    return df.select(*[F.col(f"`{name}`").alias(new) for name, names in kept.items() for new in names or [name] * (name in unmapped)])
 
 
 def mapped_value(df: DataFrame, mapping: Mapping[str, str | None], logical: str) -> Column:

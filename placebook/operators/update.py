@@ -12,17 +12,15 @@ from placebook.session import BROADCAST_ROWS, fits_broadcast
 
 
 def update_by_id(
-    target: DataFrame, updates: DataFrame, columns: Sequence[str], order: Sequence[str] | None = None, limit: int = BROADCAST_ROWS
+    target: DataFrame, updates: DataFrame, columns: Sequence[str], order: Sequence[str], limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """The target with the named columns overwritten in rows whose id occurs in `updates`; '' and null overwrite too.
 
-    With `order` the last update of an id wins; without it ids in `updates` must be unique. Ids unknown to the target
-    are ignored. Few updates are broadcast, and the target is then not shuffled.
+    The last update of an id by `order` wins, so the target keeps its number of rows. Ids unknown to the target are
+    ignored. Few updates are broadcast, and the target is then not shuffled.
     """
     fits = fits_broadcast(updates.select("id", *columns), limit)
-    if order is not None:
-        updates = last_per_id(updates, order)
-    fresh = updates.select("id", F.struct(*columns).alias("_new"))
+    fresh = last_per_id(updates, order).select("id", F.struct(*columns).alias("_new"))
     types = {field.name: field.dataType for field in target.schema.fields}
     return lookup(target, fresh, ["id"], fits=fits).select(
         *[

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def write_register(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """One JSON object per line (or any other format Spark writes), accents kept as they are."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """One JSON object per line (or any other format Spark writes), accents kept as they are, null cells as null."""
+    writer = df.write.mode("overwrite").format(fmt)
+    (writer.option("ignoreNullFields", False) if fmt == "json" else writer).save(path)
 
 
 def count_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

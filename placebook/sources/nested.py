@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from placebook.functions.text import file_name_from_url, first_filled
 
 # The parts of a company answer and of a catalogue answer that are read.
-COMPANY_ANSWER = "results array<struct<nom_complet: string, siege: struct<siret: string, adresse: string>>>"
+COMPANY_ANSWER = "results array<string>"
+COMPANY = "nom_complet string, siege struct<siret: string, adresse: string>"
 CATALOGUE_ANSWER = "data array<struct<resources: array<struct<title: string, format: string, url: string>>>>"
 
 # What the wanted resource has in its title, and its format.
@@ -40,21 +41,29 @@ def columns_to_rows(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
 
 
 def flatten_companies(df: DataFrame, column: str = "answer", keep: Sequence[str] = ()) -> DataFrame:
-    """Company answers (JSON text) as results in the order of the answer; missing parts are ''."""
+    """Company answers (JSON text) as results in the order of the answer; missing parts are ''. `origine` and `source` are
+    the whole item as JSON text, parts that are not read included. For answers that are no JSON see unreadable_answers.
+    """
     parsed = df.select(*keep, F.from_json(column, COMPANY_ANSWER).alias("_a"))
-    items = parsed.select(*keep, F.posexplode("_a.results").alias("position", "origine"))
+    items = parsed.select(*keep, F.posexplode("_a.results").alias("position", "origine")).withColumn("_c", F.from_json("origine", COMPANY))
     return items.select(
         *keep,
         "position",
-        first_filled("origine.nom_complet").alias("nom"),
-        first_filled("origine.siege.adresse").alias("adresse"),
-        first_filled("origine.siege.siret").alias("siret"),
+        first_filled("_c.nom_complet").alias("nom"),
+        first_filled("_c.siege.adresse").alias("adresse"),
+        first_filled("_c.siege.siret").alias("siret"),
         F.lit(None).cast("double").alias("latitude"),
         F.lit(None).cast("double").alias("longitude"),
         "origine",
+        F.col("origine").alias("source"),
     )
 
 
+def unreadable_answers(df: DataFrame, column: str = "answer") -> DataFrame:
+    """The rows whose answer is text, but no JSON; none of the readers of answers gives results for them."""
+    return df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
+
+
 def pick_resource(df: DataFrame, title_word: str = TITLE_WORD, fmt: str = FORMAT, column: str = "answer", keep: Sequence[str] = ()) -> DataFrame:
     """From each catalogue answer (JSON text) the first fitting resource of its first dataset; no row if there is none.
 

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import csv
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from placebook.operators.columns import project_register
 
 
-def read_register(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder by the names in their first lines. Only these lines are read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    start = jvm.org.apache.hadoop.fs.Path(path)
+    system = start.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for match in system.globStatus(start) or []:
+        files = system.listFiles(match.getPath(), True)
+        while files.hasNext():
+            file = files.next().getPath()
+            if file.getName().startswith(("_", ".")):
+                continue
+            codec, stream = codecs.getCodec(file), system.open(file)
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            line = reader.readLine()
+            reader.close()
+            if line:
+                names = tuple(next(csv.reader([line.removeprefix("\ufeff")])))
+                found.setdefault(names, []).append(file.toString())
+    return found
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("nullValue", None).option("emptyValue", "")
+    parts = []
+    for names, files in sorted(csv_headers(spark, path).items()):
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        parts.append(project_register(reader.schema(schema).csv(files)))
+    if not parts:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_register(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False) -> DataFrame:
     """A register snapshot, CSV with a header or Parquet, every column kept as text.
 
     Types are never guessed: a postal code 04400 read as a number would lose its zero. A CSV cell that does not fit
-    is null. Columns go by the names in the file, and only those needed are read.
+    is null. Columns go by the names in each file, which may differ in order, and only those needed are read. With
+    `multi_line` cells may contain line breaks; a file is then read by one task.
     """
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"')
-        return project_register(reader.option("nullValue", None).option("emptyValue", "").csv(path))
+        return _read_csv(spark, path, multi_line)
     if fmt == "parquet":
         kept = project_register(spark.read.parquet(path))
         # Text columns are left alone: a cast would keep filters from the Parquet scan.

@@ -87,3 +87,14 @@ def test_result_keeps_the_raw_row(spark):
     assert (row["result"]["nom"], row["result"]["adresse"], row["result"]["siret"], row["result"]["latitude"]) == (" Été ", "", "", None)
     assert row["result"]["origine"].asDict() == {"id": 1, "Nom": " Été ", "Adresse": None}
     assert (row["searchable_nom"], row["searchable_adresse"]) == ("ete", "")
+
+
+def test_names_may_be_chained_swapped_and_doubled(spark):
+    df = spark.createDataFrame([("a", "n", "x")], "A string, Name string, Rest string")
+    for mapping, expected in [
+        ({"Name": "A", "Address": "Name"}, {"Name": "a", "Address": "n", "Rest": "x"}),
+        ({"Name": "A", "A": "Name"}, {"Name": "a", "A": "n", "Rest": "x"}),
+        ({"Name": "A", "Address": "A"}, {"Name": "a", "Address": "a", "Rest": "x"}),
+        ({"Address": "A"}, {"Address": "a", "Name": "n", "Rest": "x"}),
+    ]:
+        assert rename_columns(df, mapping).first().asDict() == expected

@@ -100,4 +100,4 @@ def test_update(spark, limit):
 def test_update_keeps_the_targets_types(spark):
     target = spark.createDataFrame([(1, "a")], "id long, v string")
     updates = spark.createDataFrame([(1, 2.5)], "id long, v double")
-    assert update_by_id(target, updates, ["v"]).collect()[0]["v"] == "2.5"
+    assert update_by_id(target, updates, ["v"], ["v"]).collect()[0]["v"] == "2.5"

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from placebook.sources.nested import columns_to_rows, flatten_companies, pick_resource
+from placebook.sources.nested import columns_to_rows, flatten_companies, pick_resource, unreadable_answers
 
 
 def test_columns_become_rows(spark):
@@ -49,6 +49,9 @@ def test_company_answers(spark):
     df = spark.createDataFrame([(i, json.dumps(answer)) for i, answer in enumerate(answers)] + [(9, "broken"), (10, None)], "i int, answer string")
     got = [tuple(row)[:5] for row in flatten_companies(df, keep=["i"]).orderBy("i", "position").collect()]
     assert got == [(0, 0, "A", "r", "1"), (0, 1, "", "", ""), (0, 2, "C", "", "")]
+    whole = [(row.origine, row.source) for row in flatten_companies(df, keep=["i"]).orderBy("i", "position").collect()]
+    assert all(a == b for a, b in whole) and [json.loads(a) for a, _ in whole] == answers[0]["results"]
+    assert [row.i for row in unreadable_answers(df).collect()] == [9]
 
 
 @pytest.mark.parametrize(

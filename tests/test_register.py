@@ -80,3 +80,14 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path, plan_of):
     assert "Or(StringStartsWith(codePostalEtablissement,44),StringStartsWith(codePostalEtablissement,85))" in plan
     assert "EqualTo(etatAdministratifEtablissement,A)" in plan
     assert "other" not in plan.split("ReadSchema")[1]
+
+
+def test_csv_files_may_differ_in_the_order_of_their_columns(spark):
+    folder = new_folder(spark, "test-csv")
+    names = list(REGISTER_COLUMNS)
+    one = spark.createDataFrame([["1", *["a"] * (len(names) - 1)]], names)
+    two = spark.createDataFrame([["2", "first\nsecond", *["b"] * (len(names) - 2)]], names).select(*reversed(names))
+    one.coalesce(1).write.mode("append").csv(folder, header=True)
+    two.coalesce(1).write.mode("append").option("escape", '"').csv(folder, header=True)
+    got = sorted(tuple(row) for row in read_register(spark, folder, "csv", multi_line=True).select("siret", "siren", "etatAdministratifEtablissement").collect())
+    assert got == [("1", "a", "a"), ("2", "first\nsecond", "b")]

@@ -100,3 +100,14 @@ def test_trigrams(spark):
     texts += ["".join(pick.choice("ab c😀é\n") for _ in range(n)) for n in (510, 511, 512, 513, 514, 5000)]
     expected = [list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2))) for text in texts]
     assert [g[0] for g in values(spark, texts, t.trigrams("t"))] == expected
+
+
+def test_latin_letters_and_signs_become_ascii_for_good(spark):
+    chars = [chr(i) for i in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]]
+    df = spark.createDataFrame([(i, f"x{c}y") for i, c in enumerate(chars)], "i int, t string")
+    once = df.select("i", t.normalize_index("t").alias("t"))
+    twice = once.select("i", t.normalize_index("t").alias("t"))
+    got = dict(once.collect())
+    assert all(text.isascii() for text in got.values()) and dict(twice.collect()) == got
+    signs = spark.createDataFrame([("N° 5 m² 3€ ħ ŧ ı ŋ ẞ №",)], "t string").select(t.normalize_index("t")).first()[0]
+    assert signs == "ndeg 5 m2 3eur h t i ng ss no"

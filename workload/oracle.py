@@ -58,14 +58,23 @@ POINTS = f"""{WITH}, points as (
 NEEDED = """Geocode and coalesce(Address, '') <> '' and case when coalesce(GeocodedAddress, '') <> '' then GeocodedAddress <> Address
   else Longitude is null or Longitude = '' or coalesce(try_cast(Longitude as double) = 0, false) end"""
 
-GEOCODED = f"""{WITH}, first as (
+
+
+def geocoded(places: str = "places") -> str:
+    return f"""{WITH}, edited as (
+  select * replace (
+    case when id % 10 = 0 then '99' else Longitude end as Longitude,
+    case when id % 10 = 0 then '88' else Latitude end as Latitude,
+    case when id % 10 = 0 then Address else GeocodedAddress end as GeocodedAddress)
+  from places),
+first as (
   select address, lat, lng from (select *, row_number() over (partition by address order by lat, lng) as rn from gazetteer) where rn = 1),
-needed as (select id, Address as used from places where {NEEDED})
+needed as (select id, Address as used from {places} where {NEEDED})
 select p.id,
   case when n.id is null then try_cast(p.Longitude as double) else f.lng end as Longitude,
   case when n.id is null then try_cast(p.Latitude as double) else f.lat end as Latitude,
   case when n.id is null then p.GeocodedAddress else n.used end as GeocodedAddress
-from places p left join needed n on p.id = n.id left join first f on f.address = n.used"""
+from {places} p left join needed n on p.id = n.id left join first f on f.address = n.used"""
 
 
 def clusters(zooms: str, selected: str) -> str:
@@ -102,9 +111,22 @@ ranked as (select *, row_number() over (partition by q order by score, id) as ra
 found as (select qid, cast(rank as integer) as rank, id, score from asked_for join ranked using (q) where rank <= 5)"""
 
 
+DEBOUNCED = """select user_id, ts, event_type from
+  (select *, lead(ts) over (partition by user_id order by ts, event_id) as following from events)
+where (following is null or following - ts >= interval 2 hours) and length(trim(event_type)) >= 3"""
+
+SELECTED_IN_CLUSTER = clusters("range(18)", "id in (select c_custkey from customer where c_acctbal < 0)") + " select zoom, cx, cy, n, has_selected from cells"
+
+UPDATED = f"""{WITH}, last as (select * from (select *, row_number() over (partition by id order by step desc) as rn from choices) where rn = 1)
+select c.id, c.Enseigne, c.Nom, c.Lieu, case when l.id is null then cast(c.SIRET as varchar) else l.SIRET end as SIRET,
+  case when l.id is null then c.RaisonSociale else l.RaisonSociale end as RaisonSociale,
+  case when l.id is null then c.AdresseNormalisee else l.AdresseNormalisee end as AdresseNormalisee
+from clients c left join last l on c.id = l.id"""
+
 ORACLE = {
     "register_build": REGISTER,
     "scan_register_csv": f"{WITH} select {COLUMNS} from establishment",
+    "scan_register_csv_orders": f"{WITH} select {COLUMNS} from (select * replace (replace(libelleVoieEtablissement, ' ', chr(10)) as libelleVoieEtablissement) from establishment)",
     "scan_register_parquet": f"{WITH} select {COLUMNS} from establishment",
     "columns_to_rows": """with numbered as (
   select *, o_orderkey // 1000 as part, row_number() over w - 1 as position, count(*) over (partition by o_custkey, o_orderkey // 1000) as n
@@ -113,11 +135,19 @@ sized as (select *, n - case when o_custkey % 3 = 0 then 1 else 0 end as n_statu
 select o_custkey, part, position, case when position < n_status then o_orderstatus end as status,
   case when o_custkey % 5 <> 0 then o_orderkey end as id, o_orderpriority as priority
 from sized where position < case when o_custkey % 5 = 0 then n_status else n end""",
-    "flatten_company_response": """select s_suppkey, cast(0 as bigint) as position, s_name as nom,
-  case when s_suppkey % 4 = 0 then concat('Rue ', s_nationkey) else '' end as adresse, lpad(cast(s_suppkey as varchar), 14, '0') as siret,
-  cast(null as double) as latitude, cast(null as double) as longitude
-from supplier where s_suppkey % 7 <> 0
-union all select s_suppkey, 1, '', '', '', null, null from supplier where s_suppkey % 7 <> 0 and s_suppkey % 4 = 0""",
+    "flatten_company_response": """with items as (
+  select s_suppkey, cast(0 as bigint) as position, s_name as nom, case when s_suppkey % 4 = 0 then concat('Rue ', s_nationkey) end as adresse,
+    lpad(cast(s_suppkey as varchar), 14, '0') as siret, s_nationkey
+  from supplier where s_suppkey % 7 <> 0
+  union all select s_suppkey, 1, '', null, null, s_nationkey from supplier where s_suppkey % 7 <> 0 and s_suppkey % 4 = 0),
+whole as (
+  select *, concat('{"nom_complet":"', nom, '"',
+    case when siret is not null then concat(',"siege":{"siret":"', siret, '"', case when adresse is not null then concat(',"adresse":"', adresse, '"') else '' end, '}') else '' end,
+    ',"pays":', s_nationkey, '}') as origine
+  from items)
+select s_suppkey, position, nom, coalesce(adresse, '') as adresse, coalesce(siret, '') as siret,
+  cast(null as double) as latitude, cast(null as double) as longitude, origine, origine as source
+from whole""",
     "pick_snapshot_resource": r"""with resources as (
   select page_id // 8 as catalogue, page_id,
     case page_id % 3 when 0 then 'Fichier StockEtablissement' when 1 then 'STOCKETABLISSEMENT historique' end as title,
@@ -133,14 +163,16 @@ from fitting where place = 1 and catalogue % 9 not in (0, 1)""",
     "scan_table": "select * from customer",
     "stream_records": "select * from events",
     "export_register_json": REGISTER,
-    "update_by_id": f"""{WITH}, last as (select * from (select *, row_number() over (partition by id order by step desc) as rn from choices) where rn = 1)
-select c.id, c.Enseigne, c.Nom, c.Lieu, case when l.id is null then cast(c.SIRET as varchar) else l.SIRET end as SIRET,
-  case when l.id is null then c.RaisonSociale else l.RaisonSociale end as RaisonSociale,
-  case when l.id is null then c.AdresseNormalisee else l.AdresseNormalisee end as AdresseNormalisee
-from clients c left join last l on c.id = l.id""",
+    "export_register_json_text": f"""with built as ({REGISTER})
+select cast(json_object('id', id, 'siret', siret, 'siren', siren, 'nom', nom, 'adresse', adresse, 'code_postal', code_postal, 'commune', commune,
+  'ape', case when id % 3 <> 0 then ape end, 'search', search) as varchar) as line from built""",
+    "update_by_id": UPDATED,
+    "update_by_id_shuffled": UPDATED,
     "row_counts": f"""{WITH} select 'read' as stage, count(*) as rows from establishment
 union all select 'kept', count(*) from establishment where {KEPT}
 union all select 'exported', count(*) from establishment where {KEPT} and etatAdministratifEtablissement = 'A'""",
+    "rename_columns": """select c_custkey as id, c_name as "Name", c_name as "Label", c_mktsegment as c_name, c_nationkey as c_acctbal, c_acctbal as c_nationkey
+from customer""",
     "map_columns": f"""{WITH} select id, nom as "Nom", adresse as "Adresse", siret as "SIRET" from (select id, {CLIENT} from clients)""",
     "check_columns": f"{WITH} select id, Name, Longitude, Latitude, Geocode, Address from places",
     "project_register": f"{WITH} select {COLUMNS} from establishment",
@@ -164,13 +196,21 @@ select * from typed where length(trim(text)) >= 3""",
     "single_record": f"{WITH} select id, Name from places where id in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "fuzzy_search_topk": f"{search('typed', 'products')} select * from found",
     "fuzzy_search_two_fields": f"{search('asked', 'streets')} select * from found",
+    "fuzzy_search_saved_index": f"{search('typed', 'products')} select * from found",
+    "fuzzy_search_shuffled": f"{search('typed', 'products')} select * from found",
+    "choose_and_write_repeated": f"""{search('typed', 'products')},
+best as (select *, row_number() over (partition by qid // 2 order by score, id) as place from found where rank = 1)
+select t.id, case when f.id is null then '' else cast(p.id as varchar) end as "SIRET",
+  coalesce(p.nom, '') as "RaisonSociale", coalesce(p.adresse, '') as "AdresseNormalisee"
+from (select distinct qid // 2 as id from typed) t left join best f on f.qid // 2 = t.id and f.place = 1 left join products p on p.id = f.id""",
     "choose_and_write": f"""{search('typed', 'products')}
 select t.qid as id, t.text, case when f.id is null then '' else cast(p.id as varchar) end as "SIRET",
   coalesce(p.nom, '') as "RaisonSociale", coalesce(p.adresse, '') as "AdresseNormalisee"
 from typed t left join (select * from found where rank = 1) f on f.qid = t.qid left join products p on p.id = f.id""",
-    "geocode_join": GEOCODED,
-    "selected_in_cluster": clusters("range(18)", "id in (select c_custkey from customer where c_acctbal < 0)")
-    + " select zoom, cx, cy, n, has_selected from cells",
+    "geocode_join": geocoded(),
+    "geocode_join_shuffled": geocoded(),
+    "selected_in_cluster": SELECTED_IN_CLUSTER,
+    "selected_in_cluster_shuffled": SELECTED_IN_CLUSTER,
     "cluster_points": clusters("range(19)", "id = 7") + " select * from cells",
     "bounds": f"""{POINTS}, box as (
   select min(lat) as min_lat, min(lng) as min_lng, max(lat) as max_lat, max(lng) as max_lng,
@@ -197,12 +237,7 @@ select min_lat, min_lng, max_lat, max_lng, cast(least(greatest(floor(log2(least(
 from orders group by o_custkey""",
     "marker_layer": f"{POINTS} select id, case when id = 7 then 'selectedMarker' else 'otherMarkers' end as layer from points",
     "label_text": f"{POINTS} select id, case when id % 3 = 0 then '' else coalesce(name, '') end as label from points",
-    "debounce": """select user_id, ts, event_type from
-  (select *, lead(ts) over (partition by user_id order by ts, event_id) as following from events)
-where (following is null or following - ts >= interval 2 hours) and length(trim(event_type)) >= 3""",
-    "debounce_stream": """select user_id, ts, event_type from
-  (select *, lead(ts) over (partition by user_id order by ts, event_id) as following from events)
-where (following is null or following - ts >= interval 2 hours) and length(trim(event_type)) >= 3
-  and ts + interval 2 hours <= (select date_trunc('milliseconds', max(ts)) from events)""",
-    "geocode_stream": GEOCODED,
+    "debounce": DEBOUNCED,
+    "debounce_stream": DEBOUNCED,
+    "geocode_stream": geocoded("edited"),
 }

@@ -8,12 +8,12 @@ from placebook.functions.cells import parse_diff_cell
 from placebook.functions.geo import size_class
 from placebook.functions.text import file_name_from_url, first_filled, join_filled, normalize_index, normalize_query, search_text
 from placebook.operators.clusters import SINGLE_FROM, bounds, cluster_points, fit_zoom
-from placebook.operators.columns import MAP_OPTIONAL, MAP_REQUIRED, check_columns, map_columns, map_info, prepare_searchable, project_register
+from placebook.operators.columns import MAP_OPTIONAL, MAP_REQUIRED, check_columns, map_columns, map_info, prepare_searchable, project_register, rename_columns
 from placebook.operators.filters import filter_active, filter_prefix, filter_short_queries, select_records
 from placebook.operators.geocode import geocode_candidates, geocode_table
 from placebook.operators.ids import assign_ids
 from placebook.operators.latest import first_match, last_per_id
-from placebook.operators.search import fuzzy_search
+from placebook.operators.search import build_index, fuzzy_search, load_index
 from placebook.operators.update import update_by_id
 from placebook.plans.mapview import map_points, markers
 from placebook.plans.picker import search_table, write_best
@@ -22,7 +22,7 @@ from placebook.session import new_folder
 from placebook.sinks.register import write_register
 from placebook.sources.nested import columns_to_rows, flatten_companies, pick_resource
 from placebook.sources.register import read_changes, read_register, scan_table
-from placebook.streaming.debounce import debounce, debounce_stream
+from placebook.streaming.debounce import debounce, debounce_stream, open_bursts
 from placebook.streaming.geocoding import geocode_stream, read_answers, with_answers
 from workload.standins import read, view
 
@@ -49,6 +49,16 @@ def scan_register_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_register(spark, folder, "parquet")
 
 
+def scan_register_csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns come in different orders, with line breaks in cells."""
+    folder = new_folder(spark, "register-csv-orders")
+    as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    register = view(spark, sf_dir, "establishment").withColumn("libelleVoieEtablissement", F.replace("libelleVoieEtablissement", F.lit(" "), F.lit("\n")))
+    register.where("siret % 2 = 0").write.options(**as_is).csv(folder, header=True)
+    register.where("siret % 2 = 1").select(*reversed(register.columns)).write.mode("append").options(**as_is).csv(folder, header=True)
+    return read_register(spark, folder, "csv", multi_line=True)
+
+
 def column_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables held by column, at most 1,000 orders each; some columns are too short, too long or empty."""
     rows = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority")))
@@ -73,13 +83,13 @@ def flatten_company_response(spark: SparkSession, sf_dir: str) -> DataFrame:
         """to_json(named_struct('results', case
              when s_suppkey % 7 = 0 then null
              when s_suppkey % 4 = 0 then array(
-               named_struct('nom_complet', s_name, 'siege', named_struct('siret', lpad(cast(s_suppkey as string), 14, '0'), 'adresse', concat('Rue ', s_nationkey))),
-               named_struct('nom_complet', '', 'siege', null))
+               named_struct('nom_complet', s_name, 'siege', named_struct('siret', lpad(cast(s_suppkey as string), 14, '0'), 'adresse', concat('Rue ', s_nationkey)), 'pays', s_nationkey),
+               named_struct('nom_complet', '', 'siege', null, 'pays', s_nationkey))
              else array(
-               named_struct('nom_complet', s_name, 'siege', named_struct('siret', lpad(cast(s_suppkey as string), 14, '0'), 'adresse', cast(null as string))))
+               named_struct('nom_complet', s_name, 'siege', named_struct('siret', lpad(cast(s_suppkey as string), 14, '0'), 'adresse', cast(null as string)), 'pays', s_nationkey))
            end)) as answer""",
     )
-    flat = flatten_companies(answers, keep=["s_suppkey"]).drop("origine")
+    flat = flatten_companies(answers, keep=["s_suppkey"])
     return flat.withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -124,6 +134,13 @@ def export_register_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(built.schema).json(folder)
 
 
+def export_register_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as they are written, with null cells."""
+    built, folder = register_build(spark, sf_dir), new_folder(spark, "register-json")
+    write_register(built.withColumn("ape", F.expr("if(id % 3 = 0, null, ape)")), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = export_register(view(spark, sf_dir, "establishment"), new_folder(spark, "register-json"))
     return spark.createDataFrame(list(counts.items()), "stage string, rows bigint")
@@ -134,6 +151,17 @@ def update_by_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_by_id(clients, view(spark, sf_dir, "choices"), ["SIRET", "RaisonSociale", "AdresseNormalisee"], order=["step"])
 
 
+def update_by_id_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = view(spark, sf_dir, "clients").withColumn("SIRET", F.col("SIRET").cast("string"))
+    return update_by_id(clients, view(spark, sf_dir, "choices"), ["SIRET", "RaisonSociale", "AdresseNormalisee"], order=["step"], limit=0)
+
+
+def rename_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain, a swap, and one column for two names."""
+    mapping = {"id": "c_custkey", "Name": "c_name", "Label": "c_name", "c_name": "c_mktsegment", "c_acctbal": "c_nationkey", "c_nationkey": "c_acctbal", "Gone": None}
+    return rename_columns(read(spark, sf_dir, "customer"), mapping)
+
+
 def map_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_columns(view(spark, sf_dir, "clients"), CLIENTS)
 
@@ -195,6 +223,26 @@ def fuzzy_search_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_search(view(spark, sf_dir, "asked"), view(spark, sf_dir, "streets"))
 
 
+def fuzzy_search_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index saved with more ids per text than are asked for, then loaded."""
+    folder = new_folder(spark, "saved-index")
+    build_index(view(spark, sf_dir, "products"), depth=7).save(folder)
+    return fuzzy_search(view(spark, sf_dir, "typed"), load_index(spark, folder))
+
+
+def fuzzy_search_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way that a search takes where nothing can be broadcast."""
+    return fuzzy_search(view(spark, sf_dir, "typed"), view(spark, sf_dir, "products"), limit=0)
+
+
+def choose_and_write_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two texts are typed for each row; the better result is written."""
+    typed = view(spark, sf_dir, "typed").withColumn("qid", F.expr("qid div 2"))
+    products = view(spark, sf_dir, "products").selectExpr("id", "nom as Nom", "adresse as Adresse", "cast(id as string) as SIRET")
+    target = typed.selectExpr("qid as id", "'' as SIRET", "'' as RaisonSociale", "'' as AdresseNormalisee").distinct()
+    return write_best(target, search_table(typed, products, k=1))
+
+
 def choose_and_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each typed product name is looked up among the products; the best result is written into the row."""
     typed = view(spark, sf_dir, "typed")
@@ -207,18 +255,27 @@ def geocode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocoded_columns(geocode_table(view(spark, sf_dir, "places"), view(spark, sf_dir, "gazetteer")))
 
 
+def geocode_join_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geocoded_columns(geocode_table(view(spark, sf_dir, "places"), view(spark, sf_dir, "gazetteer"), limit=0))
+
+
 def geocoded_columns(table: DataFrame) -> DataFrame:
     numbers = {name: F.col(name).try_cast("double") for name in ("Longitude", "Latitude")}
     return table.select("id", "Longitude", "Latitude", "GeocodedAddress").withColumns(numbers)
 
 
 def geocode_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record changes twice, the second time to what it is now; coordinates of some are then given by hand."""
     folder, places = new_folder(spark, "geocoding"), view(spark, sf_dir, "places")
-    places.write.parquet(f"{folder}/changes")
-    changes = read_changes(spark, f"{folder}/changes", places.schema)
+    now = places.withColumn("step", F.lit(2))
+    for part in (now.withColumns({"step": F.lit(1), "Address": F.concat(F.lit("avant "), "Address")}), now.where("id % 2 = 0"), now.where("id % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/changes")
+    changes = read_changes(spark, f"{folder}/changes", now.schema, files_per_batch=1)
     gazetteer = view(spark, sf_dir, "gazetteer")
-    geocode_stream(changes, gazetteer, f"{folder}/answers", f"{folder}/checkpoint", order=["Address"]).awaitTermination()
-    return geocoded_columns(with_answers(places, read_answers(spark, f"{folder}/answers")))
+    geocode_stream(changes, gazetteer, f"{folder}/answers", f"{folder}/checkpoint", order=["step"]).awaitTermination()
+    by_hand = {"Longitude": F.lit("99"), "Latitude": F.lit("88"), "GeocodedAddress": F.col("Address")}
+    edited = places.withColumns({name: F.when(F.col("id") % 10 == 0, value).otherwise(F.col(name)) for name, value in by_hand.items()})
+    return geocoded_columns(with_answers(edited, read_answers(spark, f"{folder}/answers")))
 
 
 def rounded(cells: DataFrame) -> DataFrame:
@@ -240,6 +297,12 @@ def selected_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("zoom", "cx", "cy", "n", "has_selected")
 
 
+def selected_in_cluster_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_debt = read(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id"))
+    cells = cluster_points(map_points(view(spark, sf_dir, "places")), selected=in_debt, limit=0)
+    return cells.select("zoom", "cx", "cy", "n", "has_selected")
+
+
 def bounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_zoom(bounds(map_points(view(spark, sf_dir, "places"))), 1280, 800)
 
@@ -308,13 +371,23 @@ def debounce_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def debounce_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_changes(spark, sf_dir, read(spark, sf_dir, "events").schema, glob="events.parquet")
-    return run_stream(debounce_stream(events, "user_id", "ts", "event_type", GAP, order=["event_id"]))
+    """Files of a sixth of the time each, some after later ones; the bursts still open at the end are added."""
+    folder, events = new_folder(spark, "events"), read(spark, sf_dir, "events")
+    start, end = events.agg(F.min("ts"), F.max("ts")).first()
+    sixth = (end - start) / 6
+    for part in (0, 2, 1, 3, 5, 4):
+        inside = (F.col("ts") >= start + part * sixth) & (F.col("ts") < start + (part + 1) * sixth)
+        events.where(inside | (F.col("ts") == end) & F.lit(part == 5)).coalesce(1).write.mode("append").parquet(folder)
+    delay = f"{int(2 * sixth.total_seconds()) + 1} seconds"
+    changes = read_changes(spark, folder, events.schema, files_per_batch=1)
+    written = run_stream(debounce_stream(changes, "user_id", "ts", "event_type", delay, GAP, order=["event_id"]))
+    return written.unionByName(open_bursts(events, written, "user_id", "ts", "event_type", GAP, order=["event_id"]))
 
 
 QUERIES = {
     "register_build": register_build,
     "scan_register_csv": scan_register_csv,
+    "scan_register_csv_orders": scan_register_csv_orders,
     "scan_register_parquet": scan_register_parquet,
     "columns_to_rows": columns_to_rows_query,
     "flatten_company_response": flatten_company_response,
@@ -322,8 +395,11 @@ QUERIES = {
     "scan_table": scan_table_query,
     "stream_records": stream_records,
     "export_register_json": export_register_json,
+    "export_register_json_text": export_register_json_text,
     "update_by_id": update_by_id_query,
+    "update_by_id_shuffled": update_by_id_shuffled,
     "row_counts": row_counts,
+    "rename_columns": rename_columns_query,
     "map_columns": map_columns_query,
     "check_columns": check_columns_query,
     "project_register": project_register_query,
@@ -337,9 +413,14 @@ QUERIES = {
     "single_record": single_record,
     "fuzzy_search_topk": fuzzy_search_topk,
     "fuzzy_search_two_fields": fuzzy_search_two_fields,
+    "fuzzy_search_saved_index": fuzzy_search_saved_index,
+    "fuzzy_search_shuffled": fuzzy_search_shuffled,
     "choose_and_write": choose_and_write,
+    "choose_and_write_repeated": choose_and_write_repeated,
     "geocode_join": geocode_join,
+    "geocode_join_shuffled": geocode_join_shuffled,
     "selected_in_cluster": selected_in_cluster,
+    "selected_in_cluster_shuffled": selected_in_cluster_shuffled,
     "cluster_points": cluster_points_query,
     "bounds": bounds_query,
     "cluster_coverage": cluster_coverage,
