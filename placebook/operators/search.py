@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -38,6 +39,10 @@ LEAST_MISS = 0.001
 ROUNDS = (0.1, 0.2)
 COSTLY_FROM = 1_000_000
 
+# Files of a saved index's postings per task, and the trigrams up to which a search asks the scan for just theirs.
+POSTING_PARTS = 4
+PUSHED_GRAMS = 200
+
 
 @dataclass(frozen=True)
 class SearchIndex:
@@ -47,8 +52,12 @@ class SearchIndex:
     pairs: DataFrame  # nom, adresse, ids: each distinct pair of texts
     grams: DataFrame  # field, gram, texts, pairs: in how many texts and pairs each trigram occurs
     depth: int  # ids kept per text and pair, ascending
+    postings: DataFrame | None = None  # field, gram, text, ids, pairs: each text under each of its trigrams; saved indexes only
 
     def save(self, path: str) -> SearchIndex:
+        """Stores the index, its texts also under each of their trigrams: a search then reads only those it is about."""
+        ordered = spread_texts(self.texts).repartitionByRange(POSTING_PARTS * shuffle_partitions(self.texts), "field", "gram", "text")
+        ordered.sortWithinPartitions("field", "gram", "text").write.parquet(f"{path}/postings")
         self.texts.write.parquet(f"{path}/texts")
         self.pairs.write.parquet(f"{path}/pairs")
         self.grams.write.parquet(f"{path}/grams")
@@ -58,7 +67,24 @@ class SearchIndex:
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
     depth = spark.read.parquet(f"{path}/depth").first()[0]
-    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("texts", "pairs", "grams")], depth)
+    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("texts", "pairs", "grams")], depth, spark.read.parquet(f"{path}/postings"))
+
+
+def spread_texts(texts: DataFrame) -> DataFrame:
+    """Each text under each of its trigrams."""
+    return texts.select("field", F.explode(trigrams("text")).alias("gram"), "text", "ids", "pairs")
+
+
+def wanted_postings(rare: DataFrame, index: SearchIndex) -> DataFrame:
+    """The index's postings; of a saved index, if few trigrams are wanted, only theirs, by filters that reach the scan."""
+    if index.postings is None:
+        return spread_texts(index.texts)
+    wanted = rare.select("field", "gram").distinct().limit(PUSHED_GRAMS + 1)
+    wanted = wanted.agg(F.collect_list(F.struct("field", "gram"))).first()[0]
+    if len(wanted) > PUSHED_GRAMS:
+        return index.postings
+    equal = lambda row: (F.col("field") == row["field"]) & (F.col("gram") == row["gram"])
+    return index.postings.where(reduce(or_, map(equal, wanted), F.lit(False)))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -138,7 +164,7 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
     texts are not shuffled at all.
     """
     on = ["field", "gram"]
-    postings = index.texts.select("field", "text", "ids", "pairs", F.explode(trigrams("text")).alias("gram"))
+    postings = wanted_postings(rare, index)
     counts = index.grams.select(*on, F.col("texts").alias("rows"))
     rare = rare.drop("texts", "pairs")
     if fits:

@@ -17,6 +17,7 @@ from placebook.operators.search import (
     load_index,
     match_texts,
     rare_grams,
+    wanted_postings,
 )
 from placebook.plans.picker import search_table, searchable_records, write_best
 from placebook.session import materialize, new_folder
@@ -186,3 +187,25 @@ def test_a_table_is_searched_through_a_saved_index(spark):
     index = build_index(searchable_records(table), depth=2).save(folder)
     rows = spark.createDataFrame([(10, "ecole")], "qid long, text string")
     assert [row.result.siret for row in search_table(rows, table, k=1, index=index).collect()] == ["222"]
+
+
+def test_a_saved_index_is_read_where_the_texts_trigrams_are(spark, monkeypatch, plan_of):
+    """Of 256 files only those that hold one of a dozen trigrams are read."""
+    monkeypatch.setattr(search, "POSTING_PARTS", 64)
+    pick = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "".join(pick.choice(letters) for _ in range(12)), f"{i} rue") for i in range(3000)]
+    folder = new_folder(spark, "test-postings")
+    index = build_index(spark.createDataFrame(rows, "id long, nom string, adresse string")).save(folder)
+    typed = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(3)], "qid long, text string")
+    rare = materialize(rare_grams(typed.selectExpr("qid", "text as q"), index.grams, THRESHOLD), "test-rare")
+    read = wanted_postings(rare, index)
+    plan = plan_of(read)
+    assert "EqualTo(field,nom)" in plan and "EqualTo(gram," in plan
+    assert read.count() > 0
+    read.collect()
+    leaves = read._jdf.queryExecution().executedPlan().collectLeaves()
+    scanned = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert 0 < scanned < index.postings.count() / 10
+    got = {(row.qid, row.id) for row in fuzzy_search(typed, index).where("rank = 1").collect()}
+    assert got == {(i, i * 7) for i in range(3)}
