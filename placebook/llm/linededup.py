@@ -67,8 +67,16 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
             merged = self._store(reduce(DataFrame.unionAll, [self.spark.table(run) for run in runs]))
+            for run in runs:
+                self.spark.sql(f"drop table {run}")
             self._push(merged, level + 1)
 
+    def forget(self) -> None:
+        """Takes the runs out of the session's catalog; their files stay."""
+        for name in (name for level in self.levels for name in level):
+            self.spark.sql(f"drop table {name}")
+        self.levels = []
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -110,6 +118,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     losing = []
     for i in range(batches):
         losing.append(runs.add(lines.where(F.col("batch") == i).select("doc", "hash")).withColumn("batch", F.lit(i)))
+    runs.forget()
     drops = skew_join(lines, reduce(DataFrame.unionAll, losing), ["batch", "hash"])
     drops = drops.where(F.col("owner").isNull() | (F.col("doc") != F.col("owner")))
     drops = drops.groupBy("doc").agg(F.collect_set("hash").alias("_drops"))
