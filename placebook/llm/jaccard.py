@@ -36,7 +36,9 @@ from placebook.session import materialize
 LEAST = 80
 # What one task takes of a block: sets, and shingles of all sets.
 BLOCK_SETS = 2048
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
+# Shingles of sets that a task puts in order at a time.
+BATCH_SHINGLES = 1_000_000
 # Shingles in many sets are put last in the order of rarity. So many are sent to every task at most: the commonest.
 COMMON_SHINGLES = 200_000
 LEAST_COMMON = 16
@@ -159,7 +161,10 @@ def prefix_postings(docs: DataFrame) -> DataFrame:
 def all_postings(sets: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _postings(batch["key"].to_numpy(zero_copy_only=False), _read_lists(batch["tokens"]))
+            keys, sets = batch["key"].to_numpy(zero_copy_only=False), _read_lists(batch["tokens"])
+            part = np.cumsum([0, *map(len, sets)])[:-1] // BATCH_SHINGLES
+            for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
+                yield _postings(keys[first:last], sets[first:last])
 
     return sets.select("key", "tokens").mapInArrow(rows, "token long, key long, n long")
 
@@ -371,23 +376,27 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(id_or_last().alias("doc"), F.xxhash64("text").alias("mark"), "text")
     named = materialize(set_keys(texts), "set-keys")
     classes = named.where("n > 0").groupBy("key", "key2").agg(F.min("doc").alias("first"), F.min(F.struct("doc", "mark")).alias("row"), F.min("n").alias("n"))
+    classes = materialize(classes, "classes")
 
-    shared = shared_counts(prefix_postings(texts))
+    shared = materialize(shared_counts(prefix_postings(texts)), "shared")
     maybe = materialize(lookup(classes, shared, ["key"], "inner").where(F.col("shared") >= extra_of_partner(F.col("n"))).select("key", "row.*"), "maybe")
     chosen = lookup(texts, maybe.select("doc", "mark").distinct(), ["doc", "mark"], "left_semi")
     sets = materialize(lookup(whole_sets(chosen), maybe.select("key").distinct(), ["key"], "left_semi").dropDuplicates(["key"]), "sets")
-    shared = shared_counts(all_postings(sets))
+    shared = materialize(shared_counts(all_postings(sets)), "shared")
     sets = lookup(sets, shared, ["key"], "inner").where(F.col("shared") >= F.ceil(F.col("n") * LEAST / 100)).drop("shared")
     sets = materialize(sets, "linked-sets")
 
     postings = materialize(rare_postings(sets, common_shingles(sets)), "postings")
     centres = postings.groupBy("token").agg(F.min("key").alias("b"), F.max("key").alias("_last")).where("b <> _last").drop("_last")
+    centres = materialize(centres, "centres")
     edges = skew_join(postings, centres, ["token"]).select(F.col("key").alias("a"), "b").distinct()
     blocks = components(edges).withColumnsRenamed({"node": "key", "component": "block"})
     groups = components(links_of_blocks(sets, blocks)).withColumnsRenamed({"node": "key", "component": "group"})
 
     linked = lookup(classes, groups, ["key"], "left")
+    linked = materialize(linked, "linked")
     least = linked.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("first").alias("least"))
+    least = materialize(least, "least")
     found = materialize(lookup(linked, least, ["group"], "left").select("key", "key2", F.coalesce("least", "first").alias("component")), "components")
     joined = skew_join(named, found, ["key", "key2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
     known = lambda name: F.when(F.col(name) != LAST_ID, F.col(name))
