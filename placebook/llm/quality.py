@@ -175,26 +175,34 @@ def judge(docs: DataFrame, found: dict[str, tuple[list[float], list[float]]] | N
         vocabulary = F.array(*map(F.lit, COMMON_WORDS[lang]))
         entries.append(F.struct(F.lit(lang).alias("l"), vocabulary.alias("v"), numbers(characters).alias("c"), numbers(words).alias("w")))
 
-    own = docs.withColumn("_words", words_of(F.col("text")))
-    measured = own.withColumns(base_columns(F.col("text"), F.col("_words")))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    near = F.lit(True)
-    if entries:
-        lang = F.coalesce(F.col("lang"), F.lit(""))
+    text, lang = F.col("text"), F.coalesce(F.col("lang"), F.lit(""))
+
+    def fits(common: Column, characters: Column, n_words: Column) -> Column:
         known = F.array(*entries)
         first = F.concat(F.filter(known, lambda r: r.getField("l") == lang), F.filter(known, lambda r: r.getField("l") != lang))
 
-        def fits(common: Column, characters: Column) -> Column:
-            def to(r: Column) -> Column:
-                words = word_counts(common, F.col("n_words"), r.getField("v"))
-                return (distance(characters, r.getField("c")) <= MOST_DISTANCE) & (let(words, lambda w: distance(w, r.getField("w"))) <= MOST_DISTANCE)
+        def to(r: Column) -> Column:
+            words = word_counts(common, n_words, r.getField("v"))
+            return (distance(characters, r.getField("c")) <= MOST_DISTANCE) & (let(words, lambda w: distance(w, r.getField("w"))) <= MOST_DISTANCE)
+
+        return F.exists(first, to)
+
+    def of_words(words: Column) -> Column:
+        def of_base(base: Column) -> Column:
+            n_words = base.getField("n_words")
+            failed = (n_words < LEAST_WORDS) | (100 * base.getField("n_repeat_words") > MOST_REPEATED * n_words)
+            near = let(common_only(words), lambda w: let(character_counts(text), lambda c: fits(w, c, n_words))) if entries else F.lit(True)
+            kept = F.when(failed, False).when(n_words < JUDGED_WORDS, True).otherwise(near)
+            return F.struct(*[base.getField(name).alias(name) for name in names], failed.alias("base_failed"), kept.alias("kept"))
 
-            return F.exists(first, to)
+        columns = base_columns(text, words)
+        names = list(columns)
+        return let(F.struct(*[column.alias(name) for name, column in columns.items()]), of_base)
 
-        near = let(common_only(F.col("_words")), lambda w: let(character_counts(F.col("text")), lambda c: fits(w, c)))
-    judged = measured.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), False).when(F.col("n_words") < JUDGED_WORDS, True).otherwise(near)
-    return judged.withColumn("kept", kept).drop("_words")
+    # One expression, computed once for a row also where a filter on the verdict is moved before it.
+    judged = docs.withColumn("_verdict", let(words_of(text), of_words))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.withColumns({name: F.col("_verdict")[name] for name in names}).drop("_verdict")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
