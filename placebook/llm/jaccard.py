@@ -39,9 +39,8 @@ BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
 # Shingles of sets that a task puts in order at a time.
 BATCH_SHINGLES = 1_000_000
-# Shingles in many sets are put last in the order of rarity. So many are sent to every task at most: the commonest.
-COMMON_SHINGLES = 200_000
-LEAST_COMMON = 16
+# A shingle in fewer sets is not looked at as one that could be too much for a task.
+LEAST_HOT = 1000
 REPRESENTATIVE_ROUNDS = 2
 
 
@@ -209,39 +208,18 @@ def shared_counts(postings: DataFrame) -> DataFrame:
 # --- blocks -----------------------------------------------------------------------------------------------------------
 
 
-def common_shingles(sets: DataFrame):
-    """The commonest shingles, sorted, sent to every task: those in more sets than a bound that is chosen so that they
-    are COMMON_SHINGLES at most. Which they are decides only how fast the search is.
-    """
-    counts = materialize(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > LEAST_COMMON), "counts")
-    power = F.floor(F.log2("sets")).cast("int")
-    sizes = counts.groupBy(power.alias("power")).count().agg(F.collect_list(F.struct("power", "count"))).first()[0]
-    bound, total = 64, 0
-    for row in sorted(sizes, reverse=True):
-        if total + row["count"] > COMMON_SHINGLES:
-            break
-        bound, total = row["power"], total + row["count"]
-    tokens = counts.where(power >= bound).agg(F.sort_array(F.collect_list("token"))).first()[0]
-    return sets.sparkSession.sparkContext.broadcast(np.array(tokens, np.int64))
-
+def rare_postings(sets: DataFrame) -> DataFrame:
+    """(token, key) for the rarest shingles of each set, one more than a linked set can lack.
 
-def rare_postings(sets: DataFrame, common) -> DataFrame:
-    """(token, key) for the rarest shingles of each set, one more than a linked set can lack."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = common.value
-        for batch in batches:
-            keys, tokens = [], []
-            for key, found in zip(batch["key"].to_pylist(), _read_lists(batch["tokens"])):
-                place = np.minimum(np.searchsorted(late, found), max(0, len(late) - 1))
-                last = late[place] == found if len(late) else np.zeros(len(found), bool)
-                chosen = np.concatenate([found[~last], found[last]])[: len(found) - least_shared(len(found)) + 1]
-                tokens.append(chosen)
-                keys.append(np.full(len(chosen), key, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "key"])
-
-    return sets.select("key", "tokens").mapInArrow(rows, "token long, key long")
+    The order is by the number of sets that have a shingle. Those that no other set has come first and lead to no one, so
+    of the shared ones as many are given as remain; a set that has too few of them has no link and gives none.
+    """
+    tokens = sets.select("key", "n", F.explode("tokens").alias("token"))
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "counts")
+    met = skew_join(tokens, counts, ["token"], counts=counts.where(F.col("rows") >= LEAST_HOT))
+    ranked = met.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("found"))
+    take = F.size("found") - F.ceil(F.col("n") * LEAST / 100).cast("int") + 1
+    return ranked.where(take > 0).select(F.explode(F.slice("found", F.lit(1), take)).alias("t"), "key").select("t.token", "key")
 
 
 # --- search -----------------------------------------------------------------------------------------------------------
@@ -386,7 +364,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = lookup(sets, shared, ["key"], "inner").where(F.col("shared") >= F.ceil(F.col("n") * LEAST / 100)).drop("shared")
     sets = materialize(sets, "linked-sets")
 
-    postings = materialize(rare_postings(sets, common_shingles(sets)), "postings")
+    postings = materialize(rare_postings(sets), "postings")
     centres = postings.groupBy("token").agg(F.min("key").alias("b"), F.max("key").alias("_last")).where("b <> _last").drop("_last")
     centres = materialize(centres, "centres")
     edges = skew_join(postings, centres, ["token"]).select(F.col("key").alias("a"), "b").distinct()

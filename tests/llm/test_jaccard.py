@@ -62,9 +62,9 @@ def corpus(seed):
     return [(i * 3 + 1, text) for i, text in enumerate(texts)]
 
 
-@pytest.mark.parametrize("limits", [(2048, 4_000_000, 200_000, 16), (16, 3000, 5, 2)])
+@pytest.mark.parametrize("limits", [(2048, 2_000_000, 1000, 1_000_000), (16, 3000, 2, 500)])
 def test_equals_brute_force(spark, monkeypatch, limits):
-    for name, value in zip(("BLOCK_SETS", "BLOCK_SHINGLES", "COMMON_SHINGLES", "LEAST_COMMON"), limits):
+    for name, value in zip(("BLOCK_SETS", "BLOCK_SHINGLES", "LEAST_HOT", "BATCH_SHINGLES"), limits):
         monkeypatch.setattr(jaccard, name, value)
     rows = corpus(limits[0])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
