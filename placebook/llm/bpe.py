@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # A vocabulary is sent to every executor; a larger file is refused.
 VOCABULARY_BYTES = 64 << 20
 # Encoded pieces, and checked pairs, that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 # The characters that Unicode calls white space.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,14 +68,14 @@ class BytePairEncoder:
                 self.sound &= left < rank or len(halves[0]) == 1
                 self.sound &= right < rank or len(halves[1]) == 1
                 reachable[token] = rank
-        lengths: dict[int, set[int]] = {}
-        for token in reachable:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        self.reachable = reachable
-        self.lengths = {byte: sorted(found) for byte, found in lengths.items()}
+        # Every end of a token that an encoding can have: the token of these bytes, or -1 if they only end others.
+        self.ends = {token[i:]: -1 for token in reachable for i in range(len(token))} | reachable
         self.longest = max(map(len, reachable))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
+        self.table = np.full(max(self.bytes_of) + 1, None, object)
+        for rank, token in self.bytes_of.items():
+            self.table[rank] = token
 
     def _merge(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """Merges step by step until nothing can be merged or `stop` parts are left. Only for short pieces."""
@@ -116,21 +118,18 @@ class BytePairEncoder:
     def last_tokens(self, data: bytes, last: list[int] | None = None, until: int | None = None) -> list[int]:
         """For each prefix the last token of its encoding; goes on after the prefixes that `last` holds."""
         last = [] if last is None else last
-        find, bytes_of, lengths, pairs = self.reachable.get, self.bytes_of, self.lengths, self.pairs
+        find, known = self.ends.get, self.pairs.get
         for end in range(len(last) + 1, (len(data) if until is None else until) + 1):
-            for length in lengths[data[end - 1]]:
-                if length > end:
-                    raise AssertionError("no token ends a prefix")
-                token = find(data[end - length : end])
-                if token is None:
-                    continue
-                if length == end:
-                    break
-                before = last[end - length - 1]
-                known = pairs.get((before, token))
-                if known or known is None and self.go_together(before, token):
-                    break
-            else:
+            start = end - 1
+            while (token := find(data[start:end])) is not None:
+                if token >= 0:
+                    if not start:
+                        break
+                    together = known((last[start - 1], token))
+                    if together or together is None and self.go_together(last[start - 1], token):
+                        break
+                start -= 1
+            if token is None or start < 0:
                 raise AssertionError("no token ends a prefix")
             last.append(token)
         return last
@@ -142,20 +141,33 @@ class BytePairEncoder:
             end -= len(self.bytes_of[last[end - 1]])
         return tokens[::-1]
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        known = self.pieces.get(piece)
-        if known is None:
-            whole = self.ranks.get(piece)
-            known = (whole,) if whole is not None else tuple(self.walk_back(self.last_tokens(piece)))
-            if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
+    def encode_piece(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.walk_back(self.last_tokens(piece))
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
+        """The bytes of the ids; raises an error for an id that the vocabulary lacks."""
+        return b"".join(self.table[np.asarray(ids, np.int64)])
+
+
+class Pieces(dict):
+    """Packed ids of pieces of text. Once it is full, only pieces that come again are taken over to a new one."""
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        """The bytes of the ids; raises KeyError for an id that the vocabulary lacks."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def __init__(self, encoder: BytePairEncoder):
+        super().__init__()
+        self.encoder, self.earlier = encoder, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.earlier.pop(piece, None)
+        if found is None:
+            ids = self.encoder.encode_piece(piece.encode())
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.earlier = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class EditedPiece:
@@ -240,36 +252,20 @@ def encode(vocabulary, pattern: str, text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        encoder, split = _encoder(vocabulary.value), splitter(pattern)
-        encode_piece, known = encoder.encode_piece, encoder.pieces
-        out = []
-        for item in texts:
-            ids: list[int] = []
-            for piece in split(item.as_py() or ""):
-                data = piece.encode()
-                ids += known.get(data) or encode_piece(data)
-            out.append(_pack(ids))
-        return pa.array(out, pa.binary())
+        packed_ids, split = _encoder(vocabulary.value).pieces.__getitem__, splitter(pattern)
+        return pa.array([b"".join(map(packed_ids, split(item.as_py() or ""))) for item in texts], pa.binary())
 
     return packed(text)
 
 
-def _pack(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 def decode(vocabulary, ids: Column) -> Column:
     """The bytes of packed ids; null stays null."""
 
     @F.arrow_udf("binary")
     def unpacked(column: pa.Array) -> pa.Array:
-        import numpy as np
-
         encoder = _encoder(vocabulary.value)
         blobs = (item.as_py() for item in column)
-        return pa.array([None if blob is None else encoder.decode(np.frombuffer(blob, "<u4").tolist()) for blob in blobs], pa.binary())
+        return pa.array([None if blob is None else encoder.decode(np.frombuffer(blob, "<u4")) for blob in blobs], pa.binary())
 
     return unpacked(ids)
 
