@@ -20,19 +20,52 @@ ROUNDS = 8
 # probability of 0.998 or more.
 WALKS = 12
 
+# Lengths of account numbers (IBAN) by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IP = rf"(?<![0-9.])(?:{_BYTE}\.){{3}}{_BYTE}(?![0-9]|\.[0-9])"
+_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9./])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+# A number after a blank that is not part of the one before it; forms() puts a text's card numbers in the last place.
+_CARDS, _NOTHING = "~", r"[^\s\S]"
+_OTHER = rf"{_IP}|{_DATE}|{_SSN}|{_CARDS}"
+_GROUP = rf"(?:[.-]?| (?!{_OTHER}))[0-9]{{2,4}}"
+_WHOLE = rf"(?:[.-]?| (?!{_OTHER}|[0-9]+\.[0-9]))[0-9]{{2,4}}"
+# Phone numbers have 7 to 15 digits. Those of ten digits after (area) or +1 come first, then those without a dotted number.
+_SEVEN_TO_15 = r"[ .()-]{0,3}[0-9]" * 7 + r"(?:[ .()-]{0,3}[0-9])?" * 8
+_ENDS_PLUS, _ENDS = rf"(?![0-9])(?<=\+{_SEVEN_TO_15})", rf"(?![0-9])(?<=\({_SEVEN_TO_15.replace('.()', '.)')})"
+_TEN = r"(?<![0-9+])(?:(?:\+1[ .-]?)?\([2-9][0-9]{2}\)|\+1[ .-]?[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+_PHONES = [rf"(?<![0-9+]){start}{groups}{ends}" for group in (_WHOLE, _GROUP) for start, groups, ends in (
+    (r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)", rf"{_GROUP}(?:{group}){{1,3}}", _ENDS_PLUS),
+    (r"\([0-9]{2,4}\)", rf"{_GROUP}(?:{group}){{1,3}}", _ENDS),
+    (r"\+[0-9]{1,3}", rf"{_GROUP}(?:{group}){{1,4}}", _ENDS_PLUS),
+)]
+
 # How each kind is written. A later one is only looked for where no earlier one begins.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\x22']?[A-Za-z0-9+/_-]{8,64}(?![A-Za-z0-9+/_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9./])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ip": _IP,
+    "phone": "|".join([_TEN, *_PHONES]).replace(_CARDS, _NOTHING),
+    "date": _DATE,
+    "ssn": _SSN,
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(KINDS.values())
+# Kinds whose check no pattern can make: a text's values that pass it are collected first, from wherever one may begin,
+# and then looked for themselves.
+_BY_LENGTH = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{length - 4}}}" for length, names in IBAN_LENGTHS.items())
+# Of a country that is not listed, up to where one of a listed country begins.
+_UNLISTED = rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_BY_LENGTH})(?![A-Za-z0-9])))?[A-Z0-9]){{11,30}}"
+IBAN_FORM = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_BY_LENGTH}|{_UNLISTED})(?![A-Za-z0-9])))"
+CARD_FORM = r"(?<![0-9])(?=([2-6](?:[0-9]{12,18}|[0-9]{3}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3}| [0-9]{6} [0-9]{4,5}|-[0-9]{6}-[0-9]{4,5}))(?![0-9])))"
 # A text without any of these has no value of any kind.
 HINT = r"[0-9@]|AKIA|password|passwd|token|secret|api_key"
 
@@ -160,6 +193,10 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(start, permuted_characters(value, _classes(value), key, "secret"))
 
 
+def _valid_iban(m: Column) -> Column:
+    return let(F.regexp_replace(m, " ", ""), lambda plain: _mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))) == 1)
+
+
 def _iban(m: Column, key: str) -> Column:
     def replaced(plain: Column) -> Column:
         country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 40)
@@ -168,8 +205,7 @@ def _iban(m: Column, key: str) -> Column:
             check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
             return _fill(m, F.concat(country, check, new))
 
-        valid = _mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1
-        return F.when(valid, let(permuted_characters(rest, _classes(rest), key, "iban"), checked))
+        return let(permuted_characters(rest, _classes(rest), key, "iban"), checked)
 
     return let(F.regexp_replace(m, " ", ""), replaced)
 
@@ -185,9 +221,8 @@ def _phone(m: Column, key: str) -> Column:
     """The country's code stays: the digits after + up to the next sign, of a number written without any the first."""
     start = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?", 0)
     rest = F.substring(m, F.char_length(start) + 1, F.lit(64))
-    length = F.char_length(_digits(m))
     digits = _digits(rest)
-    return F.when(length.between(7, 15), F.concat(start, _fill(rest, permuted_characters(digits, F.repeat(F.lit("d"), F.char_length(digits)), key, "phone"))))
+    return F.concat(start, _fill(rest, permuted_characters(digits, F.repeat(F.lit("d"), F.char_length(digits)), key, "phone")))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -240,6 +275,10 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(permuted_pair(front, serial - 1, 898 * 99, 9999, key, "ssn"), written))
 
 
+def _valid_card(m: Column) -> Column:
+    return let(_digits(m), lambda digits: digits.rlike("^[2-6]") & (_luhn(digits) % 10 == 0))
+
+
 def _card(m: Column, key: str) -> Column:
     """The first digit, which names the network, stays; the check digit is that of the new number."""
 
@@ -252,7 +291,7 @@ def _card(m: Column, key: str) -> Column:
             check = (10 - _luhn(F.concat(front, F.lit("0"))) % 10) % 10
             return _fill(m, F.concat(front, check.cast("string")))
 
-        return F.when((_luhn(digits) % 10 == 0) & digits.rlike("^[2-6]"), let(new, checked))
+        return let(new, checked)
 
     return let(_digits(m), replaced)
 
@@ -276,21 +315,59 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return new
 
 
+def forms(text: Column) -> Column:
+    """The pattern of all values of a text: how each kind is written, but for account and card numbers the text's own."""
+
+    def values(form: str, valid: Callable[[Column], Column]) -> Column:
+        return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(form), F.lit(1))), valid)
+
+    def either(found: Column, after: str) -> Column:
+        return F.when(F.size(found) > 0, F.concat(F.lit("(?:"), F.array_join(found, "|"), F.lit(f")(?!{after})")))
+
+    def pattern(iban: Column, card: Column) -> Column:
+        phone = F.when(card.isNull(), F.lit(KINDS["phone"])).otherwise(F.replace(F.lit("|".join([_TEN, *_PHONES])), F.lit(_CARDS), card))
+        own = {"iban": F.concat(F.lit("(?<![A-Za-z0-9])"), iban), "phone": phone, "card": F.concat(F.lit("(?<![0-9])"), card)}
+        return F.concat_ws("|", *[own.get(kind, F.lit(form)) for kind, form in KINDS.items()])
+
+    iban = let(values(IBAN_FORM, _valid_iban), lambda found: either(found, "[A-Za-z0-9]"))
+    card = let(values(CARD_FORM, _valid_card), lambda found: either(found, "[0-9]"))
+    return let(F.struct(iban.alias("iban"), card.alias("card")), lambda own: pattern(own["iban"], own["card"]))
+
+
+def _pieces(text: Column, pattern: Column, named: Callable[[Column], Column], between: Callable[[Column], Column]) -> Column:
+    """A text's pieces in order: its matches and what `between` makes of each piece before, between and after them."""
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    none = F.array().cast(PIECES)
+    return F.flatten(F.zip_with(gaps, matches, lambda gap, m: F.concat(between(gap), F.when(m.isNull(), none).otherwise(F.array(named(m))))))
+
+
+PIECES = "array<struct<value:string,kind:string,new:string>>"
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with `text` pseudonymised and a column `pseudonyms`, which replaces one of that name: the kind and the
     pseudonym of each replaced value, in order. A null text stays null and has none; matches that fail their kind's
     check stay as they are; every row stays. The key is a secret of the caller.
+
+    Digits in other groups than a card's count as one where all of a run between other values passes the check.
     """
-    matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    nothing = F.lit(None).cast("string")
+
+    def piece(value: Column, kind: Column, new: Column) -> Column:
+        return F.struct(value.alias("value"), kind.alias("kind"), new.alias("new"))
 
     def named(m: Column) -> Column:
-        return let(kind_of(m), lambda kind: F.struct(m.alias("value"), kind.alias("kind"), pseudonym(m, kind, key).alias("new")))
+        return let(kind_of(m), lambda kind: piece(m, kind, pseudonym(m, kind, key)))
+
+    def run(m: Column) -> Column:
+        return piece(m, F.lit("card"), F.when(_valid_card(m), _card(m, key)))
+
+    def between(text: Column) -> Column:
+        return _pieces(text, F.lit(KINDS["card"]), run, lambda gap: F.array(piece(gap, nothing, nothing)))
 
-    nothing = F.array().cast("array<struct<value:string,kind:string,new:string>>")
-    found = F.when(F.col("text").rlike(HINT), F.transform(matches, named)).otherwise(nothing)
-    marked = docs.withColumn("_found", found)
-    gaps = F.split("text", ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_found")), "_found", lambda gap, f: F.concat(gap, F.coalesce(f["new"], f["value"]))), ""), F.element_at(gaps, -1))
+    marked = docs.withColumn("_forms", F.when(F.col("text").rlike(HINT), forms(F.col("text"))))
+    marked = marked.withColumn("_found", F.when(F.col("_forms").isNotNull(), _pieces(F.col("text"), F.col("_forms"), named, between)).otherwise(F.array().cast(PIECES)))
     valid = F.filter("_found", lambda f: f["new"].isNotNull())
-    marked = marked.withColumn("pseudonyms", F.when(F.col("text").isNull(), F.array().cast("array<struct<kind:string,new:string>>")).otherwise(F.transform(valid, lambda f: F.struct(f["kind"].alias("kind"), f["new"].alias("new")))))
-    return marked.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))).drop("_found")
+    marked = marked.withColumn("pseudonyms", F.transform(valid, lambda f: F.struct(f["kind"].alias("kind"), f["new"].alias("new"))))
+    joined = F.array_join(F.transform("_found", lambda f: F.coalesce(f["new"], f["value"])), "")
+    return marked.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))).drop("_found", "_forms")

@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -85,3 +86,83 @@ def test_rows_columns_and_plan(spark, plan_of):
     assert len({row.text for row in got.collect()}) == 2
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
     assert not re.search("ArrowEval|BatchEval|MapIn|Exchange|Join", plan_of(got))
+
+
+def check_digit(digits):
+    return digits + next(str(d) for d in range(10) if luhn(digits + str(d)))
+
+
+def iban_valid(text):
+    plain = text.replace(" ", "")
+    return len(plain) == {"DE": 22, "GB": 22, "NO": 15, "FR": 27}.get(plain[:2]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def brute_force(text):
+    """The leftmost, then longest, valid values of every sub-run, as (start, end)."""
+    forms = [
+        (r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9])+", "[A-Za-z0-9]", "[A-Za-z0-9]", iban_valid),
+        (r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "[0-9.]", r"[0-9]|\.[0-9]", lambda t: all(int(p) < 256 and p == str(int(p)) for p in t.split("."))),
+        (r"(\+1 )?\([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4}", "[0-9+]", "[0-9]", lambda t: True),
+        (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9-]", "[0-9-]", lambda t: t[5:7] < "13" and t[8:] < "29" and "00" not in (t[5:7], t[8:])),
+        (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9-]", "[0-9-]", lambda t: True),
+        (r"[2-6]([0-9]{12,18}|[0-9]{3}(( [0-9]{4}){3}|(-[0-9]{4}){3}| [0-9]{6} [0-9]{5}))", "[0-9]", "[0-9]", luhn),
+    ]
+    out, i = [], 0
+    while i < len(text):
+        ends = (
+            j
+            for form, before, after, valid in forms
+            for j in range(min(len(text), i + 50), i, -1)
+            if re.fullmatch(form, text[i:j]) and not re.match(before, text[i - 1 : i]) and not re.match(after, text[j:]) and valid(text[i:j])
+        )
+        end = next(ends, None)
+        if end:
+            out.append((i, end))
+        i = end or i + 1
+    return out
+
+
+def test_values_beside_other_numbers_are_those_of_a_brute_force(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban():
+        rest = number(18)
+        check = 98 - int(rest + "131400") % 97
+        plain = f"DE{check:02d}{rest}"
+        return rng.choice([plain, " ".join(plain[i : i + 4] for i in range(0, 22, 4))])
+
+    def card():
+        plain = check_digit("4" + number(14))
+        amex = check_digit("37" + number(12))
+        groups = [plain[i : i + 4] for i in range(0, 16, 4)]
+        return rng.choice([plain, " ".join(groups), "-".join(groups), f"{amex[:4]} {amex[4:10]} {amex[10:]}"])
+
+    phone = lambda: rng.choice(["", "+1 "]) + f"({rng.randint(200, 999)}) {number(3)}-{number(4)}"
+    ip = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    date = lambda: f"{rng.randint(1950, 2050)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    ssn = lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    noise = lambda: rng.choice(["2024", "3", "17", "AB12", "1.5", "x", "word"])
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(4):
+            parts += [noise()] * rng.randint(0, 1) + [rng.choice([iban, card, card, phone, ip, date, ssn])()]
+        texts.append(" ".join(parts))
+    spans = [brute_force(text) for text in texts]
+    values = sorted({text[i:j] for text, found in zip(texts, spans) for i, j in found})
+    alone = dict(zip(values, replaced(spark, values)[0]))
+    assert len(values) > 400
+    for text, found, got, pseudonyms in zip(texts, spans, *replaced(spark, texts)):
+        want, at = "", 0
+        for i, j in found:
+            want, at = want + text[at:i] + alone[text[i:j]], j
+        assert got == want + text[at:] and len(pseudonyms) == len(found), (text, [text[i:j] for i, j in found])
+
+
+def test_written_forms_end_before_their_neighbours(spark):
+    pairs = [("+1 (826) 555-4081", "190.137.223.204"), ("(826) 555-4081", "2024"), ("(030) 1234 5678", "2024-01-15"), ("(030) 1234 5678", "4111 1111 1111 1111"), ("+49 170 1234567", "078-05-1120")]
+    alone = dict(zip(values := [v for pair in pairs for v in pair], replaced(spark, values)[0]))
+    assert replaced(spark, [" ".join(pair) for pair in pairs])[0] == [f"{alone[a]} {alone[b]}" for a, b in pairs]
+    got, found = replaced(spark, ["+49 170-123 4567", "+49 30 1234 55-21", "4111-111111111111", "XX54 1234 5678 901"])
+    assert [[k for k, _ in p] for p in found[:3]] == [["phone"], ["phone"], ["card"]] and not re.search("1234|1111", "".join(got[:3]))
