@@ -51,7 +51,7 @@ _PHONES = [rf"(?<![0-9+]){start}{groups}{ends}" for group in (_WHOLE, _GROUP) fo
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\x22']?[A-Za-z0-9+/_-]{8,64}(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\x22']?[A-Za-z0-9+/_-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ip": _IP,
     "phone": "|".join([_TEN, *_PHONES]).replace(_CARDS, _NOTHING),
@@ -67,7 +67,7 @@ _UNLISTED = rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_BY_LENGTH})(?![A-
 IBAN_FORM = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_BY_LENGTH}|{_UNLISTED})(?![A-Za-z0-9])))"
 CARD_FORM = r"(?<![0-9])(?=([2-6](?:[0-9]{12,18}|[0-9]{3}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3}| [0-9]{6} [0-9]{4,5}|-[0-9]{6}-[0-9]{4,5}))(?![0-9])))"
 # A text without any of these has no value of any kind.
-HINT = r"[0-9@]|AKIA|password|passwd|token|secret|api_key"
+HINT = r"[0-9@]|AKIA|(?i:password|passwd|token|secret|api_key)"
 
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # dates up to 2099-12-31
 
@@ -88,28 +88,29 @@ def _number(hexadecimal: Column) -> Column:
 def _shifted(text: Column, classes: Column, digest: Column) -> Column:
     """Each character moved within its class, by four digits of the digest: d digits, l and u letters, others stay."""
 
-    def moved(i: Column) -> Column:
-        kind, code = F.substring(classes, i, 1), F.ascii(F.substring(text, i, 1))
-        step = _number(F.substring(digest, ((i - 1) % 32) * 4 + 1, 4)).cast("int")
+    def moved(old: Column, kind: Column, step: Column) -> Column:
+        code = F.ascii(old)
         within = lambda base, size: F.char(base + (code - base + step) % size)
-        return F.when(kind == "d", within(48, 10)).when(kind == "l", within(97, 26)).when(kind == "u", within(65, 26)).otherwise(F.substring(text, i, 1))
+        return F.when(kind == "d", within(48, 10)).when(kind == "l", within(97, 26)).when(kind == "u", within(65, 26)).otherwise(old)
 
-    places = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, moved), "")
+    # Cut up once, so that a long value's cost grows with its length only.
+    pairs = F.arrays_zip(F.split(text, "").alias("old"), F.split(classes, "").alias("kind"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: _number(F.substring(digest, i * 4 + 1, 4)).cast("int"))
+    return let(steps, lambda step: F.array_join(F.transform(pairs, lambda pair, i: moved(pair["old"], pair["kind"], F.get(step, i % 32))), ""))
 
 
 def permuted_characters(value: Column, classes: Column, key: str, kind: str) -> Column:
     """`value` with each half's characters shifted by the other half, in turn."""
     half = F.floor(F.char_length(value) / 2).cast("int")
-    left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, F.lit(1 << 20))
-    left_of, right_of = F.substring(classes, F.lit(1), half), F.substring(classes, half + 1, F.lit(1 << 20))
+    left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, F.char_length(value))
+    left_of, right_of = F.substring(classes, F.lit(1), half), F.substring(classes, half + 1, F.char_length(value))
 
     def step(state: Column, i: Column) -> Column:
         a, b = state["a"], state["b"]
         even = i % 2 == 0
         return F.struct(
-            F.when(even, _shifted(a, left_of, _digest(key, kind, i, b))).otherwise(a).alias("a"),
-            F.when(even, b).otherwise(_shifted(b, right_of, _digest(key, kind, i, a))).alias("b"),
+            F.when(even, let(_digest(key, kind, i, b), lambda digest: _shifted(a, left_of, digest))).otherwise(a).alias("a"),
+            F.when(even, b).otherwise(let(_digest(key, kind, i, a), lambda digest: _shifted(b, right_of, digest))).alias("b"),
         )
 
     start = F.struct(left.alias("a"), right.alias("b"))

@@ -166,3 +166,12 @@ def test_written_forms_end_before_their_neighbours(spark):
     assert replaced(spark, [" ".join(pair) for pair in pairs])[0] == [f"{alone[a]} {alone[b]}" for a, b in pairs]
     got, found = replaced(spark, ["+49 170-123 4567", "+49 30 1234 55-21", "4111-111111111111", "XX54 1234 5678 901"])
     assert [[k for k, _ in p] for p in found[:3]] == [["phone"], ["phone"], ["card"]] and not re.search("1234|1111", "".join(got[:3]))
+
+
+def test_assigned_secrets_of_any_case_and_length(spark):
+    texts = ['TOKEN = "9233A8EC77F0AA12', "Api_Key: abcdefgh", "token=" + "a1B2" * 20, "secret=" + "x9" * 100_000]
+    got, found = replaced(spark, texts)
+    assert [[k for k, _ in p] for p in found] == [["secret"]] * 4
+    assert all(len(a) == len(b) and a != b for a, b in zip(texts, got)) and got[0].startswith('TOKEN = "') and got[2].startswith("token=")
+    assert "a1B2a1B2" not in got[2] and "x9x9x9x9" not in got[3]
+    assert replaced(spark, ["token=short", "tokens = abcdefghij"]) == (["token=short", "tokens = abcdefghij"], [[], []])
