@@ -63,3 +63,21 @@ def test_query_gives_the_articles_of_the_given_pages(spark, sf_dir):
         inner = re.search(r"(?s)<article>(.*?)(</article>|$)", pages[row.page_id])
         plain = unescape(re.sub(r"<[^>]*(>|$)", " ", re.sub(r"</?[bia]\b[^>]*>", "", inner[1]))) if inner else ""
         assert row.text == " ".join(plain.split()) and row.n_chars == len(row.text)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='with-sidebar'", "section id='search-results'", "div class='ad-free'", "form action='/'", "div role='form'"])
+@pytest.mark.parametrize("inner", ["<main><article>{}</article></main>", "<article>{}</article>", "<div>{}</div>"])
+def test_containers_that_hold_the_main_text_are_not_apart(wrapper, inner):
+    text = f"<h2>Title</h2><p>{LONG}</p><p>Short.</p><div class='sidebar'>{LONG}</div><p>{LONG} {LONG} {LONG}</p>"
+    body = f"<{wrapper}>{inner.format(text)}<div class='related'><article>{LONG}</article></div></{wrapper.split()[0]}>"
+    if "article" not in inner:
+        body = body.replace("article", "p")
+    assert html.main_text(PAGE.format(body=body)) == f"Title {LONG} Short. {LONG} {LONG} {LONG}"
+    assert html.main_text(f"<form><p>{LONG}</p><div class='wrap'><div class='ad'>x</div><p>{LONG}</p></div></form>") == f"{LONG} {LONG}"
+
+
+def test_adverts_within_an_article():
+    link = "<a href='/x'>Buy this</a>"
+    body = f"<article><p>{LONG}</p><p class='ad'>Cheap {LONG}<br>and good</p><p>{LONG}</p><p>Short.</p>" + f"<p>{LONG}</p>" * 4 + f"<div>{link}</div><div>{link}</div><div>{link}</div><div>{link}</div><div>{link}</div></article>"
+    got = html.main_text(PAGE.format(body=body))
+    assert got.startswith(f"{LONG} {LONG} Short. {LONG}") and "Cheap" not in got and "good" not in got and got.count("Buy this") <= 2
