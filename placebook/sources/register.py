@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from placebook.operators.columns import project_register
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of a folder by the names in their first lines. Only these lines are read."""
+# What Spark's reader trims off a line to see whether it is filled; with line breaks in cells it skips empty lines only.
+BLANKS = "".join(map(chr, range(33)))
+
+
+def csv_headers(spark: SparkSession, path: str, multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder by the names in their first filled lines. Only lines up to these are read."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     start = jvm.org.apache.hadoop.fs.Path(path)
     system = start.getFileSystem(conf)
@@ -26,8 +30,10 @@ def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[st
             codec, stream = codecs.getCodec(file), system.open(file)
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
             line = reader.readLine()
+            while line is not None and not line.removeprefix("\ufeff").strip("" if multi_line else BLANKS):
+                line = reader.readLine()
             reader.close()
-            if line:
+            if line is not None:  # else it has no rows either
                 names = tuple(next(csv.reader([line.removeprefix("\ufeff")])))
                 found.setdefault(names, []).append(file.toString())
     return found
@@ -37,7 +43,7 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
     reader = reader.option("nullValue", None).option("emptyValue", "")
     parts = []
-    for names, files in sorted(csv_headers(spark, path).items()):
+    for names, files in sorted(csv_headers(spark, path, multi_line).items()):
         schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
         parts.append(project_register(reader.schema(schema).csv(files)))
     if not parts:

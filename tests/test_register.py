@@ -91,3 +91,15 @@ def test_csv_files_may_differ_in_the_order_of_their_columns(spark):
     two.coalesce(1).write.mode("append").option("escape", '"').csv(folder, header=True)
     got = sorted(tuple(row) for row in read_register(spark, folder, "csv", multi_line=True).select("siret", "siren", "etatAdministratifEtablissement").collect())
     assert got == [("1", "a", "a"), ("2", "first\nsecond", "b")]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_blank_lines_before_the_header_lose_no_rows(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, line(siret="1")]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join(["", "" if multi_line else "  ", HEADER, line(siret="2"), line(siret="3")]) + "\n")
+    (tmp_path / "c.csv").write_text("\n\n")
+    assert sorted(r.siret for r in read_register(spark, str(tmp_path), "csv", multi_line).select("siret").collect()) == ["1", "2", "3"]
+    if multi_line:
+        (tmp_path / "d.csv").write_text("\n".join(["  ", HEADER, line(siret="4")]) + "\n")
+        with pytest.raises(MissingColumns):
+            read_register(spark, str(tmp_path), "csv", multi_line)
