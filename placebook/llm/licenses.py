@@ -1,12 +1,14 @@
 """License notices in texts.
 
-Each text is cut into overlapping windows a little longer than a template, a quarter of the template apart, so that any
-occurrence lies whole within one. Windows and templates with an equal band of MinHash values meet; the window is then
-searched for the template's shingles, and a match is a template of which the window has at least a given share.
-
-A window that has all of a template has a similarity of at least 0.75 to it, one that has four fifths of it of 0.5: with
-BANDS bands of ROWS values, the first is met with a probability beyond 1 - 1e-9, the second of 0.999. A band can only
-agree where the window has a shingle that gives the template one of its values, so only windows around those are hashed.
+Each text is cut into overlapping windows a quarter of a template's shingles longer than it and apart, so that any
+occurrence lies whole within one; templates of less than four shingles have windows of their own length at every place.
+Windows and templates with an equal band of MinHash values meet; the window is then searched for the template's shingles,
+and a match is a template of which the window has at least a given share.
+
+A window that has all of a template without repeated shingles has a similarity of at least 0.8 to it, one that has four
+fifths of it of 0.55: with BANDS bands of ROWS values, the first is met with a probability beyond 1 - 1e-10 (certainly where
+the window fits exactly), the second of 0.999. A band can only agree where the window has a shingle that gives the template
+one of its values, so only windows around those are hashed.
 """
 
 from __future__ import annotations
@@ -123,8 +125,9 @@ class Matcher:
         return sorted(kept, key=lambda m: (m[2], m[0], m[3]))
 
     def _windows(self, own: np.ndarray, marked: np.ndarray, size: int, length: int) -> list[tuple[str, float, int, int]]:
-        step = max(1, length // 4)
-        reach = length + step - size  # a window's shingles less one
+        count = length - size + 1
+        step = max(1, count // 4)
+        reach = count + count // 4 - 1  # a window's shingles less one; below four shingles it fits exactly
         starts = {k * step for i in marked.tolist() for k in range(max(0, -(-(i - reach) // step)), i // step + 1)}
         found = []
         for start in sorted(starts):

@@ -71,3 +71,10 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert len(rows) == len(texts) and any(row.licenses for row in rows)
     for row in rows:
         assert row.licenses == ",".join(sorted(brute_force(texts[row.doc_id]))) and (row.n_matches > 0) == (row.licenses != "")
+
+
+def test_short_templates_that_open_a_text_are_always_found():
+    """The only window of such an opening has, if it fits, no shingle but the template's."""
+    for name, notice in [("proprietary", "All rights reserved."), ("MIT", "Released under the MIT License.")]:
+        matcher = licenses.Matcher([(name, notice)])
+        assert all(matcher.find(f"{notice} w{i} x{i * 7} y{i} z{i} v{i}") for i in range(3000))
