@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from placebook.session import BROADCAST_ROWS, fits_broadcast, materialize
 
@@ -15,24 +16,36 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def count_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.groupBy(*on).agg(F.count("*").alias("rows"))
+def own_name(purpose: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"_{purpose}_{uuid.uuid4().hex}"
 
 
-def hot_keys(counts: DataFrame, others: DataFrame, on: Sequence[str], both: bool = True) -> DataFrame:
-    """From the `rows` per key of both sides: the keys that bring more work than an average shuffle partition, and over
+def named(name: str) -> Column:
+    """The column of just this name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def count_keys(df: DataFrame, on: Sequence[str], name: str = "rows") -> DataFrame:
+    return df.groupBy(*map(named, on)).agg(F.count("*").alias(name))
+
+
+def hot_keys(counts: DataFrame, others: DataFrame, on: Sequence[str], both: bool = True, names: Sequence[str] = ("rows", "pieces", "other_pieces")) -> DataFrame:
+    """From the rows per key of both sides: the keys that bring more work than an average shuffle partition, and over
     how many pieces to spread each side's rows. Work is the rows read and made. With `both` the larger side of a key is
-    cut the finer, else only the first side is cut. At most as many keys as there are shuffle partitions.
+    cut the finer, else only the first side is cut. At most as many keys as there are shuffle partitions. `names` are the
+    columns of the counts and of the pieces.
     """
-    rows, other = F.col("rows"), F.coalesce("_other", F.lit(0))
-    met = counts.join(others.withColumnRenamed("rows", "_other"), list(on), "left")
-    met = materialize(met.select(*on, "rows", other.alias("_other"), (rows + other + rows * other).cast("double").alias("_work")), "key-counts")
-    share = F.col("_work") * shuffle_partitions(counts) / met.agg(F.sum("_work")).scalar()
-    other = F.col("_other")
+    counted, pieces, other_pieces = names
+    other_name, work = own_name("other"), own_name("work")
+    rows, other = F.col(counted), F.col(other_name)
+    met = counts.join(others.withColumnRenamed(counted, other_name), list(on), "left").withColumn(other_name, F.coalesce(other_name, F.lit(0)))
+    met = materialize(met.withColumn(work, (rows + other + rows * other).cast("double")), "key-counts")
+    share = F.col(work) * shuffle_partitions(counts) / met.agg(F.sum(work)).scalar()
     most = F.when(other > 0, F.sqrt(F.ceil(share) * rows / other)).otherwise(F.ceil(share)) if both else F.ceil(share)
-    cut = met.where(share > 1).withColumn("pieces", F.least(rows, F.ceil(F.greatest(F.lit(1.0), most))).cast("int"))
-    others_cut = F.least(F.greatest(other, F.lit(1)), F.ceil(share / F.col("pieces"))) if both else F.lit(1)
-    return cut.select(*on, "pieces", others_cut.cast("int").alias("other_pieces"))
+    cut = met.where(share > 1).withColumn(pieces, F.least(rows, F.ceil(F.greatest(F.lit(1.0), most))).cast("int"))
+    others_cut = F.least(F.greatest(other, F.lit(1)), F.ceil(share / F.col(pieces))) if both else F.lit(1)
+    return cut.select(*map(named, on), pieces, others_cut.cast("int").alias(other_pieces))
 
 
 def skew_join(
@@ -55,28 +68,30 @@ def skew_join(
     on = list(on)
     if fits_broadcast(small, rows=limit) if fits is None else fits:
         return large.join(F.broadcast(small), on, how)
-    given = reduce(and_, [F.col(name).isNotNull() for name in on])
-    counts = count_keys(large, on) if counts is None else counts
-    hot = materialize(hot_keys(counts.where(given), count_keys(small, on), on, how == "inner"), "hot")
+    rows, row, pieces, other_pieces, piece, other_piece = map(own_name, ("rows", "row", "pieces", "other_pieces", "piece", "other_piece"))
+    given = reduce(and_, [named(name).isNotNull() for name in on])
+    counts = count_keys(large, on, rows) if counts is None else counts.withColumnRenamed("rows", rows)
+    hot = materialize(hot_keys(counts.where(given), count_keys(small, on, rows), on, how == "inner", (rows, pieces, other_pieces)), "hot")
     keyed = large.where(given)
     if hot.limit(1).count() == 0:
         joined = keyed.join(small, on, how)
     else:
-        few = F.broadcast(hot)
-        cool = keyed.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small, on, how)
+        few, keys = F.broadcast(hot), F.broadcast(hot.select(*map(named, on)))
+        cool = keyed.join(keys, on, "left_anti").join(small, on, how)
         place = F.monotonically_increasing_id()
-        left = materialize(keyed.join(F.broadcast(hot.select(*on)), on, "left_semi"), "hot-rows").withColumn("_row", place).join(few, on)
-        right = materialize(small.join(F.broadcast(hot.select(*on)), on, "left_semi"), "hot-rows").withColumn("_row", place).join(few, on)
-        dealt = lambda pieces: F.pmod("_row", F.col(pieces)).cast("int")
-        every = lambda pieces: F.explode(F.sequence(F.lit(0), F.col(pieces) - 1))
-        extra = ["_row", "pieces", "other_pieces"]
-        left = left.withColumn("_piece", dealt("pieces")).withColumn("_other_piece", every("other_pieces")).drop(*extra)
-        right = right.withColumn("_other_piece", dealt("other_pieces")).withColumn("_piece", every("pieces")).drop(*extra)
-        joined = cool.unionByName(left.join(right, [*on, "_piece", "_other_piece"], how).drop("_piece", "_other_piece"))
+        left = materialize(keyed.join(keys, on, "left_semi"), "hot-rows").withColumn(row, place).join(few, on)
+        right = materialize(small.join(keys, on, "left_semi"), "hot-rows").withColumn(row, place).join(few, on)
+        dealt = lambda n: F.pmod(F.col(row), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = [row, pieces, other_pieces]
+        left = left.withColumn(piece, dealt(pieces)).withColumn(other_piece, every(other_pieces)).drop(*own)
+        right = right.withColumn(other_piece, dealt(other_pieces)).withColumn(piece, every(pieces)).drop(*own)
+        hot_joined = left.join(right, [*on, piece, other_piece], how).drop(piece, other_piece)
+        joined = cool.union(hot_joined)
     if how == "left":
         missing = [F.lit(None).cast(field.dataType).alias(field.name) for field in small.schema.fields if field.name not in on]
-        rest = [F.col(f"`{name}`") for name in large.columns if name not in on]
-        joined = joined.unionByName(large.where(~given).select(*on, *rest, *missing))
+        rest = [named(name) for name in large.columns if name not in on]
+        joined = joined.union(large.where(~given).select(*map(named, on), *rest, *missing))
     return joined
 
 

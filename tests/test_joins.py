@@ -49,6 +49,21 @@ def test_a_key_that_the_other_side_holds_often_is_spread(spark, alike):
     assert sum(sizes) == 11 * 40_000 + 440 and max(sizes) <= 2 * sum(sizes) / 4
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_columns_of_any_name_take_the_hot_way(spark, how):
+    """Both sides bring columns with the names that helpers could have."""
+    mine = ["_row", "pieces", "_piece", "rows", "_other", "a b", "a.b"]
+    others = ["other_pieces", "_other_piece", "_work", "hot"]
+    large = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 30).cast("long").alias("k"), *[(F.col("id") + i).alias(n) for i, n in enumerate(mine)])
+    small = spark.range(20).select(F.col("id").alias("k"), *[(F.col("id") * i).alias(n) for i, n in enumerate(others)])
+    got = skew_join(large, small, ["k"], how, limit=0)
+    assert got.columns == ["k", *mine, *others]
+    assert sorted(got.collect(), key=str) == sorted(large.join(small, "k", how).collect(), key=str)
+    renamed = large.withColumnRenamed("k", "rows2").withColumnRenamed("rows", "k").withColumnRenamed("rows2", "rows")
+    got = skew_join(renamed, small.withColumnRenamed("k", "rows"), ["rows"], how, limit=0)
+    assert sorted(got.collect(), key=str) == sorted(renamed.join(small.withColumnRenamed("k", "rows"), "rows", how).collect(), key=str)
+
+
 def test_equal_rows_of_a_hot_key_part(spark):
     large = spark.range(40_000).select(F.lit(7).cast("long").alias("k"), F.lit("same").alias("v"))
     small = spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("w"))
