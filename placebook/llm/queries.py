@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, html, jaccard, licenses, linededup, pii, quality, toxicity, warc
+from placebook.llm import bpe, decontam, html, jaccard, licenses, linededup, pii, quality, toxicity, vectorcodes, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), share.alias("largest_share"), names.alias("licenses"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    done = vectorcodes.with_label_errors(coded)
+    return done.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE = {
@@ -91,4 +98,5 @@ ORACLE = {
     "op4_line_dedup": linededup.ORACLE,
     "op6_benchmark_decontamination": decontam.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_vector_codes": vectorcodes.ORACLE,
 }
