@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, html, jaccard, licenses, linededup, pii, quality, toxicity, vectorcodes, warc
+from placebook.llm import bpe, decontam, html, jaccard, langid, licenses, linededup, pii, quality, toxicity, vectorcodes, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(codebooks)).alias("codebooks_sha256"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op12_language_id": op12_language_id,
 }
 
 ORACLE = {
