@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placebook.llm import bpe, decontam, html, jaccard, langid, licenses, linededup, pii, quality, toxicity, vectorcodes, warc
+from placebook.llm import bpe, decontam, html, jaccard, langid, licenses, linededup, periods, pii, quality, toxicity, vectorcodes, warc
 from placebook.llm.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +86,35 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def _with_planted_runs(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one row in ten repeat from some place on, as a number of their id says; those without an id never."""
+    number = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or number % 10 or not words:
+        return words
+    drawn, n = number // 10, len(words)
+    start = drawn % n
+    period = 1 + (n - start) // (3 + drawn % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), _with_planted_runs)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter")))
+    found = found.withColumn("best", F.array_max(ranked))
+    start, length, period = -F.col("best.before"), F.col("best.length"), -F.col("best.shorter")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_distribution_divergence": op2_distribution_divergence,
@@ -97,6 +128,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
     "op12_language_id": op12_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
