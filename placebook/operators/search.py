@@ -14,6 +14,11 @@ How this is done without comparing everything with everything, and without losin
 * A record that matches in both fields is found through the field in which the typed text is the less common one, and
   its other field is checked directly. So in the more common field only the best few are needed. Those of a text that
   has very many hits to expect are looked for with small misses first; it leaves once it has found enough.
+
+With a `distance` the place counts too. A trigram's shift is its first place in the field less that in the text. Only
+trigrams shifted by at most threshold * distance are shared, and the miss grows by the shift that most of them have (of
+equally many the smallest, never less than 0) divided by the distance. The index keeps the place of each trigram, so that
+those too far behind are left out before any text is looked at.
 """
 
 from __future__ import annotations
@@ -52,7 +57,7 @@ class SearchIndex:
     pairs: DataFrame  # nom, adresse, ids: each distinct pair of texts
     grams: DataFrame  # field, gram, texts, pairs: in how many texts and pairs each trigram occurs
     depth: int  # ids kept per text and pair, ascending
-    postings: DataFrame | None = None  # field, gram, text, ids, pairs: each text under each of its trigrams; saved indexes only
+    postings: DataFrame | None = None  # field, gram, pos, text, ids, pairs: each text under each of its trigrams; saved indexes only
 
     def save(self, path: str) -> SearchIndex:
         """Stores the index, its texts also under each of their trigrams: a search then reads only those it is about."""
@@ -71,20 +76,27 @@ def load_index(spark: SparkSession, path: str) -> SearchIndex:
 
 
 def spread_texts(texts: DataFrame) -> DataFrame:
-    """Each text under each of its trigrams."""
-    return texts.select("field", F.explode(trigrams("text")).alias("gram"), "text", "ids", "pairs")
+    """Each text under each of its trigrams, with the trigram's first place in it, from 1."""
+    spread = texts.select("field", F.explode(trigrams("text")).alias("gram"), "text", "ids", "pairs")
+    return spread.withColumn("pos", F.expr("locate(gram, text)"))
 
 
-def wanted_postings(rare: DataFrame, index: SearchIndex) -> DataFrame:
-    """The index's postings; of a saved index, if few trigrams are wanted, only theirs, by filters that reach the scan."""
+def wanted_postings(rare: DataFrame, index: SearchIndex, reach: int | None = None) -> DataFrame:
+    """The index's postings; of a saved index, if few trigrams are wanted, only theirs, by filters that reach the scan.
+    With a `reach` only trigrams at most so far behind a place that a typed text has them at.
+    """
     if index.postings is None:
         return spread_texts(index.texts)
-    wanted = rare.select("field", "gram").distinct().limit(PUSHED_GRAMS + 1)
-    wanted = wanted.agg(F.collect_list(F.struct("field", "gram"))).first()[0]
+    wanted = rare.groupBy("field", "gram").agg(F.max(F.expr("locate(gram, q)")).alias("last")).limit(PUSHED_GRAMS + 1)
+    wanted = wanted.agg(F.collect_list(F.struct("field", "gram", "last"))).first()[0]
     if len(wanted) > PUSHED_GRAMS:
         return index.postings
-    equal = lambda row: (F.col("field") == row["field"]) & (F.col("gram") == row["gram"])
-    return index.postings.where(reduce(or_, map(equal, wanted), F.lit(False)))
+
+    def asked(row) -> Column:
+        same = (F.col("field") == row["field"]) & (F.col("gram") == row["gram"])
+        return same if reach is None else same & (F.col("pos") <= row["last"] + reach)
+
+    return index.postings.where(reduce(or_, map(asked, wanted), F.lit(False)))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -142,9 +154,45 @@ def rare_grams(queries: DataFrame, grams: DataFrame, threshold: float, limit: in
     )
 
 
-def shared(grams: Column | str, text: Column | str) -> Column:
-    """How many of the trigrams a text contains."""
-    return F.size(F.filter(grams, lambda gram: F.contains(F.col(text), gram)))
+def shift(gram: Column, text: Column | str, q: Column | str = "q") -> Column:
+    """How much later the trigram is in the text than in the typed one."""
+    return F.call_function("locate", gram, F.col(text)) - F.call_function("locate", gram, F.col(q))
+
+
+def in_reach(gram: Column, text: Column | str, reach: int | None) -> Column:
+    """Whether a text shares a trigram."""
+    has = F.contains(F.col(text), gram)
+    return has if reach is None else has & (shift(gram, text) <= reach)
+
+
+def shared(grams: Column | str, text: Column | str, reach: int | None = None) -> Column:
+    """How many of the trigrams a text shares."""
+    return F.size(F.filter(grams, lambda gram: in_reach(gram, text, reach)))
+
+
+def late_by(grams: Column | str, text: Column | str, reach: int) -> Column:
+    """The shift that most of the shared trigrams have, of equally many the smallest; 0 for negative ones and for none."""
+    shifts = F.transform(F.filter(grams, lambda gram: in_reach(gram, text, reach)), lambda gram: shift(gram, text))
+    ranked = F.transform(F.array_distinct(shifts), lambda s: F.struct((-F.size(F.filter(shifts, lambda other: other == s))).alias("n"), s.alias("s")))
+    return F.greatest(F.coalesce(F.array_min(ranked)["s"], F.lit(0)), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What counts as a match: the largest miss, and over how many characters a shift becomes a whole miss, if it counts."""
+
+    threshold: float
+    distance: float | None = None
+
+    @property
+    def reach(self) -> int | None:
+        return None if self.distance is None else int(self.threshold * self.distance)
+
+    def miss(self, count: Column, grams: Column | str, text: Column | str) -> Column:
+        """The miss of a text that shares `count` of the trigrams."""
+        grams = F.col(grams) if isinstance(grams, str) else grams
+        plain = 1 - count / F.size(grams)
+        return plain if self.distance is None else plain + late_by(grams, text, self.reach) / F.lit(float(self.distance))
 
 
 def grams_of(rare: DataFrame) -> DataFrame:
@@ -157,14 +205,14 @@ def few_enough(rare: DataFrame, limit: int) -> bool:
     return fits_broadcast(rare.drop("grams"), limit) and fits_broadcast(grams_of(rare), limit)
 
 
-def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS) -> DataFrame:
+def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BROADCAST_ROWS, rule: Rule = Rule(THRESHOLD)) -> DataFrame:
     """Every field text that shares with a query text at least `need`, and less than `below` (if given), of its trigrams.
 
     Columns: q, field, text, ids, pairs, miss, and the columns `rare` has besides. If the rare trigrams fit a broadcast the
     texts are not shuffled at all.
     """
     on = ["field", "gram"]
-    postings = wanted_postings(rare, index)
+    postings = wanted_postings(rare, index, rule.reach)
     counts = index.grams.select(*on, F.col("texts").alias("rows"))
     rare = rare.drop("texts", "pairs")
     if fits:
@@ -174,18 +222,22 @@ def match_texts(rare: DataFrame, index: SearchIndex, fits: bool, limit: int = BR
         if fits_broadcast(needed, limit):
             postings = postings.join(F.broadcast(needed), on, "left_semi")
         met = skew_join(postings, rare, on, fits=False, counts=counts.join(needed, on, "left_semi"))
+    if rule.reach is not None:
+        met = met.where(F.col("pos") - F.expr("locate(gram, q)") <= rule.reach)
     rarer = F.slice("grams", F.lit(1), F.col("place"))
-    met_before = F.exists(rarer, lambda gram: F.contains(F.col("text"), gram))
+    met_before = F.exists(rarer, lambda gram: in_reach(gram, "text", rule.reach))
     # The explode keeps the count from being taken again in each of the conditions on it.
-    counted = met.where(~met_before).withColumn("_shared", F.explode(F.array(shared("grams", "text"))))
+    counted = met.where(~met_before).withColumn("_shared", F.explode(F.array(shared("grams", "text", rule.reach))))
     checked = counted.where(F.col("_shared") >= F.col("need"))
     if "below" in rare.columns:
         checked = checked.where(F.col("_shared") < F.col("below"))
-    miss = 1 - F.col("_shared") / F.size("grams")
-    return checked.withColumn("miss", miss).drop("_shared", "gram", "grams", "place", "need", "below")
+    checked = checked.withColumn("miss", F.explode(F.array(rule.miss(F.col("_shared"), "grams", "text"))))
+    if rule.distance is not None:
+        checked = checked.where(F.col("miss") <= rule.threshold)
+    return checked.drop("_shared", "gram", "pos", "grams", "place", "need", "below")
 
 
-def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fits: bool, limit: int, rounds: tuple[float, ...]) -> DataFrame:
+def find_hits(rare: DataFrame, index: SearchIndex, k: int, rule: Rule, fits: bool, limit: int, rounds: tuple[float, ...]) -> DataFrame:
     """Hits (q, field, text, ids, pairs, miss, whole, costly): where `whole` all hits of the query text in the field, else
     at least those that make the best `k` records. Of a costly text only the field where its rarest trigrams are the less
     common is whole, of others both are.
@@ -196,16 +248,17 @@ def find_hits(rare: DataFrame, index: SearchIndex, k: int, threshold: float, fit
     # Where only one field has any of the trigrams, nothing matches twice and the best are enough.
     whole = ~F.col("costly") | ((F.col("field") == F.col("_field")) & (F.col("_n") == len(WEIGHTS)))
     routed = materialize(routed.withColumn("whole", whole).drop("_field", "_n", "_most"), "routed")
-    n, hits, misses = F.size("grams"), None, [*rounds, threshold]
-    if routed.where(~F.col("whole")).limit(1).count() == 0:
-        misses = [threshold]
+    n, hits, misses = F.size("grams"), None, [*rounds, rule.threshold]
+    # Shares tell nothing of the order where the place counts too.
+    if rule.distance is not None or routed.where(~F.col("whole")).limit(1).count() == 0:
+        misses = [rule.threshold]
     for earlier, miss in zip([None, *misses], misses):
         need = F.when(F.col("whole"), F.col("need")).otherwise(least_overlap(n, miss))
         below = n + 1 if earlier is None else least_overlap(n, earlier)
         wanted = routed.withColumns({"need": need, "below": below}).where(F.col("place") <= n - F.col("need"))
-        found = materialize(match_texts(wanted, index, fits, limit), "hits")
+        found = materialize(match_texts(wanted, index, fits, limit, rule), "hits")
         hits = found if hits is None else hits.unionByName(found)
-        if miss == threshold:
+        if miss == rule.threshold:
             return hits
         enough = hits.where(~F.col("whole")).groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= k)
         routed = routed.where(~F.col("whole")).join(enough, "q", "left_anti")
@@ -224,15 +277,16 @@ def _weighed(field: Column | str, miss: Column | str, weights: Mapping[str, floa
     return weight * F.ln(F.greatest(F.col(miss), F.lit(LEAST_MISS)))
 
 
-def _matched_twice(hits: DataFrame, pairs: DataFrame, threshold: float, weights: Mapping[str, float], fits: bool) -> DataFrame:
+def _matched_twice(hits: DataFrame, pairs: DataFrame, rule: Rule, weights: Mapping[str, float], fits: bool) -> DataFrame:
     """Pairs whose other text matches too: q, ids, score."""
     both = []
     for name, other in (WEIGHTS, reversed(WEIGHTS)):
         own = hits.where(F.col("field") == name).select("q", F.col("text").alias(name), "score", trigrams("q").alias("_grams"))
         met = skew_join(pairs, own, [name], fits=fits)
-        counted = met.withColumn("_shared", F.explode(F.array(shared("_grams", other)))).where(F.col("_shared") > 0)
-        missed = counted.withColumns({"_other": F.lit(other), "_miss": 1 - F.col("_shared") / F.size("_grams")})
-        checked = missed.where(F.col("_miss") <= threshold)
+        counted = met.withColumn("_shared", F.explode(F.array(shared("_grams", other, rule.reach)))).where(F.col("_shared") > 0)
+        near = counted.where(1 - F.col("_shared") / F.size("_grams") <= rule.threshold)
+        missed = near.withColumns({"_other": F.lit(other), "_miss": F.explode(F.array(rule.miss(F.col("_shared"), "_grams", other)))})
+        checked = missed.where(F.col("_miss") <= rule.threshold)
         both.append(checked.select("q", "ids", (F.col("score") + _weighed("_other", "_miss", weights)).alias("score")))
     return both[0].unionByName(both[1])
 
@@ -257,11 +311,14 @@ def fuzzy_search(
     weights: Mapping[str, float] = WEIGHTS,
     limit: int = BROADCAST_ROWS,
     rounds: tuple[float, ...] = ROUNDS,
+    distance: float | None = None,
 ) -> DataFrame:
     """The best `k` records for each query (qid, text): qid, rank, id, score. Queries under 3 characters find nothing.
 
+    With a `distance` matches near the start of a field are preferred, and those too far behind are none.
     `limit` (rows to broadcast) and `rounds` (misses to try first for costly texts) do not change the result.
     """
+    rule = Rule(threshold, distance)
     index = records if isinstance(records, SearchIndex) else build_index(records, k)
     if k > index.depth:
         raise ValueError(f"the index keeps {index.depth} ids per text, too few for the best {k}")
@@ -269,9 +326,9 @@ def fuzzy_search(
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = few_enough(rare, limit)
     rounds = tuple(miss for miss in rounds if miss < threshold)
-    hits = find_hits(rare, index, k, threshold, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
+    hits = find_hits(rare, index, k, rule, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
     narrow = materialize(_worth_checking(hits, few_queries).select("q", "field", "text", "score"), "narrow")
-    both = _matched_twice(narrow, index.pairs, threshold, weights, fits_broadcast(narrow, limit))
+    both = _matched_twice(narrow, index.pairs, rule, weights, fits_broadcast(narrow, limit))
     best = _best(hits.select("q", "ids", "score").unionByName(both), k)
     ranked = materialize(best.groupBy("q").agg(F.collect_list(F.struct("rank", "id", "score")).alias("found")), "ranked")
     return skew_join(typed, ranked, ["q"], limit=limit).select("qid", F.inline("found"))

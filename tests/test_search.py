@@ -31,7 +31,14 @@ def grams(text):
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def brute_force(queries, records, k=5, threshold=THRESHOLD, weights=WEIGHTS):
+def late_by(wanted, text, q, reach):
+    """Trigrams within reach, and the shift that most of them have, by hand."""
+    near = [g for g in wanted if g in text and text.index(g) - q.index(g) <= reach]
+    shifts = [text.index(g) - q.index(g) for g in near]
+    return len(near), max(0, min(shifts, key=lambda s: (-shifts.count(s), s), default=0))
+
+
+def brute_force(queries, records, k=5, threshold=THRESHOLD, weights=WEIGHTS, distance=None):
     found = []
     for qid, typed in queries:
         wanted = grams(plain(typed))
@@ -39,7 +46,11 @@ def brute_force(queries, records, k=5, threshold=THRESHOLD, weights=WEIGHTS):
             continue
         scored = []
         for id_, *fields in records:
-            misses = [(1 - len(wanted & grams(plain(text))) / len(wanted), weight) for text, weight in zip(fields, weights.values())]
+            if distance is None:
+                misses = [(1 - len(wanted & grams(plain(text))) / len(wanted), weight) for text, weight in zip(fields, weights.values())]
+            else:
+                found_at = [late_by(wanted, plain(text), plain(typed), int(threshold * distance)) for text in fields]
+                misses = [(1 - n / len(wanted) + late / distance if n else 1, weight) for (n, late), weight in zip(found_at, weights.values())]
             matching = [(miss, weight) for miss, weight in misses if miss <= threshold and miss < 1]
             if matching:
                 scored.append((round(math.exp(sum(weight * math.log(max(miss, 0.001)) for miss, weight in matching)), 6), id_))
@@ -71,6 +82,33 @@ def tables(spark, seed, n_records=300, n_queries=60, words=8):
     )
 
 
+@pytest.mark.parametrize("seed,limit,distance", [(11, 500_000, 100.0), (12, 0, 30.0)])
+def test_places_equal_brute_force(spark, monkeypatch, seed, limit, distance):
+    monkeypatch.setattr(search, "COSTLY_FROM", 20)
+    queries, records, queries_df, records_df = tables(spark, seed, n_records=250, n_queries=40)
+    records += [(2000 + i, "rue de la gare " * (i % 4) + "mairie de paris" + " école" * (i % 3), "paris") for i in range(12)]
+    records_df = spark.createDataFrame(records, "id long, nom string, adresse string")
+    expected = brute_force(queries, records, distance=distance)
+    assert expected != brute_force(queries, records)
+    got = sorted(tuple(row) for row in fuzzy_search(queries_df, records_df, limit=limit, distance=distance).collect())
+    assert got == expected
+    saved = build_index(records_df).save(new_folder(spark, "index"))
+    assert sorted(tuple(row) for row in fuzzy_search(queries_df, saved, limit=limit, distance=distance).collect()) == expected
+    few = [query for query in queries if query[0] < 2]
+    few_df = spark.createDataFrame(few, "qid long, text string")
+    assert sorted(tuple(row) for row in fuzzy_search(few_df, saved, limit=limit, distance=distance).collect()) == brute_force(few, records, distance=distance)
+
+
+def test_a_scan_reads_trigrams_near_the_start_only(spark, plan_of):
+    records = spark.createDataFrame([(1, "abcdef", "x"), (2, "z" * 60 + "abcdef", "x")], "id long, nom string, adresse string")
+    saved = build_index(records).save(new_folder(spark, "index"))
+    rare = rare_grams(spark.createDataFrame([("abcdef",)], "q string"), saved.grams, THRESHOLD)
+    assert "LessThanOrEqual(pos" in plan_of(wanted_postings(rare, saved, 35))
+    queries = spark.createDataFrame([(1, "abcdef")], "qid long, text string")
+    assert [row.id for row in fuzzy_search(queries, saved, distance=100.0).collect()] == [1]
+    assert [row.id for row in fuzzy_search(queries, saved).collect()] == [1, 2]
+
+
 @pytest.mark.parametrize("seed,limit,rounds", [(1, 500_000, ()), (2, 500_000, (0.1, 0.2)), (3, 0, ()), (4, 0, (0.0, 0.15, 0.3, 0.5))])
 def test_equals_brute_force(spark, monkeypatch, seed, limit, rounds):
     monkeypatch.setattr(search, "COSTLY_FROM", 20 if rounds else 1_000_000)
@@ -140,8 +178,8 @@ def test_rounds_check_fewer_texts(spark, monkeypatch):
     typed = records.select("id", F.col("nom").alias("q")).limit(30)
     index = build_index(records)
     rare = materialize(rare_grams(typed, index.grams, THRESHOLD), "test-rare")
-    once = find_hits(rare, index, 5, THRESHOLD, True, 1000, ()).select("q", "field", "text").collect()
-    rounds = find_hits(rare, index, 5, THRESHOLD, True, 1000, (0.0, 0.1)).select("q", "field", "text").collect()
+    once = find_hits(rare, index, 5, search.Rule(THRESHOLD), True, 1000, ()).select("q", "field", "text").collect()
+    rounds = find_hits(rare, index, 5, search.Rule(THRESHOLD), True, 1000, (0.0, 0.1)).select("q", "field", "text").collect()
     assert len(set(rounds)) == len(rounds) <= len(once)
     assert set(rounds) <= set(once)
 
