@@ -272,9 +272,11 @@ def _worth_checking(hits: DataFrame, fits: bool) -> DataFrame:
     return lookup(hits.where("whole"), chosen.select("q", "field"), ["q", "field"], "left_semi", fits=fits)
 
 
-def _weighed(field: Column | str, miss: Column | str, weights: Mapping[str, float]) -> Column:
-    weight = reduce(lambda other, name: other.when(F.col(field) == name, F.lit(float(weights[name]))), WEIGHTS, F)
-    return weight * F.ln(F.greatest(F.col(miss), F.lit(LEAST_MISS)))
+def weighed(field: Column | str, miss: Column | str, weights: Mapping[str, float]) -> Column:
+    """The logarithm of a field's part of the score."""
+    field, miss = (F.col(c) if isinstance(c, str) else c for c in (field, miss))
+    weight = reduce(lambda other, name: other.when(field == name, F.lit(float(weights[name]))), WEIGHTS, F)
+    return weight * F.ln(F.greatest(miss, F.lit(LEAST_MISS)))
 
 
 def _matched_twice(hits: DataFrame, pairs: DataFrame, rule: Rule, weights: Mapping[str, float], fits: bool) -> DataFrame:
@@ -287,11 +289,11 @@ def _matched_twice(hits: DataFrame, pairs: DataFrame, rule: Rule, weights: Mappi
         near = counted.where(1 - F.col("_shared") / F.size("_grams") <= rule.threshold)
         missed = near.withColumns({"_other": F.lit(other), "_miss": F.explode(F.array(rule.miss(F.col("_shared"), "_grams", other)))})
         checked = missed.where(F.col("_miss") <= rule.threshold)
-        both.append(checked.select("q", "ids", (F.col("score") + _weighed("_other", "_miss", weights)).alias("score")))
+        both.append(checked.select("q", "ids", (F.col("score") + weighed("_other", "_miss", weights)).alias("score")))
     return both[0].unionByName(both[1])
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
+def best_records(found: DataFrame, k: int) -> DataFrame:
     """The best `k` records of each query text from (q, ids, score).
 
     A record can come up three times: by its name, by its address and by both. The lowest score is the true one. So the
@@ -326,9 +328,9 @@ def fuzzy_search(
     rare = materialize(rare_grams(typed, index.grams, threshold, limit), "rare")
     few_queries = few_enough(rare, limit)
     rounds = tuple(miss for miss in rounds if miss < threshold)
-    hits = find_hits(rare, index, k, rule, few_queries, limit, rounds).withColumn("score", _weighed("field", "miss", weights))
+    hits = find_hits(rare, index, k, rule, few_queries, limit, rounds).withColumn("score", weighed("field", "miss", weights))
     narrow = materialize(_worth_checking(hits, few_queries).select("q", "field", "text", "score"), "narrow")
     both = _matched_twice(narrow, index.pairs, rule, weights, fits_broadcast(narrow, limit))
-    best = _best(hits.select("q", "ids", "score").unionByName(both), k)
+    best = best_records(hits.select("q", "ids", "score").unionByName(both), k)
     ranked = materialize(best.groupBy("q").agg(F.collect_list(F.struct("rank", "id", "score")).alias("found")), "ranked")
     return skew_join(typed, ranked, ["q"], limit=limit).select("qid", F.inline("found"))

@@ -111,6 +111,50 @@ ranked as (select *, row_number() over (partition by q order by score, id) as ra
 found as (select qid, cast(rank as integer) as rank, id, score from asked_for join ranked using (q) where rank <= 5)"""
 
 
+def search_by_place(queries: str, records: str, distance: int) -> str:
+    """Trigrams are shared if they stand at most 0.35 * distance later in the field; the miss grows by the shift of most."""
+    return f"""{WITH}, asked_for as (
+  select qid, {n2("text")} as q from {queries} where length(trim(text)) >= 3),
+q_grams as (select q, gram, instr(q, gram) as at from (select q, unnest({grams("q")}) as gram from (select distinct q from asked_for))),
+q_size as (select q, count(*) as size from q_grams group by q),
+fields as (select id, 0.7 as weight, {n2("nom")} as text from {records} union all select id, 0.3 as weight, {n2("adresse")} as text from {records}),
+f_grams as (select id, weight, gram, instr(text, gram) as at from (select *, unnest({grams("text")}) as gram from fields)),
+shifts as (
+  select q, id, weight, f.at - q_grams.at as shift, count(*) as n from q_grams join f_grams f using (gram)
+  where f.at - q_grams.at <= floor(0.35 * {distance}) group by all),
+misses as (
+  select q, id, weight, 1 - sum(n) / cast(any_value(size) as double) + greatest(arg_min(shift, {{'n': -n, 's': shift}}), 0) / cast({distance} as double) as miss
+  from shifts join q_size using (q) group by q, id, weight),
+scores as (
+  select q, id, round(exp(sum(cast(weight as double) * ln(greatest(miss, 0.001)) order by weight desc)), 6) as score
+  from misses where miss <= 0.35 group by q, id),
+ranked as (select *, row_number() over (partition by q order by score, id) as rank from scores),
+found as (select qid, cast(rank as integer) as rank, id, score from asked_for join ranked using (q) where rank <= 5)"""
+
+
+def words(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def search_misspelled(queries: str, records: str) -> str:
+    """Edit distances of all typed texts to all pieces of up to three words."""
+    return rf"""{WITH}, asked_for as (
+  select * from (select qid, {words(n2("text"))} as q from {queries} where length(trim(text)) >= 3) where length(q) between 3 and 12),
+fields as (select id, 0.7 as weight, {n2("nom")} as text from {records} union all select id, 0.3 as weight, {n2("adresse")} as text from {records}),
+cut as (select id, weight, string_split({words("text")}, ' ') as w from fields where length(text) >= 3),
+pieces as (
+  select distinct id, weight, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])),
+    list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))))) as piece from cut),
+near as (
+  select q, piece, levenshtein(piece, q) as edits from (select distinct q from asked_for), (select distinct piece from pieces)
+  where length(piece) >= 2 and levenshtein(piece, q) <= case when length(q) < 6 then 1 else 2 end),
+misses as (select q, id, weight, min(edits) / cast(length(q) as double) as miss from near join pieces using (piece) group by q, id, weight),
+scores as (select q, id, round(exp(sum(cast(weight as double) * ln(greatest(miss, 0.001)) order by weight desc)), 6) as score from misses group by q, id),
+ranked as (select *, row_number() over (partition by q order by score, id) as rank from scores),
+spelled as (select qid, cast(rank as integer) as rank, id, score from asked_for join ranked using (q) where rank <= 5)"""
+
+
 DEBOUNCED = """select user_id, ts, event_type from
   (select *, lead(ts) over (partition by user_id order by ts, event_id) as following from events)
 where (following is null or following - ts >= interval 2 hours) and length(trim(event_type)) >= 3"""
@@ -198,6 +242,9 @@ select * from typed where length(trim(text)) >= 3""",
     "fuzzy_search_two_fields": f"{search('asked', 'streets')} select * from found",
     "fuzzy_search_saved_index": f"{search('typed', 'products')} select * from found",
     "fuzzy_search_shuffled": f"{search('typed', 'products')} select * from found",
+    "fuzzy_search_by_place": f"{search_by_place('asked', 'streets', 40)} select * from found",
+    "misspelled_search": f"{search_misspelled('misspelled', 'products')} select * from spelled",
+    "misspelled_search_two_fields": f"{search_misspelled('asked', 'streets')} select * from spelled",
     "choose_and_write_repeated": f"""{search('typed', 'products')},
 best as (select *, row_number() over (partition by qid // 2 order by score, id) as place from found where rank = 1)
 select t.id, case when f.id is null then '' else cast(p.id as varchar) end as "SIRET",

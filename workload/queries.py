@@ -14,6 +14,7 @@ from placebook.operators.geocode import geocode_candidates, geocode_table
 from placebook.operators.ids import assign_ids
 from placebook.operators.latest import first_match, last_per_id
 from placebook.operators.search import build_index, fuzzy_search, load_index
+from placebook.operators.spelling import build_spelling, load_spelling, misspelled_search
 from placebook.operators.update import update_by_id
 from placebook.plans.mapview import map_points, markers
 from placebook.plans.picker import search_table, write_best
@@ -230,11 +231,30 @@ def fuzzy_search_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_search(view(spark, sf_dir, "typed"), load_index(spark, folder))
 
 
+def fuzzy_search_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved index; matches near the start of a field are preferred."""
+    folder = new_folder(spark, "saved-index")
+    build_index(view(spark, sf_dir, "streets")).save(folder)
+    return fuzzy_search(view(spark, sf_dir, "asked"), load_index(spark, folder), distance=40.0)
+
+
 def fuzzy_search_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way that a search takes where nothing can be broadcast."""
     return fuzzy_search(view(spark, sf_dir, "typed"), view(spark, sf_dir, "products"), limit=0)
 
 
+def misspelled_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts with mistakes, through a saved index."""
+    folder = new_folder(spark, "saved-spelling")
+    build_spelling(build_index(view(spark, sf_dir, "products"))).save(folder)
+    return misspelled_search(view(spark, sf_dir, "misspelled"), load_spelling(spark, folder))
+
+
+def misspelled_search_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts that match names and addresses, the way that a search takes where nothing can be broadcast."""
+    return misspelled_search(view(spark, sf_dir, "asked"), build_spelling(build_index(view(spark, sf_dir, "streets"))), limit=0)
+
+
 def choose_and_write_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two texts are typed for each row; the better result is written."""
     typed = view(spark, sf_dir, "typed").withColumn("qid", F.expr("qid div 2"))
@@ -414,7 +434,10 @@ QUERIES = {
     "fuzzy_search_topk": fuzzy_search_topk,
     "fuzzy_search_two_fields": fuzzy_search_two_fields,
     "fuzzy_search_saved_index": fuzzy_search_saved_index,
+    "fuzzy_search_by_place": fuzzy_search_by_place,
     "fuzzy_search_shuffled": fuzzy_search_shuffled,
+    "misspelled_search": misspelled_search_query,
+    "misspelled_search_two_fields": misspelled_search_two_fields,
     "choose_and_write": choose_and_write,
     "choose_and_write_repeated": choose_and_write_repeated,
     "geocode_join": geocode_join,

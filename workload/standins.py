@@ -69,6 +69,14 @@ VIEWS = {
                     when 2 then concat(p_brand, ' ', p_type) when 3 then substr(p_name, 1, 2)
                     when 4 then concat('  ', replace(p_name, 'll', 'l')) else concat(p_name, 's') end as text
         from {part}""",
+    # Short texts with a letter missing, added, replaced or swapped.
+    "misspelled": """
+        select p_partkey as qid,
+               case p_partkey % 7 when 0 then concat(substr(word, 2, 1), substr(word, 1, 1), substr(word, 3))
+                    when 1 then concat(substr(word, 1, 2), substr(word, 4)) when 2 then concat(' É', word)
+                    when 3 then concat(substr(word, 1, 2), 'x', substr(word, 4)) when 4 then upper(concat(word, 's'))
+                    when 5 then concat(substr(p_name, 1, 3), 'z', substr(p_name, 5, 8)) else word end as text
+        from (select *, split_part(p_name, ' ', cast(1 + p_partkey % 2 as int)) as word from {part})""",
     # Towns and streets that share words, searched by texts that match both.
     "streets": """
         select c_custkey as id, concat('Forêt-', n_name) as nom, concat(cast(c_custkey % 200 as string), ' RUE Allée ', n_name) as adresse
