@@ -14,6 +14,7 @@ one of its values, so only windows around those are hashed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -65,10 +66,13 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(re.sub("[A-Z]+", lambda found: found[0].lower(), text or ""))
 
 
-def shingles(words: list[str], size: int) -> np.ndarray:
-    """The hashes of all runs of `size` words, in order."""
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    found = np.zeros(max(0, len(words) - size + 1), np.uint64)
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of `size` words, in order, from the hashes of the words."""
+    found = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
     for k in range(size if len(found) else 0):
         found = mix(found * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(found)])
     return found
@@ -79,7 +83,7 @@ SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779
 
 def signature(found: np.ndarray) -> np.ndarray:
     """For each seed the smallest of the shingles' hashes."""
-    return np.array([mix(found ^ seed).min() for seed in SEEDS])
+    return mix(found[None, :] ^ SEEDS[:, None]).min(axis=1)
 
 
 class Matcher:
@@ -89,46 +93,55 @@ class Matcher:
         self.least = least
         self.templates = []  # (license, shingle size, words, sorted distinct shingles)
         self.bands: dict[tuple, list[int]] = {}
-        self.marks: dict[int, set[int]] = {}  # by shingle size, the shingles that give a template one of its values
+        # By shingle size, the shingles that give a template one of its values, each with the lengths of those templates.
+        self.marks: dict[int, dict[int, set[int]]] = {}
         for license, text in templates:
             words = words_of(text)
             if not words:
                 continue
             size = min(SIZE, len(words))
-            own = np.unique(shingles(words, size))
+            own = np.unique(shingles(word_hashes(words), size))
             number = len(self.templates)
             self.templates.append((license, size, len(words), own))
             values = signature(own)
             for band in range(BANDS):
                 self.bands.setdefault((len(words), band, *values[band * ROWS : band * ROWS + ROWS].tolist()), []).append(number)
-            places = {int(np.argmin(mix(own ^ seed))) for seed in SEEDS}
-            self.marks.setdefault(size, set()).update(own[list(places)].tolist())
+            marks = self.marks.setdefault(size, {})
+            for place in {int(np.argmin(mix(own ^ seed))) for seed in SEEDS}:
+                marks.setdefault(int(own[place]), set()).add(len(words))
         self.sorted_marks = {size: np.array(sorted(found), np.uint64) for size, found in self.marks.items()}
-        self.lengths = sorted({(size, n) for _, size, n, _ in self.templates})
 
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Matches as (license, share of its shingles, first and last word from 1), by place; of matches of one license
         that overlap the one with the largest share is given, the longest of equals, the first of those.
         """
-        words = words_of(text)
+        hashes = word_hashes(words_of(text))
         found: list[tuple[str, float, int, int]] = []
         for size, marks in self.sorted_marks.items():
-            own = shingles(words, size)
-            marked = np.flatnonzero(np.isin(own, marks)) if len(own) else own
-            if len(marked):
-                for length in (n for of_size, n in self.lengths if of_size == size):
-                    found += self._windows(own, marked, size, length)
+            own = shingles(hashes, size)
+            marked = np.flatnonzero(np.isin(own, marks)).tolist() if len(own) else []
+            places: dict[int, list[int]] = {}
+            for i in marked:
+                for length in self.marks[size][int(own[i])]:
+                    places.setdefault(length, []).append(i)
+            for length, near in sorted(places.items()):
+                found += self._windows(own, near, size, length)
         kept: list[tuple[str, float, int, int]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}  # by license the places of kept matches, in order; none overlap
         for match in sorted(set(found), key=lambda m: (-m[1], m[2] - m[3], m[2], m[0])):
-            if not any(match[0] == other[0] and match[2] <= other[3] and other[2] <= match[3] for other in kept):
+            places = taken.setdefault(match[0], [])
+            at = bisect_left(places, match[2:])
+            if (at == 0 or places[at - 1][1] < match[2]) and (at == len(places) or match[3] < places[at][0]):
+                places.insert(at, match[2:])
                 kept.append(match)
         return sorted(kept, key=lambda m: (m[2], m[0], m[3]))
 
-    def _windows(self, own: np.ndarray, marked: np.ndarray, size: int, length: int) -> list[tuple[str, float, int, int]]:
+    def _windows(self, own: np.ndarray, marked: list[int], size: int, length: int) -> list[tuple[str, float, int, int]]:
+        """Matches of the templates of a length in the windows around the shingles that give one of them a value."""
         count = length - size + 1
         step = max(1, count // 4)
         reach = count + count // 4 - 1  # a window's shingles less one; below four shingles it fits exactly
-        starts = {k * step for i in marked.tolist() for k in range(max(0, -(-(i - reach) // step)), i // step + 1)}
+        starts = {k * step for i in marked for k in range(max(0, -(-(i - reach) // step)), i // step + 1)}
         found = []
         for start in sorted(starts):
             window = own[start : start + reach + 1]
