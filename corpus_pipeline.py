@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from placebook.llm import bpe, decontam, jaccard, linededup, quality
 from placebook.llm.queries import VOCABULARY
 from placebook.llm.tables import table
+from placebook.operators.joins import named, own_name
 from placebook.session import materialize
 
 
@@ -19,14 +20,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document with a smaller id has too; n_chars follows the text."""
-    columns = docs.columns
-    done = linededup.dedup_lines(docs).select(*columns)
-    return done.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else done
+    """The documents without the lines that a document with a smaller id has too; n_chars follows the text. A document that
+    loses lines and has no word left, as a whole copy has, goes.
+    """
+    whole = own_name("whole")
+    done = linededup.dedup_lines(docs.select("doc_id", "text", F.struct(*map(named, docs.columns)).alias(whole)))
+    done = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return done.select(*[new.get(name, F.col(whole)[name]).alias(name) for name in docs.columns])
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest id."""
+    """One document of each group of similar ones: that with the smallest id. By now near copies have lost the lines that
+    they share with an earlier document, so what is found here are those that differ in each line, and those without any
+    line in common that is long enough.
+    """
     return jaccard.keep_one_of_each_group(docs)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from placebook.llm.graphs import components
 from placebook.llm.shingles import mix, shingle_sets, slices
 from placebook.llm.tables import LAST_ID, id_or_last
-from placebook.operators.joins import lookup, shuffle_partitions, skew_join
+from placebook.operators.joins import lookup, own_name, shuffle_partitions, skew_join
 from placebook.session import materialize
 
 # Two sets are linked if their intersection has at least this share, in hundredths, of their union.
@@ -391,6 +391,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     were. Rows with the same id and text stay or go together; rows without an id stay unless linked to one with an id.
     """
     groups = similar_groups(docs.select("doc_id", "text"))
-    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_or_last().alias("_doc"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_doc", id_or_last()).withColumn("_mark", F.xxhash64("text"))
-    return lookup(marked, materialize(staying, "staying"), ["_doc", "_mark"], "left_semi").drop("_doc", "_mark")
+    doc, mark = own_name("doc"), own_name("mark")
+    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_or_last().alias(doc), F.col("mark").alias(mark)).distinct()
+    marked = docs.withColumn(doc, id_or_last()).withColumn(mark, F.xxhash64("text"))
+    return lookup(marked, materialize(staying, "staying"), [doc, mark], "left_semi").drop(doc, mark)

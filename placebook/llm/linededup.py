@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placebook.llm.tables import ascii_lower, id_or_last
-from placebook.operators.joins import shuffle_partitions, skew_join
+from placebook.operators.joins import own_name, shuffle_partitions, skew_join
 from placebook.session import materialize, new_folder
 
 # Keys of fewer characters are never dropped.
@@ -104,32 +104,35 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least LEAST_KEY characters
     that are found in two documents or more lose all their lines but those in the document with the smallest id. Rows
     with the same id count as one document; rows without an id count as one, which comes last. A null or empty text is
-    one empty line, which stays, and comes back as an empty text. Repeated rows stay repeated.
+    one empty line, which stays, and comes back as an empty text. Repeated rows stay repeated. What a row loses is kept by
+    its id and text, so rows of one id with different texts are worked on apart.
     """
     spark = docs.sparkSession
     keys = F.filter(F.transform(lines_of(F.col("text")), key_of), lambda key: F.char_length(key) >= LEAST_KEY)
     hashes = F.array_distinct(F.transform(keys, lambda key: F.unhex(F.md5(key))))
-    lines = docs.select(id_or_last().alias("doc"), F.explode(hashes).alias("hash"))
+    mark = F.xxhash64("text")
+    lines = docs.select(id_or_last().alias("doc"), mark.alias("mark"), F.explode(hashes).alias("hash"))
     edges = docs.select(id_or_last().alias("doc")).agg(F.percentile_approx("doc", [(i + 1) / batches for i in range(batches - 1)], 10_000)).first()[0]
     batch = reduce(lambda found, edge: found + (F.col("doc") > edge).cast("int"), edges or [], F.lit(0))
     lines = materialize(lines.withColumn("batch", batch), "lines")
 
-    runs = LineRuns(spark, fanout)
-    losing = []
-    for i in range(batches):
-        losing.append(runs.add(lines.where(F.col("batch") == i).select("doc", "hash")).withColumn("batch", F.lit(i)))
-    runs.forget()
+    runs, losing = LineRuns(spark, fanout), []
+    try:
+        for i in range(batches):
+            losing.append(runs.add(lines.where(F.col("batch") == i).select("doc", "hash")).withColumn("batch", F.lit(i)))
+    finally:
+        runs.forget()
     drops = skew_join(lines, reduce(DataFrame.unionAll, losing), ["batch", "hash"])
     drops = drops.where(F.col("owner").isNull() | (F.col("doc") != F.col("owner")))
-    drops = drops.groupBy("doc").agg(F.collect_set("hash").alias("_drops"))
+    of_doc, of_mark, lost, kept = map(own_name, ("doc", "mark", "lost", "kept"))
+    drops = drops.groupBy(F.col("doc").alias(of_doc), F.col("mark").alias(of_mark)).agg(F.collect_set("hash").alias(lost))
 
-    texts = docs.withColumn("_doc", id_or_last()).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    texts = docs.withColumn(of_doc, id_or_last()).withColumn(of_mark, mark).join(drops, [of_doc, of_mark], "left").drop(of_doc, of_mark)
     all_lines = lines_of(F.col("text"))
-    staying = F.filter(all_lines, lambda line: ~F.coalesce(F.array_contains("_drops", hash_of(line)), F.lit(False)))
-    kept = F.when(F.col("_drops").isNull(), all_lines).otherwise(staying)
-    done = texts.withColumn("n_lines", F.size(all_lines).cast("long")).withColumn("_kept", kept)
-    done = done.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("text", F.array_join("_kept", "\n"))
-    return done.drop("_kept", "_drops")
+    staying = F.filter(all_lines, lambda line: ~F.coalesce(F.array_contains(lost, hash_of(line)), F.lit(False)))
+    done = texts.withColumn(kept, F.when(F.col(lost).isNull(), all_lines).otherwise(staying)).withColumn("n_lines", F.size(all_lines).cast("long"))
+    done = done.withColumn("n_dropped", F.col("n_lines") - F.size(kept)).withColumn("text", F.array_join(kept, "\n"))
+    return done.drop(kept, lost)
 
 
 ORACLE = r"""

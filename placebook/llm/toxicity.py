@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placebook.operators.joins import named
 from placebook.session import materialize
 
 # Labelled rows that are learned from: all, or if there are more, about so many, chosen by a hash of their ids.
@@ -157,8 +158,10 @@ class Scorer:
             trees = GBTClassifier(labelCol="toxic", featuresCol="_features", predictionCol="_predicted", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=1)
             self.trees = trees.fit(described.where("not kept")).setRawPredictionCol("_raw").setProbabilityCol("_probability")
             if kinds.get(True):
-                steps = IsotonicRegression(labelCol="toxic", featuresCol="_chance", predictionCol="_calibrated")
-                self.steps = steps.fit(self._chances(described.where("kept")))
+                # The trees give few different chances, so that rows of one chance are one, with their number as weight.
+                chances = self._chances(described.where("kept")).groupBy("toxic", "_chance").agg(F.count("*").cast("double").alias("_rows"))
+                steps = IsotonicRegression(labelCol="toxic", featuresCol="_chance", predictionCol="_calibrated", weightCol="_rows")
+                self.steps = steps.fit(materialize(chances, "chances"))
 
     def _chances(self, described: DataFrame) -> DataFrame:
         found = self.trees.transform(described).withColumn("_chance", vector_to_array("_probability")[1])
@@ -172,13 +175,16 @@ class Scorer:
         """
         if self.trees is None:
             return docs.withColumn("score", F.lit(0.0))
-        numbers = _feature_column(self.spark, self.learned, F.col(f"`{text}`"), F.lit(2))
-        found = self._chances(docs.withColumn("_features", array_to_vector(numbers)))
-        if self.steps is None:
-            return found.withColumn("score", F.col("_chance")).drop("_chance")
-        found = self.steps.transform(found)
-        calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_calibrated")))
-        return found.withColumn("score", 0.999 * calibrated + 0.001 * F.col("_chance")).drop("_chance", "_calibrated")
+        numbers = _feature_column(self.spark, self.learned, named(text), F.lit(2))
+        # The caller's columns are packed, so that none of theirs has the name of one made here.
+        packed = docs.select(F.struct(*map(named, docs.columns)).alias("_all"), array_to_vector(numbers).alias("_features"))
+        found = self._chances(packed)
+        score = F.col("_chance")
+        if self.steps is not None:
+            found = self.steps.transform(found)
+            calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_calibrated")))
+            score = 0.999 * calibrated + 0.001 * F.col("_chance")
+        return found.select(*[F.col("_all")[name].alias(name) for name in docs.columns if name != "score"], score.alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
