@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -22,6 +23,16 @@ ASCII_SPELLING = {
     "‐": "-", "‑": "-", "–": "-", "—": "--", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "…": "...",
 }
 
+# Cyrillic and Greek lower-case letters with their ASCII spelling; capitals follow from them.
+SCRIPTS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "ѐ": "ie", "ё": "io", "ђ": "dj", "ѓ": "gj", "є": "ie",
+    "ѕ": "dz", "і": "i", "ї": "yi", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh", "ќ": "kj", "ѝ": "i", "ў": "u", "џ": "dzh", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n",
+    "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+
 # Spacing diacritics that the query normaliser drops besides the combining marks.
 SPACING_DIACRITICS = "^`¨¯´·¸"
 
@@ -64,10 +75,14 @@ def drop_accents(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def spelling() -> dict[str, str]:
-    """The ASCII spelling of Latin letters and common signs: from the table, else of the compatible characters, else the
-    letter that the character's name says is hooked, barred, turned or the like.
+    """The ASCII spelling of Latin, Cyrillic and Greek letters and common signs: from the tables, else of the compatible
+    characters, else the letter that the character's name says is hooked, barred, turned or the like. An accented Cyrillic
+    or Greek letter is spelled like its base.
     """
-    found = dict(ASCII_SPELLING)
+    found = {**ASCII_SPELLING, **SCRIPTS, **{char.upper(): ascii_.capitalize() for char, ascii_ in SCRIPTS.items() if char != "ς"}}
+    for char, base in zip(*accent_table()):
+        if base in found and not base.isascii():
+            found.setdefault(char, found[base])
     ranges = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0xFB00, 0xFB07)]
     for char in (chr(i) for codes in ranges for i in codes):
         parts = "".join(part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part))
@@ -80,19 +95,32 @@ def spelling() -> dict[str, str]:
 
 
 def spell_ascii(c: Column) -> Column:
-    """Latin text and its signs in ASCII; other scripts stay as they are."""
+    """Latin, Cyrillic and Greek text and common signs in ASCII; other scripts stay as they are."""
     accented, base = accent_table()
     singles = {char: base_char for char, base_char in zip(accented, base) if char not in spelling()}
     singles |= {char: ascii_ for char, ascii_ in spelling().items() if len(ascii_) == 1}
     longer = {char: ascii_ for char, ascii_ in spelling().items() if len(ascii_) != 1}
     marked = F.regexp_replace(F.translate(c, "".join(singles), "".join(singles.values())), r"\p{M}", "")
-    # Characters of several letters, and those of none, are rare: they are replaced only in texts that have any.
-    spelled = marked
-    for char, ascii_ in longer.items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(ascii_))
-    some = "[" + "".join(f"\\u{ord(char):04x}" for char in longer) + "]"
-    spelled = F.when(marked.rlike(some), spelled).otherwise(marked)
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(spelled)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(spell_units(marked, longer))
+
+
+def _code(char: str) -> str:
+    return f"\\x{{{ord(char):x}}}"
+
+
+def spell_units(c: Column, units: Mapping[str, str]) -> Column:
+    """A text with units of one or several characters replaced, in one pass: at each place the longest unit that begins
+    there, then from behind it. Nothing is replaced twice; texts without any unit are not cut up.
+    """
+    first = "".join(_code(char) for char in sorted({unit[0] for unit in units}))
+    by_length = sorted(units, key=lambda unit: (-len(unit), unit))
+    several = "|".join("".join(map(_code, unit)) for unit in by_length if len(unit) > 1)
+    pattern = f"(?s){several + '|' if several else ''}[^{first}]+|."
+    spelled = F.create_map(*[F.lit(part) for pair in units.items() for part in pair])
+    pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    # Long pieces are what stands between units.
+    piece = lambda p: F.when(F.char_length(p) > len(by_length[0]), p).otherwise(F.coalesce(F.try_element_at(spelled, p), p))
+    return F.when(c.rlike(f"[{first}]"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
 
 
 def normalize_index(c: Column | str) -> Column:

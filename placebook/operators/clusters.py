@@ -48,7 +48,7 @@ def cluster_points(
     flagged = flag_selected(points, selected, limit)
     grouped = sorted({zoom for zoom in zooms if zoom < SINGLE_FROM}, reverse=True)
     alone = sorted(set(zooms) - set(grouped))
-    layers = [_alone(flagged, alone)] if alone else []
+    layers = [points_alone(flagged, alone)] if alone else []
     steps = [grouped[:1]] + [grouped[i : i + ZOOMS_PER_STEP] for i in range(1, len(grouped), ZOOMS_PER_STEP)] if grouped else []
     cells = None
     for step in steps:
@@ -57,7 +57,7 @@ def cluster_points(
             layer = materialize(layer, "cells")
         layers.append(layer)
         cells, finer = layer.where(F.col("zoom") == step[-1]), step[-1]
-    return reduce(DataFrame.unionByName, [_finish(layer) for layer in layers])
+    return reduce(DataFrame.unionByName, [finish(layer) for layer in layers])
 
 
 def _sums(n: Column, lat: Column, lng: Column, low: list[Column], high: list[Column], id_: Column, selected: Column) -> list[Column]:
@@ -99,7 +99,7 @@ def _coarser(cells: DataFrame, finer: int, zooms: list[int]) -> DataFrame:
     return parents.groupBy(*KEYS, *places).agg(*sums).drop(*places)
 
 
-def _alone(points: DataFrame, zooms: list[int]) -> DataFrame:
+def points_alone(points: DataFrame, zooms: list[int]) -> DataFrame:
     """Each point is a cell of its own, named by its id."""
     return points.select(
         F.explode(F.array(*[F.lit(zoom) for zoom in zooms])).alias("zoom"),
@@ -114,7 +114,8 @@ def _alone(points: DataFrame, zooms: list[int]) -> DataFrame:
     )
 
 
-def _finish(cells: DataFrame) -> DataFrame:
+def finish(cells: DataFrame) -> DataFrame:
+    """Cells with sums as clusters."""
     return cells.withColumns(
         {
             "lat": F.col("sum_lat") / F.col("n"),

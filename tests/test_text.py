@@ -29,11 +29,20 @@ def test_index_form(spark):
         "a\x1cb\x85c": "a b c",
         "été": "ete",
         "東京 Tōkyō": "東京 tokyo",
+        "Щукин, ЁЖ объект Їжак": "shchukin, iozh ob'ekt yizhak",
+        "Αθήνα Ψυχή Ξένος ΩΣ": "athena psukhe xenos os",
     }
     got = values(spark, list(cases), t.normalize_index("t"))
     assert [g[0] for g in got] == list(cases.values())
 
 
+def test_units_are_spelled_longest_first_and_once(spark):
+    units = {"ab": "x", "abc": "y", "b": "ab", "é": "", "]": "[", "^": "é"}
+    cases = {None: None, "": "", "abcab": "yx", "bab": "abx", "cabbé\n]": "cxab\n[", "ccc": "ccc", "^é": "é", "a" * 3000 + "b": "a" * 2999 + "x"}
+    got = values(spark, list(cases), t.spell_units(F.col("t"), units))
+    assert [g[0] for g in got] == list(cases.values())
+
+
 def test_query_form(spark):
     cases = {
         None: "",

@@ -10,6 +10,18 @@ SPELLINGS = [
     ("‐", "-"), ("‑", "-"), ("–", "-"), ("—", "--"), ("‘", "''"), ("’", "''"), ("‚", ","), ("“", '"'), ("”", '"'), ("„", ",,"), ("…", "..."),
 ]
 
+# Letters of other scripts, capitals like their small letters: several ASCII letters, then one.
+SEVERAL = {"ё": "io", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "φ": "ph", "χ": "kh", "ψ": "ps"}
+ONE = ("абвгдеийклмнопрстуфыэзіαβγδεήικλμνοπρστυωξςζ", "abvgdeiiklmnoprstufyeziabgdeeiklmnoprstuoxsz")
+
+
+def other_scripts(text: str) -> str:
+    text = f"lower({text})"
+    for char, ascii_ in SEVERAL.items():
+        text = f"replace({text}, '{char}', '{ascii_}')"
+    return f"translate({text}, '{ONE[0]}', '{ONE[1]}')"
+
+
 WITH = "with " + ",\n".join(f"{name} as ({view_sql(name)})" for name in VIEWS)
 
 
@@ -77,9 +89,15 @@ select p.id,
 from {places} p left join needed n on p.id = n.id left join first f on f.address = n.used"""
 
 
-def clusters(zooms: str, selected: str) -> str:
+# Points that moved, went and came.
+MOVED = f"""{POINTS.replace(", points as (", ", before as (")}, points as (
+  select id, name, lng, case when id % 5 = 0 then lat / 2 else lat end as lat from before where id % 7 <> 0
+  union all select id + 1000000, name, lng / 2, lat from before where id % 11 = 0)"""
+
+
+def clusters(zooms: str, selected: str, points: str = POINTS) -> str:
     radians = "radians(greatest(least(lat, 85.0511), -85.0511))"
-    return f"""{POINTS}, zooms as (select unnest({zooms}) as zoom), pixels as (
+    return f"""{points}, zooms as (select unnest({zooms}) as zoom), pixels as (
   select cast(zoom as integer) as zoom, id, lat, lng, {selected} as selected,
     cast(floor(256 * pow(2.0, zoom) * (lng + 180) / 360 / 30) as bigint) as cx,
     cast(floor(256 * pow(2.0, zoom) * (0.5 - ln((1 + sin({radians})) / (1 - sin({radians}))) / (4 * pi())) / 30) as bigint) as cy
@@ -259,6 +277,7 @@ from typed t left join (select * from found where rank = 1) f on f.qid = t.qid l
     "selected_in_cluster": SELECTED_IN_CLUSTER,
     "selected_in_cluster_shuffled": SELECTED_IN_CLUSTER,
     "cluster_points": clusters("range(19)", "id = 7") + " select * from cells",
+    "cluster_changes": clusters("range(19)", "id % 1000000 = 7 or id % 10 = 0", MOVED) + " select * from cells",
     "bounds": f"""{POINTS}, box as (
   select min(lat) as min_lat, min(lng) as min_lng, max(lat) as max_lat, max(lng) as max_lng,
     256 * (max(lng) - min(lng)) / 360 as across,
@@ -272,6 +291,7 @@ select min_lat, min_lng, max_lat, max_lng, cast(least(greatest(floor(log2(least(
   (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rn from lineitem) where rn = 1""",
     "assign_ids": "select row_number() over (order by o_orderpriority, o_orderkey) - 1 as id, o_orderpriority, o_orderkey from orders",
     "normalize_index": f"select doc_id, {n1('text')} as text from documents",
+    "normalize_scripts": f"{WITH} select id, {n1(other_scripts('text'))} as text from scripts",
     "normalize_query": f"select doc_id, {n2('text')} as text from documents",
     "build_address": f"{WITH} select siret, {ADDRESS} as adresse from establishment",
     "pick_name": f"{WITH} select siret, {NAME} as nom, {TOWN} as commune from establishment",

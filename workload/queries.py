@@ -13,6 +13,7 @@ from placebook.operators.filters import filter_active, filter_prefix, filter_sho
 from placebook.operators.geocode import geocode_candidates, geocode_table
 from placebook.operators.ids import assign_ids
 from placebook.operators.latest import first_match, last_per_id
+from placebook.operators.pyramid import Pyramid
 from placebook.operators.search import build_index, fuzzy_search, load_index
 from placebook.operators.spelling import build_spelling, load_spelling, misspelled_search
 from placebook.operators.update import update_by_id
@@ -306,6 +307,19 @@ def cluster_points_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster_points(map_points(view(spark, sf_dir, "places")), range(SINGLE_FROM + 1), selected=SELECTED))
 
 
+def cluster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points move, go and come in two batches, of which the first is brought in twice."""
+    points = map_points(view(spark, sf_dir, "places")).select("id", "lat", "lng")
+    flagged = lambda df: df.withColumn("selected", F.expr("id % 1000000 = 7 or id % 10 = 0"))
+    pyramid = Pyramid.create(flagged(points), new_folder(spark, "pyramid"))
+    gone = points.where("id % 7 = 0").select("id", F.lit(None).cast("double").alias("lat"), "lng")
+    moved = points.where("id % 5 = 0 and id % 7 <> 0").withColumn("lat", F.col("lat") / 2)
+    come = points.where("id % 11 = 0").select((F.col("id") + 1000000).alias("id"), "lat", (F.col("lng") / 2).alias("lng"))
+    for number, batch in ((0, gone.unionByName(come)), (0, gone), (1, moved)):
+        pyramid.apply(flagged(batch), ["lng"], ("map", number))
+    return rounded(pyramid.read())
+
+
 def cluster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cluster_points(map_points(view(spark, sf_dir, "places")))
     return cells.where(F.col("n") > 1).select("zoom", "cx", "cy", "min_lat", "min_lng", "max_lat", "max_lng")
@@ -345,6 +359,10 @@ def normalize_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", normalize_index("text").alias("text"))
 
 
+def normalize_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "scripts").select("id", normalize_index("text").alias("text"))
+
+
 def normalize_query_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", normalize_query("text").alias("text"))
 
@@ -446,11 +464,13 @@ QUERIES = {
     "selected_in_cluster_shuffled": selected_in_cluster_shuffled,
     "cluster_points": cluster_points_query,
     "bounds": bounds_query,
+    "cluster_changes": cluster_changes,
     "cluster_coverage": cluster_coverage,
     "last_marker_per_id": last_marker_per_id,
     "first_match": first_match_query,
     "assign_ids": assign_ids_query,
     "normalize_index": normalize_index_query,
+    "normalize_scripts": normalize_scripts,
     "normalize_query": normalize_query_query,
     "build_address": build_address,
     "pick_name": pick_name,

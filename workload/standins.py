@@ -77,6 +77,13 @@ VIEWS = {
                     when 3 then concat(substr(word, 1, 2), 'x', substr(word, 4)) when 4 then upper(concat(word, 's'))
                     when 5 then concat(substr(p_name, 1, 3), 'z', substr(p_name, 5, 8)) else word end as text
         from (select *, split_part(p_name, ' ', cast(1 + p_partkey % 2 as int)) as word from {part})""",
+    # Names in Cyrillic and Greek letters, some of which are spelled by several.
+    "scripts": """
+        select p_partkey as id, case p_partkey % 3
+                 when 0 then translate(p_name, 'abcdefghijklmnoprstuvwxyz', 'абцдефгхійклмнопрстувщэыю')
+                 when 1 then concat('ЖЁ ', translate(upper(p_name), 'ABCDEFGHIKLMNOPRSTUWXYZ', 'АБЧДЕФГЯИКЛМНОПРСТУШХЫЗ'))
+                 else concat('Ψ', translate(p_name, 'abcdefghiklmnoprstuwxyz', 'αβχδεφγήικλμνοπρστυωξψζ'), 'ς é ß') end as text
+        from {part}""",
     # Towns and streets that share words, searched by texts that match both.
     "streets": """
         select c_custkey as id, concat('Forêt-', n_name) as nom, concat(cast(c_custkey % 200 as string), ' RUE Allée ', n_name) as adresse
