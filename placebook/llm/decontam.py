@@ -1,8 +1,9 @@
 """Benchmark passages in training texts, found by a broadcast hash set of the benchmark's word windows.
 
-Each text's windows are looked up in the set as they are read, so that only hits leave a task. A lookup compares the
-window's whole text, which verifies the hit. The set is broadcast if it is within the library's limits; a larger one is
-joined by shuffling, with windows that very many texts have spread over several tasks.
+A hash of the first words of each window of a text is looked up in the set as the text is read, so that only hits leave a
+task, and a row holds one number for each of its words at a time, however long it is. Only where a hash is found the
+window's whole text is made and compared, which verifies the hit. The set is broadcast if it is within the library's limits;
+a larger one is joined by shuffling, with windows that very many texts have spread over several tasks.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placebook.llm.tables import ascii_lower
-from placebook.operators.joins import lookup, skew_join
+from placebook.operators.joins import lookup, own_name, skew_join
 from placebook.session import fits_broadcast, materialize
 
 WINDOW = 13
+# Words at the start of a window that are hashed to look it up; of a shorter window all.
+START = 5
 # A text is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 
@@ -44,15 +47,30 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return materialize(found.distinct(), "benchmark-windows")
 
 
+def start_hashes(words: Column, size: int) -> Column:
+    """The hashes of `size` words from each place on; the first place is 0."""
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, size)))
+
+
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Where benchmark windows lie in texts: (_row, place, length, window), stored. `docs`: _row, words."""
-    lengths = windows.agg(F.collect_set("length")).first()[0]  # of 13 numbers at most
-    distinct = windows.select("window", "length").distinct()
+    distinct = materialize(windows.select("window", "length").distinct(), "distinct-windows")
+    lengths = distinct.agg(F.collect_set("length")).first()[0]  # of 13 numbers at most
     if not lengths:
         return docs.select("_row", F.lit(0).alias("place"), F.lit(0).alias("length"), F.lit("").alias("window")).limit(0)
-    every = F.concat(*[windows_of(F.col("words"), length) for length in sorted(lengths)])
-    scanned = docs.select("_row", F.explode(every).alias("w")).select("_row", "w.place", "w.window")
-    return materialize(skew_join(scanned, distinct, ["window"], fits=fits_broadcast(distinct)), "benchmark-hits")
+    size = F.least(F.col("length"), F.lit(START))
+    starts = distinct.select(F.xxhash64(F.slice(F.split("window", " "), 1, size)).alias("start"), "length").distinct()
+    met = None
+    for n in sorted({min(length, START) for length in lengths}):
+        some = starts.where(size == n)
+        scanned = docs.select("_row", F.posexplode(start_hashes(F.col("words"), n)).alias("place", "start"))
+        found = skew_join(scanned, some, ["start"], fits=fits_broadcast(some)).select("_row", (F.col("place") + 1).alias("place"), "length")
+        met = found if met is None else met.unionByName(found)
+    met = materialize(met, "window-starts").distinct().groupBy("_row").agg(F.collect_list(F.struct("place", "length")).alias("met"))
+    texts = lookup(docs, met, ["_row"], "inner").dropDuplicates(["_row"])
+    joined = F.transform("met", lambda m: F.struct(m["place"].alias("place"), m["length"].alias("length"), F.array_join(F.slice("words", m["place"], m["length"]), " ").alias("window")))
+    return materialize(skew_join(texts.select("_row", F.inline(joined)), distinct, ["window", "length"]).select("_row", "place", "length", "window"), "benchmark-hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,9 +83,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words are in no text; an item_id that occurs twice is one item.
     """
     row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"), F.octet_length("text"))
-    keyed = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated").withColumn("_row", row)
+    own = own_name("row")
+    keyed = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated").withColumn(own, row)
     windows = benchmark_windows(benchmark)
-    hits = find_hits(keyed.select("_row", words_of(F.col("text")).alias("words")), windows)
+    hits = find_hits(keyed.select(F.col(own).alias("_row"), words_of(F.col("text")).alias("words")), windows)
 
     covered = hits.select("_row", "place", "length").distinct()
     covered = covered.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("place", "length"))).alias("found"))
@@ -76,7 +95,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = materialize(covered.join(items, "_row"), "contaminated")
 
-    judged = lookup(keyed.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")), found, ["_row"]).drop("_row")
+    counted = keyed.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
+    judged = lookup(counted, found.withColumnRenamed("_row", own), [own]).drop(own)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["last"] - span["first"] + 1)
     judged = judged.withColumn("n_hit", F.coalesce(n_hit, F.lit(0).cast("long")))
     judged = judged.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
