@@ -49,7 +49,7 @@ _PHONES = [rf"(?<![0-9+]){start}{groups}{ends}" for group in (_WHOLE, _GROUP) fo
 
 # How each kind is written. A later one is only looked for where no earlier one begins.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\x22']?[A-Za-z0-9+/_-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
@@ -69,7 +69,10 @@ CARD_FORM = r"(?<![0-9])(?=([2-6](?:[0-9]{12,18}|[0-9]{3}(?:(?: [0-9]{4}){3}|(?:
 # A text without any of these has no value of any kind.
 HINT = r"[0-9@]|AKIA|(?i:password|passwd|token|secret|api_key)"
 
-FIRST_DAY, DAYS = "1900-01-01", 73_049  # dates up to 2099-12-31
+# Dates of two centuries are permuted among themselves, so that they stay likely ones, and all others of the years 1 to
+# 9999 among theirs. A network's pairs are a few more than the days.
+FIRST_DAY, DAYS, DAY_PAIRS = "1900-01-01", 73_049, (271, 270)  # up to 2099-12-31
+DAYS_BEFORE, DAYS_APART, APART_PAIRS = 693_595, 3_579_010, (1892, 1892)  # from 0001-01-01 to 1899-12-31; and from 2100-01-01
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -237,13 +240,13 @@ def _date(m: Column, key: str) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     wide = (F.char_length(number(1)) == 2) & (F.char_length(number(2)) == 2)
 
-    def walked(day: Column) -> Column:
+    def walked(n: Column, days: int, pairs: tuple[int, int], kind: str) -> Column:
         def step(state: Column, i: Column) -> Column:
-            pair = permuted_pair(F.floor(state["n"] / 270), state["n"] % 270, 271, 270, key, "date")
-            onward = let(pair, lambda p: p["a"] * 270 + p["b"])
-            return F.when((i == 0) | (state["n"] >= DAYS), F.struct(onward.alias("n"))).otherwise(state)
+            pair = permuted_pair(F.floor(state["n"] / pairs[1]), state["n"] % pairs[1], *pairs, key, kind)
+            onward = let(pair, lambda p: p["a"] * pairs[1] + p["b"])
+            return F.when((i == 0) | (state["n"] >= days), F.struct(onward.alias("n"))).otherwise(state)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.struct(day.cast("long").alias("n")), step, lambda state: state["n"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.struct(n.cast("long").alias("n")), step, lambda state: state["n"])
 
     def written(new: Column) -> Column:
         short = lambda n: F.when(wide, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
@@ -255,7 +258,10 @@ def _date(m: Column, key: str) -> Column:
     def replaced(found: Column) -> Column:
         day = F.datediff(found, first)
         new = lambda n: written(F.date_add(first, n.cast("int")))
-        return F.when(day.between(0, DAYS - 1), let(walked(day), new))
+        far = lambda n: new(F.when(n < DAYS_BEFORE, n - DAYS_BEFORE).otherwise(n - DAYS_BEFORE + DAYS))
+        place = F.when(day < 0, day + DAYS_BEFORE).otherwise(day + DAYS_BEFORE - DAYS)
+        near = let(walked(day, DAYS, DAY_PAIRS, "date"), new)
+        return F.when(day.between(0, DAYS - 1), near).otherwise(F.when(day >= -DAYS_BEFORE, let(walked(place, DAYS_APART, APART_PAIRS, "date apart"), far)))
 
     value = F.when(iso, made(1, 2, 3)).when(slashes, F.coalesce(day_first, month_first)).otherwise(day_first)
     return let(value, replaced)
@@ -322,16 +328,17 @@ def forms(text: Column) -> Column:
     def values(form: str, valid: Callable[[Column], Column]) -> Column:
         return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(form), F.lit(1))), valid)
 
-    def either(found: Column, after: str) -> Column:
-        return F.when(F.size(found) > 0, F.concat(F.lit("(?:"), F.array_join(found, "|"), F.lit(f")(?!{after})")))
+    def either(found: Column, start: str, after: str) -> Column:
+        """Any of the values; they are only tried where one may begin."""
+        return F.when(F.size(found) > 0, F.concat(F.lit(f"(?={start})(?:"), F.array_join(found, "|"), F.lit(f")(?!{after})")))
 
     def pattern(iban: Column, card: Column) -> Column:
         phone = F.when(card.isNull(), F.lit(KINDS["phone"])).otherwise(F.replace(F.lit("|".join([_TEN, *_PHONES])), F.lit(_CARDS), card))
         own = {"iban": F.concat(F.lit("(?<![A-Za-z0-9])"), iban), "phone": phone, "card": F.concat(F.lit("(?<![0-9])"), card)}
         return F.concat_ws("|", *[own.get(kind, F.lit(form)) for kind, form in KINDS.items()])
 
-    iban = let(values(IBAN_FORM, _valid_iban), lambda found: either(found, "[A-Za-z0-9]"))
-    card = let(values(CARD_FORM, _valid_card), lambda found: either(found, "[0-9]"))
+    iban = let(values(IBAN_FORM, _valid_iban), lambda found: either(found, "[A-Z]{2}[0-9]{2}", "[A-Za-z0-9]"))
+    card = let(values(CARD_FORM, _valid_card), lambda found: either(found, "[2-6][0-9]{3}[ 0-9-][0-9]{4}", "[0-9]"))
     return let(F.struct(iban.alias("iban"), card.alias("card")), lambda own: pattern(own["iban"], own["card"]))
 
 

@@ -30,9 +30,10 @@ from placebook.session import materialize, new_folder
 LEAST_BYTES = 0
 # Bytes of records, before compression, in an archive; a larger record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
-# Bytes of a dictionary, and of each record that it is built from.
+# Bytes of a dictionary; pieces of each record that it is built from, all over the record, and their bytes.
 DICTIONARY_BYTES = 32 << 10
-SAMPLE_BYTES = 4 << 10
+PIECES = 4
+PIECE_BYTES = 1 << 10
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 
@@ -66,20 +67,27 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary for records, or none for records that are too few or too short for one."""
-    samples = [r[:SAMPLE_BYTES] for r in records]
+def samples_of(r: bytes) -> list[bytes]:
+    """A short record whole, of a longer one pieces from its start to its end, equally far apart."""
+    if len(r) <= PIECES * PIECE_BYTES:
+        return [r]
+    last = len(r) - PIECE_BYTES
+    return [r[i * last // (PIECES - 1) :][:PIECE_BYTES] for i in range(PIECES)]
+
+
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on pieces of the records; of records too few or too alike for that the pieces themselves."""
+    samples = [piece for r in records for piece in samples_of(r)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=256, d=8, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(out, records: list[bytes]) -> None:
     dictionary = build_dictionary(records)
-    if dictionary is not None:
-        packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
-        out.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
+    packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
+    out.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
     for r in records:
         out.write(compressor.compress(r))

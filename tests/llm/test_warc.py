@@ -75,11 +75,20 @@ def test_each_record_is_a_frame_and_the_dictionary_comes_first():
     assert len(data) < 0.8 * plain
 
 
-def test_few_records_need_no_dictionary():
+@pytest.mark.parametrize("payloads", [[b"x"], [b""], [b"same"] * 3, [b"long " * 1_000_000], [b"\x37\xa4\x30\xec"]])
+def test_archives_of_few_records_have_a_dictionary_too(payloads):
     out = io.BytesIO()
-    warc.write_archive(out, [warc.record(1, None, b"x", None)])
+    warc.write_archive(out, [warc.record(i, None, payload, None) for i, payload in enumerate(payloads)])
+    assert int.from_bytes(out.getvalue()[:4], "little") == warc.DICTIONARY_FRAME
     out.seek(0)
-    assert [fields["page-id"] for fields, _ in warc.read_archive(out)] == ["1"]
+    assert [(fields["page-id"], block.partition(b"\r\n\r\n")[2]) for fields, block in warc.read_archive(out)] == [(str(i), payload) for i, payload in enumerate(payloads)]
+
+
+def test_samples_come_from_all_over_a_record():
+    assert warc.samples_of(b"short") == [b"short"]
+    r = bytes(range(256)) * 100
+    pieces = warc.samples_of(r)
+    assert len(pieces) == warc.PIECES and r.startswith(pieces[0]) and r.endswith(pieces[-1]) and {len(p) for p in pieces} == {warc.PIECE_BYTES}
 
 
 def test_damage_is_noticed(spark):
