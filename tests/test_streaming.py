@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from placebook.operators.geocode import geocode_table
 from placebook.session import new_folder
 from placebook.sources.register import read_changes
-from placebook.streaming.debounce import debounce, debounce_stream, open_bursts
+from placebook.streaming.debounce import debounce, debounce_batches, debounce_stream, open_bursts, read_bursts, read_late, read_watermarks
 from placebook.streaming.geocoding import compact_answers, geocode_stream, read_answers, with_answers
 from workload.queries import run_stream
 
@@ -92,6 +92,46 @@ def test_late_files_are_taken_within_the_delay(spark):
     assert as_rows(written.unionByName(rest)) == last_inputs(rows)
 
 
+def test_the_stream_alone_gives_what_its_watermark_has_passed(spark):
+    """Inputs come in files in any order; each batch's watermark, what came before it and all bursts are checked by hand."""
+    pick = random.Random(6)
+    files = [[(pick.choice([1, 2, None]), start + pick.randrange(20_000), pick.choice(["ab", "abc", "abcd"])) for _ in range(60)] for start in (0, 30_000, 5_000, 60_000, 10_000, 61_000)]
+    files[3].append((1, None, "no time"))
+    folder, path = new_folder(spark, "test-inputs"), new_folder(spark, "test-bursts")
+    numbered = [[(*row, 100 * f + i) for i, row in enumerate(rows)] for f, rows in enumerate(files)]
+    for part in (numbered[:2], numbered[2:]):  # in two runs
+        for rows in part:
+            df = spark.createDataFrame([(u, t, n, x) for u, t, x, n in rows], "user long, ms long, seq long, text string")
+            df.select("user", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "seq", "text").coalesce(1).write.mode("append").parquet(folder)
+        feed = read_changes(spark, folder, INPUTS, files_per_batch=1)
+        debounce_batches(feed, path, f"{path}/checkpoint", "user", "ts", "text", "10 seconds", order=["seq"]).awaitTermination()
+    mark, marks, late, taken = None, [], [], []
+    for rows in numbered:
+        dropped = [row for row in rows if row[1] is None or (mark is not None and row[1] < mark)]
+        late += dropped
+        taken += [row for row in rows if row not in dropped]
+        latest = max(t for _, t, _, _ in rows if t is not None) - 10_000
+        mark = latest if mark is None else max(mark, latest)
+        marks.append(mark)
+    millis = F.unix_millis(F.col("watermark").cast("timestamp"))
+    assert [tuple(r) for r in read_watermarks(spark, path).orderBy("batch").select("batch", millis).collect()] == list(enumerate(marks))
+    assert read_watermarks(spark, path).agg(F.sum("late"), F.sum("inputs")).first() == (len(late), sum(map(len, files)))
+    assert sorted(read_late(spark, path).select("seq").toPandas()["seq"]) == sorted(row[3] for row in late) and 5 < len(late) < 200
+    ends = []
+    for user in (1, 2, None):
+        own = sorted((t, n, x) for u, t, x, n in taken if u == user)
+        ends += [(user, t, x) for (t, n, x), after in zip(own, own[1:] + [(1 << 60, 0, "")]) if after[0] - t >= 300 and len(x) >= 3 and t + 300 <= mark]
+    got = read_bursts(spark, path).select("user", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(ends, key=str) and len(ends) > 50
+    assert read_bursts(spark, path).select("batch").distinct().count() > 2
+
+
+def test_open_bursts_without_a_key_come_once(spark):
+    rows = inputs(spark, [(None, 0, "abc"), (1, 0, "abc"), (None, 5000, "abcd")])
+    done = debounce(rows, "user", "ts", "text").where("text = 'abc'")
+    assert [row.text for row in open_bursts(rows, done, "user", "ts", "text").collect()] == ["abcd"]
+
+
 def changes(spark, folder, rows, mode="append"):
     schema = "seq long, id long, Longitude string, Latitude string, Geocode boolean, Address string, GeocodedAddress string"
     df = spark.createDataFrame(rows, schema).coalesce(1)

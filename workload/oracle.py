@@ -177,6 +177,22 @@ DEBOUNCED = """select user_id, ts, event_type from
   (select *, lead(ts) over (partition by user_id order by ts, event_id) as following from events)
 where (following is null or following - ts >= interval 2 hours) and length(trim(event_type)) >= 3"""
 
+# Sixths of the time come in the order 0, 2, 1, 3, 5, 4; a batch's inputs before the latest time of earlier batches less one
+# and a half sixths are late. Bursts are certain two hours before the latest time of all, less as much.
+DEBOUNCED_LATE = """with edges as (select min(ts) as s, max(ts) as e, (max(ts) - min(ts)) / 6 as sixth from events),
+lengths as (select *, to_seconds(cast(floor(extract(epoch from sixth) * 1.5) as bigint)) as delay from edges),
+parts as (
+  select events.*, (case when ts >= s + 5 * sixth then 5 when ts >= s + 4 * sixth then 4 when ts >= s + 3 * sixth then 3
+    when ts >= s + 2 * sixth then 2 when ts >= s + sixth then 1 else 0 end) as part, delay from events, lengths),
+batches as (select *, case part when 1 then 2 when 2 then 1 when 4 then 5 when 5 then 4 else part end as batch from parts),
+seen as (select batch, max(ts) as latest from batches group by batch),
+marks as (select b.batch, max(a.latest) as latest from seen a join seen b on a.batch < b.batch group by b.batch),
+judged as (select batches.*, coalesce(ts < marks.latest - delay, false) as late from batches left join marks using (batch)),
+following as (select *, lead(ts) over (partition by user_id order by ts, event_id) as next from judged where not late)
+select user_id, ts, event_type, false as late from following
+where (next is null or next - ts >= interval 2 hours) and length(trim(event_type)) >= 3 and ts + interval 2 hours <= (select max(ts) from events) - delay
+union all select user_id, ts, event_type, true from judged where late"""
+
 SELECTED_IN_CLUSTER = clusters("range(18)", "id in (select c_custkey from customer where c_acctbal < 0)") + " select zoom, cx, cy, n, has_selected from cells"
 
 UPDATED = f"""{WITH}, last as (select * from (select *, row_number() over (partition by id order by step desc) as rn from choices) where rn = 1)
@@ -306,5 +322,6 @@ from orders group by o_custkey""",
     "label_text": f"{POINTS} select id, case when id % 3 = 0 then '' else coalesce(name, '') end as label from points",
     "debounce": DEBOUNCED,
     "debounce_stream": DEBOUNCED,
+    "debounce_late": DEBOUNCED_LATE,
     "geocode_stream": geocoded("edited"),
 }

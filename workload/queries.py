@@ -24,7 +24,7 @@ from placebook.session import new_folder
 from placebook.sinks.register import write_register
 from placebook.sources.nested import columns_to_rows, flatten_companies, pick_resource
 from placebook.sources.register import read_changes, read_register, scan_table
-from placebook.streaming.debounce import debounce, debounce_stream, open_bursts
+from placebook.streaming.debounce import debounce, debounce_batches, debounce_stream, open_bursts, read_bursts, read_late
 from placebook.streaming.geocoding import geocode_stream, read_answers, with_answers
 from workload.standins import read, view
 
@@ -422,6 +422,23 @@ def debounce_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.unionByName(open_bursts(events, written, "user_id", "ts", "event_type", GAP, order=["event_id"]))
 
 
+def debounce_late_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a sixth of the time each, some so long after later ones that part of their inputs are late; the bursts that
+    the stream has written, and what was late.
+    """
+    folder, events = new_folder(spark, "events"), read(spark, sf_dir, "events")
+    start, end = events.agg(F.min("ts"), F.max("ts")).first()
+    sixth = (end - start) / 6
+    for part in (0, 2, 1, 3, 5, 4):
+        inside = (F.col("ts") >= start + part * sixth) & (F.col("ts") < start + (part + 1) * sixth)
+        events.where(inside | (F.col("ts") == end) & F.lit(part == 5)).coalesce(1).write.mode("append").parquet(folder)
+    changes, path = read_changes(spark, folder, events.schema, files_per_batch=1), new_folder(spark, "bursts")
+    delay = f"{int(sixth.total_seconds() * 1.5)} seconds"
+    debounce_batches(changes, path, f"{path}/checkpoint", "user_id", "ts", "event_type", delay, GAP, ["event_id"]).awaitTermination()
+    columns = ["user_id", "ts", "event_type"]
+    return read_bursts(spark, path).select(*columns, F.lit(False).alias("late")).unionByName(read_late(spark, path).select(*columns, F.lit(True).alias("late")))
+
+
 QUERIES = {
     "register_build": register_build,
     "scan_register_csv": scan_register_csv,
@@ -483,5 +500,6 @@ QUERIES = {
     "label_text": label_text_query,
     "debounce": debounce_query,
     "debounce_stream": debounce_stream_query,
+    "debounce_late": debounce_late_query,
     "geocode_stream": geocode_stream_query,
 }
