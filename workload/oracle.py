@@ -277,6 +277,8 @@ select * from typed where length(trim(text)) >= 3""",
     "fuzzy_search_saved_index": f"{search('typed', 'products')} select * from found",
     "fuzzy_search_shuffled": f"{search('typed', 'products')} select * from found",
     "fuzzy_search_by_place": f"{search_by_place('asked', 'streets', 40)} select * from found",
+    "live_index_search": search("typed", "(select id, nom, case when id % 9 = 0 then concat(adresse, ' neuf') else adresse end as adresse from products where id % 7 <> 0)")
+    + " select * from found",
     "misspelled_search": f"{search_misspelled('misspelled', 'products')} select * from spelled",
     "misspelled_search_two_fields": f"{search_misspelled('asked', 'streets')} select * from spelled",
     "choose_and_write_repeated": f"""{search('typed', 'products')},

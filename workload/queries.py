@@ -13,6 +13,7 @@ from placebook.operators.filters import filter_active, filter_prefix, filter_sho
 from placebook.operators.geocode import geocode_candidates, geocode_table
 from placebook.operators.ids import assign_ids
 from placebook.operators.latest import first_match, last_per_id
+from placebook.operators.liveindex import LiveIndex
 from placebook.operators.pyramid import Pyramid
 from placebook.operators.search import build_index, fuzzy_search, load_index
 from placebook.operators.spelling import build_spelling, load_spelling, misspelled_search
@@ -244,6 +245,16 @@ def fuzzy_search_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_search(view(spark, sf_dir, "typed"), view(spark, sf_dir, "products"), limit=0)
 
 
+def live_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products come in three batches, some of them again with another address, and some go; then they are searched."""
+    products, index = view(spark, sf_dir, "products"), LiveIndex.create(spark, new_folder(spark, "live-index"), fanout=3)
+    for part in range(2):
+        index.put(products.where(F.col("id") % 2 == part), ("products", part))
+    index.remove(products.where("id % 7 = 0").select("id"))
+    index.put(products.where("id % 9 = 0 and id % 7 <> 0").withColumn("adresse", F.concat("adresse", F.lit(" neuf"))))
+    return index.search(view(spark, sf_dir, "typed"))
+
+
 def misspelled_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short texts with mistakes, through a saved index."""
     folder = new_folder(spark, "saved-spelling")
@@ -471,6 +482,7 @@ QUERIES = {
     "fuzzy_search_saved_index": fuzzy_search_saved_index,
     "fuzzy_search_by_place": fuzzy_search_by_place,
     "fuzzy_search_shuffled": fuzzy_search_shuffled,
+    "live_index_search": live_index_search,
     "misspelled_search": misspelled_search_query,
     "misspelled_search_two_fields": misspelled_search_two_fields,
     "choose_and_write": choose_and_write,
