@@ -80,8 +80,21 @@ def _key(values: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+Names = dict[tuple[int, int], int]
+
+
+def _name(values: np.ndarray, renamed: Names, bits: int = 64) -> int:
+    """The one number that a set goes by: the first of its key, unless another set has that one."""
+    key = _key(values)
+    return renamed.get(key, _short(key[0], bits))
+
+
+def _short(number: int, bits: int) -> int:
+    return number if bits == 64 else number & ((1 << bits) - 1)
+
+
 def set_keys(docs: DataFrame) -> DataFrame:
-    """(doc, mark, n, key, key2) for each row of (doc, mark, text): size and name of its set of shingles."""
+    """(doc, mark, n, key, key2) for each row of (doc, mark, text): size and key of its set of shingles."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +108,33 @@ def set_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(keys, "doc long, mark long, n long, key long, key2 long")
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """(key, n, tokens) for each row of (doc, mark, text) that has words."""
+def names_of_alike(classes: DataFrame, bits: int = 64) -> Names:
+    """New names for the sets whose key begins with the same number as another one's, but for one of these sets.
+
+    Of n different sets about n * n / 2 ** 65 are concerned, three of ten thousand million.
+    """
+    short = F.col("key") if bits == 64 else F.col("key").bitwiseAND((1 << bits) - 1)
+    named = classes.select(short.alias("name"), "key", "key2")
+    alike = named.groupBy("name").agg(F.count("*").alias("rows")).where("rows > 1").select("name")
+    rows = sorted(tuple(row) for row in lookup(named, materialize(alike, "alike"), ["name"], "left_semi").collect())
+    again = [tuple(row[1:]) for before, row in zip(rows, rows[1:]) if before[0] == row[0]]
+    free, last = [], 0
+    while len(free) < len(again):
+        tried = list(range(last - 1, last - 1 - len(again), -1))
+        last = tried[-1]
+        taken = {row.name for row in named.where(F.col("name").isin(tried)).select("name").distinct().collect()}
+        free += [number for number in tried if number not in taken]
+    return dict(zip(again, free))
+
+
+def whole_sets(docs: DataFrame, renamed: Names, bits: int = 64) -> DataFrame:
+    """(key, n, tokens) for each row of (doc, mark, text) that has words; the key is the set's name."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [s for s in shingle_sets(part["text"]) if len(s)]
-                columns = [pa.array([_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                columns = [pa.array([_name(s, renamed, bits) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["key", "n", "tokens"])
 
     return docs.mapInArrow(sets_of, "key long, n long, tokens array<long>")
@@ -144,14 +176,14 @@ def _postings(keys: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([tokens, pa.array(np.concatenate([key[first], counted]).astype(np.int64)), pa.array(n)], ["token", "key", "n"])
 
 
-def prefix_postings(docs: DataFrame) -> DataFrame:
+def prefix_postings(docs: DataFrame, renamed: Names, bits: int = 64) -> DataFrame:
     """The postings of the lowest shingles of the sets of (doc, mark, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [s for s in shingle_sets(part["text"]) if len(s)]
-                keys = np.array([_key(s)[0] for s in sets], np.int64)
+                keys = np.array([_name(s, renamed, bits) for s in sets], np.int64)
                 yield _postings(keys, [s[: head(len(s))].view(np.int64) for s in sets])
 
     return docs.mapInArrow(rows, "token long, key long, n long")
@@ -342,24 +374,30 @@ def links_of_blocks(sets: DataFrame, blocks: DataFrame) -> DataFrame:
 # --- all of it --------------------------------------------------------------------------------------------------------
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id) for each row of `docs`, which needs doc_id and text; `mark` is a hash of
     the text.
 
     A row's set has the distinct runs of five words of its text; of fewer words, but not none, the whole as one. Rows
     are linked if their sets have a Jaccard similarity of at least 0.8; a row without words has no link. component_id
     is the smallest doc_id that links lead to, the row's own included; rows without an id are linked like others and
-    have no smallest id unless a row with one is in reach. Repeated rows have equal sets and stay repeated.
+    have no smallest id unless a row with one is in reach. Repeated rows have equal sets and stay repeated. Sets are told
+    apart by 128 bits; in between they go by names of `bits`, which are given anew where two are alike.
     """
     texts = docs.select(id_or_last().alias("doc"), F.xxhash64("text").alias("mark"), "text")
     named = materialize(set_keys(texts), "set-keys")
     classes = named.where("n > 0").groupBy("key", "key2").agg(F.min("doc").alias("first"), F.min(F.struct("doc", "mark")).alias("row"), F.min("n").alias("n"))
     classes = materialize(classes, "classes")
+    renamed = names_of_alike(classes, bits)
+    name = F.col("key1") if bits == 64 else F.col("key1").bitwiseAND((1 << bits) - 1)
+    for (key, key2), new in renamed.items():
+        name = F.when((F.col("key1") == key) & (F.col("key2") == key2), F.lit(new)).otherwise(name)
+    classes = classes.withColumnRenamed("key", "key1").withColumn("key", name)
 
-    shared = materialize(shared_counts(prefix_postings(texts)), "shared")
+    shared = materialize(shared_counts(prefix_postings(texts, renamed, bits)), "shared")
     maybe = materialize(lookup(classes, shared, ["key"], "inner").where(F.col("shared") >= extra_of_partner(F.col("n"))).select("key", "row.*"), "maybe")
     chosen = lookup(texts, maybe.select("doc", "mark").distinct(), ["doc", "mark"], "left_semi")
-    sets = materialize(lookup(whole_sets(chosen), maybe.select("key").distinct(), ["key"], "left_semi").dropDuplicates(["key"]), "sets")
+    sets = materialize(lookup(whole_sets(chosen, renamed, bits), maybe.select("key").distinct(), ["key"], "left_semi").dropDuplicates(["key"]), "sets")
     shared = materialize(shared_counts(all_postings(sets)), "shared")
     sets = lookup(sets, shared, ["key"], "inner").where(F.col("shared") >= F.ceil(F.col("n") * LEAST / 100)).drop("shared")
     sets = materialize(sets, "linked-sets")
@@ -375,7 +413,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     linked = materialize(linked, "linked")
     least = linked.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("first").alias("least"))
     least = materialize(least, "least")
-    found = materialize(lookup(linked, least, ["group"], "left").select("key", "key2", F.coalesce("least", "first").alias("component")), "components")
+    found = materialize(lookup(linked, least, ["group"], "left").select(F.col("key1").alias("key"), "key2", F.coalesce("least", "first").alias("component")), "components")
     joined = skew_join(named, found, ["key", "key2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
     known = lambda name: F.when(F.col(name) != LAST_ID, F.col(name))
     return joined.select(known("doc").alias("doc_id"), "mark", F.col("n").alias("n_shingles"), known("component").alias("component_id"))

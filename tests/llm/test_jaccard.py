@@ -71,6 +71,13 @@ def test_equals_brute_force(spark, monkeypatch, limits):
     assert results(jaccard.similar_groups(df)) == brute_force(rows)
 
 
+def test_sets_whose_names_are_alike_stay_apart(spark):
+    """Names of six bits: all sets share theirs with others and get new ones."""
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert results(jaccard.similar_groups(df, bits=6)) == brute_force(rows)
+
+
 def test_repeated_rows_missing_ids_and_other_columns(spark):
     rows = [(4, "a b c d e f"), (4, "a b c d e f"), (None, "A b c d e f"), (None, "x y z"), (None, "x y z"), (5, None), (None, ""), (2, "x y"), (9, "q " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -43,6 +45,61 @@ def corpus(spark, n=900):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit(9)), spark.createDataFrame(labels, "doc_id long, toxic int"), n
 
 
+def plain_learned(rows):
+    """(half, toxic, text) rows: the words of high odds of each half and of both, counted one by one."""
+    found = {}
+    for key, halves in ((0, {0}), (1, {1}), (2, {0, 1})):
+        own = [(toxic, set(re.findall(r"[^\W\d_]+", text.lower()))) for half, toxic, text in rows if half in halves]
+        n = {label: sum(toxic == label for toxic, _ in own) for label in (0, 1)}
+        words = {}
+        for word in set().union(*[words for _, words in own]) if own else ():
+            counts = {label: sum(toxic == label and word in text for toxic, text in own) for label in (0, 1)}
+            total = sum(toxic == 1 and word in set(re.findall(r"[^\W\d_]+", text.lower())) for _, toxic, text in rows)
+            odds = ((counts[1] + 0.5) / (n[1] + 1)) / ((counts[0] + 0.5) / (n[0] + 1))
+            if total >= toxicity.LEAST_TEXTS and counts[1] >= toxicity.LEAST_TEXTS and odds >= toxicity.LEAST_ODDS:
+                words[word] = round(math.log(odds), 9)
+        found[key] = words
+    return found
+
+
+def test_learned_words_equal_counted_ones(spark):
+    docs, labels, _ = corpus(spark, 300)
+    rows = toxicity.labelled_texts(docs, labels)
+    got = {key: {word: round(odds, 9) for word, odds in words.items()} for key, words in toxicity.learned_words(rows).items()}
+    assert got == plain_learned([(row.half, int(row.toxic), row.text or "") for row in rows.collect()]) and len(got[2]) >= 3
+
+
+def test_scores_are_steps_of_the_pool_of_adjacent_chances(spark):
+    """The calibration equals pooling adjacent violators, by hand, of the chances of the rows kept for it."""
+    docs, labels, _ = corpus(spark)
+    scorer = toxicity.Scorer(docs, labels)
+    rows = toxicity.labelled_texts(docs, labels).where("kept")
+    numbers = toxicity._feature_column(spark, scorer.learned, F.col("text"), F.col("half").cast("int"))
+    described = rows.select("toxic", toxicity.array_to_vector(numbers).alias("_features"))
+    by_chance = {}
+    for row in scorer._chances(described).collect():
+        by_chance.setdefault(row._chance, []).append(row.toxic)
+    pools = []
+    for chance, values in sorted(by_chance.items()):
+        pools.append([sum(values), len(values), [chance]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    expected = {chance: total / n for total, n, chances in pools for chance in chances}
+    frame = spark.createDataFrame([(chance,) for chance in expected], "_chance double")
+    for row in scorer.steps.transform(frame).collect():
+        assert abs(row._calibrated - expected[row._chance]) < 1e-9
+
+
+def test_any_names_of_columns(spark):
+    docs, labels, n = corpus(spark, 300)
+    names = ["_features", "_raw", "_probability", "_predicted", "_chance", "_calibrated", "_all", "a.b"]
+    more = docs.select("doc_id", "text", *[F.lit(i).alias(name) for i, name in enumerate(names)])
+    got = toxicity.toxicity(more, labels)
+    assert got.columns == ["doc_id", "text", *names, "held_out", "score", "predicted"]
+    assert {tuple(row)[2:10] for row in got.collect()} == {tuple(range(8))}
+
+
 def test_held_out_rows_are_told_apart(spark):
     docs, labels, n = corpus(spark)
     got = toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted", "toxic").collect()
