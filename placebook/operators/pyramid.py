@@ -9,7 +9,7 @@ points, a few levels further from cells that are known by then.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,7 +18,7 @@ from placebook.functions.geo import cell_of, pixel_x, pixel_y
 from placebook.operators.clusters import BOX, KEYS, RADIUS, RESULT, SINGLE_FROM, ZOOMS_PER_STEP, finish, points_alone
 from placebook.operators.joins import lookup
 from placebook.operators.latest import last_per_id
-from placebook.session import materialize
+from placebook.session import fits_broadcast, materialize
 from placebook.sinks.versions import VersionedTable
 
 SUM = "decimal(33,15)"
@@ -27,6 +27,10 @@ ADDED = ["n", "sum_lat", "sum_lng", "n_selected"]
 EDGES = {"min_lat": (F.min, "lat"), "min_lng": (F.min, "lng"), "max_lat": (F.max, "lat"), "max_lng": (F.max, "lng"), "id": (F.min, "id")}
 POINT = ["id", "lat", "lng", "selected"]
 
+# Changes up to so many are known to be few in all that is made of them (at most 12 rows of 30 numbers for each), so that
+# none of it is measured again before it is broadcast.
+FEW = 10_000
+
 
 def _sums(sign: Column | int = 1) -> list[Column]:
     sign = F.lit(sign) if isinstance(sign, int) else sign
@@ -115,20 +119,21 @@ class Pyramid:
 
     def _changed_cells(self, last: DataFrame, new: DataFrame) -> DataFrame:
         now, cells = self.points.read(), self.cells.read()
-        old = materialize(lookup(now, last.select("id"), ["id"], "left_semi"), "old-points")
+        fits = True if fits_broadcast(last, FEW) else None
+        old = materialize(lookup(now, last.select("id"), ["id"], "left_semi", fits=fits), "old-points")
         same = old.select(F.struct(*POINT).alias("p")).join(new.select(F.struct(*POINT).alias("p")), "p").select("p.id")
         old, new = (side.join(same, "id", "left_anti") for side in (old, new))
         signed = self._placed(old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1))))
         edges = [c for edge, (f, name) in EDGES.items() for c in (f(F.when(F.col("sign") < 0, F.col(name))).alias(f"gone_{edge}"), f(F.when(F.col("sign") > 0, F.col(name))).alias(f"new_{edge}"))]
         deltas = materialize(signed.groupBy("cx", "cy").agg(*_sums(F.col("sign")), *edges).withColumn("zoom", F.lit(SINGLE_FROM - 1)), "cell-changes")
 
-        left = lookup(now, last.select("id"), ["id"], "left_anti").unionByName(new.select(*POINT))
+        left = lookup(now, last.select("id"), ["id"], "left_anti", fits=fits).unionByName(new.select(*POINT))
 
         def of_points(lost: DataFrame) -> DataFrame:
-            inside = lookup(self._placed(left), lost.select("cx", "cy"), ["cx", "cy"], "left_semi")
+            inside = lookup(self._placed(left), lost.select("cx", "cy"), ["cx", "cy"], "left_semi", fits=fits)
             return inside.withColumn("zoom", F.lit(SINGLE_FROM - 1)).groupBy(*KEYS).agg(*[f(name).alias(edge) for edge, (f, name) in EDGES.items()])
 
-        layers = [self._level(cells.where(F.col("zoom") == SINGLE_FROM - 1), deltas, of_points)]
+        layers = [self._level(cells.where(F.col("zoom") == SINGLE_FROM - 1), deltas, of_points, fits)]
         for source, zooms in self._steps():
             known, done = cells.where(F.col("zoom") == source), layers[-1].where(F.col("zoom") == source)
 
@@ -136,26 +141,26 @@ class Pyramid:
                 """The edges of coarser cells, from the cells of a finer level as they are now."""
                 roots = lost.select(*[F.expr(f"shiftright({c}, zoom - {zooms[-1]})").alias(f"_{c}") for c in ("cx", "cy")]).distinct()
                 root = {f"_{c}": F.shiftright(c, source - zooms[-1]) for c in ("cx", "cy")}
-                around = [lookup(side.withColumns(root), roots, list(root), "left_semi").drop(*root) for side in (known, done)]
+                around = [lookup(side.withColumns(root), roots, list(root), "left_semi", fits=fits).drop(*root) for side in (known, done)]
                 fresh = around[0].join(around[1].select("cx", "cy"), ["cx", "cy"], "left_anti").unionByName(around[1]).where("n > 0")
-                inside = lookup(self._spread(fresh, source, zooms), lost.select(*KEYS), KEYS, "left_semi")
+                inside = lookup(self._spread(fresh, source, zooms), lost.select(*KEYS), KEYS, "left_semi", fits=fits)
                 return inside.groupBy(*KEYS).agg(*[f(edge).alias(edge) for edge, (f, _) in EDGES.items()])
 
             rolled = self._spread(deltas, SINGLE_FROM - 1, zooms).groupBy(*KEYS)
             merged = [f(f"{side}_{edge}").alias(f"{side}_{edge}") for edge, (f, _) in EDGES.items() for side in ("gone", "new")]
             rolled = rolled.agg(*[F.sum(c).cast(dict(deltas.dtypes)[c]).alias(c) for c in ADDED], *merged)
-            layers.append(self._level(cells.where(F.col("zoom").isin(zooms)), materialize(rolled, "cell-changes"), of_cells))
+            layers.append(self._level(cells.where(F.col("zoom").isin(zooms)), materialize(rolled, "cell-changes"), of_cells, fits))
         return reduce(DataFrame.unionByName, layers)
 
-    def _level(self, cells: DataFrame, deltas: DataFrame, remade) -> DataFrame:
+    def _level(self, cells: DataFrame, deltas: DataFrame, remade: Callable[[DataFrame], DataFrame], fits: bool | None) -> DataFrame:
         """The changed cells as they are now, stored. `remade` makes the edges of cells anew."""
-        held = lookup(cells, deltas.select(*KEYS), KEYS, "left_semi").withColumnsRenamed({c: f"old_{c}" for c in [*ADDED, *EDGES]})
-        met = lookup(deltas, held, KEYS)
+        held = lookup(cells, deltas.select(*KEYS), KEYS, "left_semi", fits=fits).withColumnsRenamed({c: f"old_{c}" for c in [*ADDED, *EDGES]})
+        met = lookup(deltas, held, KEYS, fits=fits)
         lost = reduce(lambda a, b: a | b, [F.col(f"gone_{edge}").eqNullSafe(F.col(f"old_{edge}")) & F.col(f"old_{edge}").isNotNull() for edge in EDGES])
         met = materialize(met.withColumn("lost", lost), "met-cells")
         types = dict(cells.dtypes)
         added = [(F.coalesce(f"old_{c}", F.lit(0).cast(types[c])) + F.col(c)).cast(types[c]).alias(c) for c in ADDED]
         keep = lambda edge, f: (F.least if f is F.min else F.greatest)(F.col(f"old_{edge}"), F.col(f"new_{edge}")).alias(edge)
         whole = met.where("not lost").select(*KEYS, *added, *[keep(edge, f) for edge, (f, _) in EDGES.items()])
-        again = lookup(met.where("lost").select(*KEYS, *added), remade(met.where("lost")), KEYS)
+        again = lookup(met.where("lost").select(*KEYS, *added), remade(met.where("lost")), KEYS, fits=fits)
         return materialize(whole.unionByName(again).select(*cells.columns), "changed-cells")

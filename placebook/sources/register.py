@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from placebook.operators.columns import project_register
+from placebook.operators.columns import MissingColumns, project_register
 
 
 # What Spark's reader trims off a line to see whether it is filled; with line breaks in cells it skips empty lines only.
@@ -45,7 +45,10 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     parts = []
     for names, files in sorted(csv_headers(spark, path, multi_line).items()):
         schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        parts.append(project_register(reader.schema(schema).csv(files)))
+        try:
+            parts.append(project_register(reader.schema(schema).csv(files)))
+        except MissingColumns as problem:
+            raise MissingColumns(f"{files[0]}: {problem}") from None
     if not parts:
         raise FileNotFoundError(f"no CSV file with a header in {path}")
     return reduce(DataFrame.unionByName, parts)
