@@ -201,6 +201,13 @@ select c.id, c.Enseigne, c.Nom, c.Lieu, case when l.id is null then cast(c.SIRET
   case when l.id is null then c.AdresseNormalisee else l.AdresseNormalisee end as AdresseNormalisee
 from clients c left join last l on c.id = l.id"""
 
+def updated(state: str, choices: str) -> str:
+    return f"""select c.id, c.Enseigne, c.Nom, c.Lieu, case when l.id is null then cast(c.SIRET as varchar) else l.SIRET end as SIRET,
+  case when l.id is null then c.RaisonSociale else l.RaisonSociale end as RaisonSociale,
+  case when l.id is null then c.AdresseNormalisee else l.AdresseNormalisee end as AdresseNormalisee, '{state}' as state
+from clients c left join (select * from (select *, row_number() over (partition by id order by step desc) as rn from {choices}) where rn = 1) l on c.id = l.id"""
+
+
 ORACLE = {
     "register_build": REGISTER,
     "scan_register_csv": f"{WITH} select {COLUMNS} from establishment",
@@ -246,6 +253,8 @@ select cast(json_object('id', id, 'siret', siret, 'siren', siren, 'nom', nom, 'a
   'ape', case when id % 3 <> 0 then ape end, 'search', search) as varchar) as line from built""",
     "update_by_id": UPDATED,
     "update_by_id_shuffled": UPDATED,
+    "update_versions": f"{WITH}, early as (select * from choices where step <= (select max(step) // 3 from choices)) "
+    + updated("first", "early") + " union all " + updated("last", "choices"),
     "row_counts": f"""{WITH} select 'read' as stage, count(*) as rows from establishment
 union all select 'kept', count(*) from establishment where {KEPT}
 union all select 'exported', count(*) from establishment where {KEPT} and etatAdministratifEtablissement = 'A'""",

@@ -23,6 +23,7 @@ from placebook.plans.picker import search_table, write_best
 from placebook.plans.register import build_register, export_register
 from placebook.session import new_folder
 from placebook.sinks.register import write_register
+from placebook.sinks.versions import VersionedTable, update_stream
 from placebook.sources.nested import columns_to_rows, flatten_companies, pick_resource
 from placebook.sources.register import read_changes, read_register, scan_table
 from placebook.streaming.debounce import debounce, debounce_batches, debounce_stream, open_bursts, read_bursts, read_late
@@ -144,6 +145,22 @@ def export_register_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(folder).withColumnRenamed("value", "line")
 
 
+def update_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices come as a stream of three files; the table as it was after the first batch, and as it is after all of them
+    and the first once more.
+    """
+    folder, columns = new_folder(spark, "versions"), ["SIRET", "RaisonSociale", "AdresseNormalisee"]
+    clients = view(spark, sf_dir, "clients").withColumn("SIRET", F.col("SIRET").cast("string"))
+    table, choices = VersionedTable.create(clients, f"{folder}/table", ["id"]), view(spark, sf_dir, "choices")
+    third = choices.agg(F.max("step")).first()[0] // 3
+    for low, high in ((-1, third), (third, 2 * third), (2 * third, 4 * third)):
+        choices.where((F.col("step") > low) & (F.col("step") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    changes = read_changes(spark, f"{folder}/feed", choices.schema, files_per_batch=1)
+    update_stream(changes, table, columns, ["step"], f"{folder}/checkpoint", "choices").awaitTermination()
+    table.update(choices.where(F.col("step") <= third), columns, ["step"], ("choices", 0))
+    return table.read(1).withColumn("state", F.lit("first")).unionByName(table.read().withColumn("state", F.lit("last")))
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = export_register(view(spark, sf_dir, "establishment"), new_folder(spark, "register-json"))
     return spark.createDataFrame(list(counts.items()), "stage string, rows bigint")
@@ -464,6 +481,7 @@ QUERIES = {
     "export_register_json_text": export_register_json_text,
     "update_by_id": update_by_id_query,
     "update_by_id_shuffled": update_by_id_shuffled,
+    "update_versions": update_versions,
     "row_counts": row_counts,
     "rename_columns": rename_columns_query,
     "map_columns": map_columns_query,
