@@ -122,8 +122,8 @@ class Pyramid:
         fits = True if fits_broadcast(last, FEW) else None
         old = materialize(lookup(now, last.select("id"), ["id"], "left_semi", fits=fits), "old-points")
         same = old.select(F.struct(*POINT).alias("p")).join(new.select(F.struct(*POINT).alias("p")), "p").select("p.id")
-        old, new = (side.join(same, "id", "left_anti") for side in (old, new))
-        signed = self._placed(old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1))))
+        went, came = (side.join(same, "id", "left_anti") for side in (old, new))
+        signed = self._placed(went.withColumn("sign", F.lit(-1)).unionByName(came.withColumn("sign", F.lit(1))))
         edges = [c for edge, (f, name) in EDGES.items() for c in (f(F.when(F.col("sign") < 0, F.col(name))).alias(f"gone_{edge}"), f(F.when(F.col("sign") > 0, F.col(name))).alias(f"new_{edge}"))]
         deltas = materialize(signed.groupBy("cx", "cy").agg(*_sums(F.col("sign")), *edges).withColumn("zoom", F.lit(SINGLE_FROM - 1)), "cell-changes")
 
