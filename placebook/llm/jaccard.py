@@ -116,13 +116,14 @@ def names_of_alike(classes: DataFrame, bits: int = 64) -> Names:
     short = F.col("key") if bits == 64 else F.col("key").bitwiseAND((1 << bits) - 1)
     named = classes.select(short.alias("name"), "key", "key2")
     alike = named.groupBy("name").agg(F.count("*").alias("rows")).where("rows > 1").select("name")
-    rows = sorted(tuple(row) for row in lookup(named, materialize(alike, "alike"), ["name"], "left_semi").collect())
+    alike = lookup(named, materialize(alike, "alike"), ["name"], "left_semi")
+    rows = sorted(tuple(row) for row in alike.agg(F.collect_list(F.struct("name", "key", "key2"))).first()[0])
     again = [tuple(row[1:]) for before, row in zip(rows, rows[1:]) if before[0] == row[0]]
     free, last = [], 0
     while len(free) < len(again):
         tried = list(range(last - 1, last - 1 - len(again), -1))
         last = tried[-1]
-        taken = {row.name for row in named.where(F.col("name").isin(tried)).select("name").distinct().collect()}
+        taken = set(named.where(F.col("name").isin(tried)).agg(F.collect_set("name")).first()[0])
         free += [number for number in tried if number not in taken]
     return dict(zip(again, free))
 

@@ -186,7 +186,8 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & has_letter(F.col("text")))
     known = known.select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = sorted(counts.agg(F.collect_list(F.struct("lang", "n"))).first()[0])
     if not counts:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
     share = {row.lang: min(1.0, TEXTS / len(counts) / row.n) for row in counts}
@@ -207,7 +208,7 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     rows = chosen.select("lang", drawn(seed, F.col("text")).alias("windows"))
     rows = materialize(rows.select("lang", F.explode("windows").alias("window")), "language-windows")
     languages = sorted(share)
-    pairs = sorted((row.lang, bytes(row.window)) for row in rows.collect())
+    pairs = sorted((row.lang, bytes(row.window)) for row in rows.agg(F.collect_list(F.struct("lang", "window"))).first()[0])
     numbers = {language: i for i, language in enumerate(languages)}
     windows = np.frombuffer(b"".join(window for _, window in pairs), np.uint8).reshape(-1, WINDOW)
     return languages, windows, np.array([numbers[language] for language, _ in pairs], np.int64)

@@ -258,7 +258,7 @@ def next_codebooks(chunks: DataFrame, codebooks: list[np.ndarray]) -> list[np.nd
     sums = chunks.drop("ids", "labels").mapInArrow(partial_sums, "part int, entry int, n long, sums array<long>").groupBy("part", "entry")
     sums = sums.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
     done = [book.copy() for book in codebooks]
-    for row in sums.collect():  # at most PARTS * ENTRIES rows
+    for row in sums.agg(F.collect_list(F.struct("*"))).first()[0]:  # at most PARTS * ENTRIES rows
         done[row.part][row.entry] = [total // row.n for total in row.sums]
     return done
 
@@ -301,7 +301,8 @@ def compress(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, list[
     large for exact distances in 64 bits (beyond about 200,000). Other columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vector"), "label").where(usable(F.col("embedding")))
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(ENTRIES).select("vector").collect()
+    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(ENTRIES)
+    first = first.agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "vector")))).first()[0]
     dimensions = len(first[0].vector) if first else 0
     if dimensions % PARTS or any(len(row.vector) != dimensions for row in first):
         raise ValueError(f"vectors need one number of components that is a multiple of {PARTS}")
