@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pytest
@@ -43,6 +44,32 @@ def test_units_are_spelled_longest_first_and_once(spark):
     assert [g[0] for g in got] == list(cases.values())
 
 
+def test_units_and_the_stretches_between_them(spark):
+    """Characters at the borders of what is searched by itself, against one character after the other."""
+    units = {"é": "e", "ß": "ss", "Ж": "Zh", "ж": "zh", "…": "...", "ﬁ": "fi", "😀": ":)"}
+    pick, alphabet = random.Random(5), "".join(units) + "".join(chr(ord(char) + step) for char in units for step in (-1, 1)) + "a\n \x7f東\U0010ffff"
+    texts = ["".join(pick.choice(alphabet) * pick.choice((1, 1, 3)) for _ in range(pick.randrange(40))) for _ in range(300)]
+    got = values(spark, texts, t.spell_units(F.col("t"), units))
+    assert [g[0] for g in got] == ["".join(units.get(char, char) for char in text) for text in texts]
+
+
+def seconds(df):
+    """The least of three runs over all rows."""
+    taken = []
+    for _ in range(3):
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        taken.append(time.perf_counter() - start)
+    return min(taken)
+
+
+def test_index_form_costs_little_more_than_a_plain_replacement(spark):
+    """A character's cost does not grow with the number of letters that have a spelling."""
+    words = spark.range(400).select(F.repeat(F.lit("l’œuvre était près de la grande maison de Nantes, "), 100).alias("t")).cache()
+    words.count()
+    assert seconds(words.select(t.normalize_index("t"))) < 8 * seconds(words.select(F.regexp_replace("t", r"(?U)[\s\p{M}]{2}", " ")))
+
+
 def test_query_form(spark):
     cases = {
         None: "",
