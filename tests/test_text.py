@@ -70,6 +70,13 @@ def test_index_form_costs_little_more_than_a_plain_replacement(spark):
     assert seconds(words.select(t.normalize_index("t"))) < 8 * seconds(words.select(F.regexp_replace("t", r"(?U)[\s\p{M}]{2}", " ")))
 
 
+def test_search_text_of_short_rows_costs_little_more_than_a_plain_replacement(spark):
+    rows = spark.range(100000).select(F.concat(F.lit("Société "), "id").alias("a"), F.lit("Allée des Œillets").alias("b"), F.lit("Forêt-NATION").alias("c")).cache()
+    rows.count()
+    plain = F.regexp_replace(F.concat_ws(" ", "a", "b", "c"), r"(?U)[\s\p{M}]{2}", " ")
+    assert seconds(rows.select(t.search_text("a", "b", "c"))) < 10 * seconds(rows.select(plain))
+
+
 def test_query_form(spark):
     cases = {
         None: "",
