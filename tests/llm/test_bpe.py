@@ -71,6 +71,16 @@ def test_a_vocabulary_without_an_order_of_parts_is_encoded_too():
         assert list(own.encode_piece(text.encode())) == peer.encode_ordinary(text)
 
 
+def test_pieces_encoded_together_equal_single_ones():
+    pieces = ["", "a", "ththe", "ththerer", "ththererx", " diechpfkeitte", "\0", "a\0", "\0\0x", "éé" * 9, "中文字" * 30, "ab" * 90, " the", "x"]
+    together = ENCODER.encode_pieces([piece.encode() for piece in pieces])
+    assert [list(memoryview(packed).cast("I")) for packed in together] == [ENCODER.encode_piece(piece.encode()) for piece in pieces]
+    assert bpe.Pieces(ENCODER).encode([pieces[1:], [], pieces[1:4]]) == [b"".join(together[1:]), b"", b"".join(together[1:4])]
+    odd = bpe.BytePairEncoder({bytes([i]): i + 1000 for i in range(256)} | {b"ab": 5, b"bc": 3, b"abc": 1, b"cab": 0})
+    texts = [b"abcab", b"cabcabc", b"bcabab", b"aabbccab"]
+    assert [list(memoryview(packed).cast("I")) for packed in odd.encode_pieces(texts)] == [odd.encode_piece(text) for text in texts]
+
+
 def test_rows_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "the end", "x"), (1, "the end", "x"), (None, None, None), (2, "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
