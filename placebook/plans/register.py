@@ -17,8 +17,8 @@ SEARCH_READY = ["id", "siret", "siren", "nom", "adresse", "code_postal", "commun
 
 
 def describe(register: DataFrame) -> DataFrame:
-    """Search-ready columns of register rows, without ids."""
-    described = register.select(
+    """Search-ready columns of register rows, without ids and search texts."""
+    return register.select(
         "siret",
         "siren",
         first_filled("enseigne1Etablissement", "denominationUniteLegale").alias("nom"),
@@ -27,7 +27,6 @@ def describe(register: DataFrame) -> DataFrame:
         first_filled("libelleCommuneEtablissement").alias("commune"),
         F.col("activitePrincipaleEtablissement").alias("ape"),
     )
-    return described.withColumn("search", search_text("nom", "adresse", "commune"))
 
 
 def select_register(register: DataFrame, prefixes: Sequence[str] = PREFIXES) -> DataFrame:
@@ -36,8 +35,11 @@ def select_register(register: DataFrame, prefixes: Sequence[str] = PREFIXES) ->
 
 
 def number(described: DataFrame) -> DataFrame:
-    """Ids by ascending siret; the other columns decide between rows without one."""
-    return assign_ids(described, ["siret", *[name for name in described.columns if name not in ("siret", "search")]])
+    """Ids by ascending siret; the other columns decide between rows without one. Search texts are made of the numbered
+    rows, which are dealt to many tasks however few files the register has.
+    """
+    numbered = assign_ids(described, ["siret", *[name for name in described.columns if name != "siret"]])
+    return numbered.withColumn("search", search_text("nom", "adresse", "commune"))
 
 
 def build_register(register: DataFrame, prefixes: Sequence[str] = PREFIXES) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placebook.operators.ids import assign_ids
-from placebook.operators.joins import count_keys, hot_keys, skew_join
+from placebook.operators.joins import count_keys, deal_rows, hot_keys, skew_join
 from placebook.operators.latest import first_match, last_per_id
 from placebook.operators.update import update_by_id
 from placebook.session import fits_broadcast
@@ -73,6 +73,11 @@ def test_equal_rows_of_a_hot_key_part(spark):
     assert sum(sizes) == 40_000 and max(sizes) <= 20_000
 
 
+def test_equal_rows_are_dealt_evenly(spark):
+    dealt = deal_rows(spark.range(0, 1000, 1, 1).select(F.lit("copy").alias("text")))
+    assert [row["count"] for row in dealt.groupBy(F.spark_partition_id()).count().collect()] == [250] * 4
+
+
 def test_broadcast_limits(spark):
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 100).alias("t"))
     assert fits_broadcast(df)

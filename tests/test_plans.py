@@ -3,9 +3,15 @@
 import re
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from placebook.operators import clusters
 from placebook.operators.update import update_by_id
+from placebook.plans.register import build_register
 from placebook.session import materialize
+from workload.queries import QUERIES
+from workload.standins import view
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -32,3 +38,17 @@ def test_small_updates_leave_the_target_in_place(spark, plan_of):
     updates = materialize(spark.range(5).selectExpr("id", "'y' as v"), "test-updates")
     plan = plan_of(update_by_id(target, updates, ["v"], ["v"]))
     assert exchanges(plan) <= 1 and "BroadcastHashJoin LeftOuter" in plan  # the updates' own reduction to one row per id
+
+
+@pytest.mark.parametrize("name", ["search_text", "normalize_scripts"])
+def test_texts_of_a_single_file_are_normalised_in_many_tasks(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    tasks = df.select(F.spark_partition_id().alias("task"), df.columns[-1]).groupBy("task").agg(F.count(df.columns[-1]).alias("rows"))
+    rows = [row["rows"] for row in tasks.collect()]
+    assert len(rows) == 4 and max(rows) - min(rows) <= 1
+
+
+def test_search_texts_are_made_of_numbered_rows(spark, sf_dir, plan_of):
+    """Not in the tasks that read the register's files."""
+    plan = plan_of(build_register(view(spark, sf_dir, "establishment")))
+    assert "regexp_extract_all(" in plan and "customer.parquet" not in plan
